@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mixing
+from .simhash import op9_simhash
 
 QUERIES = {
+    "op9_simhash": op9_simhash,
     "op7_mixing": op7_mixing,
 }
 ORACLE = {
