@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op9_simhash": op9_simhash,
     "op7_mixing": op7_mixing,
 }
 ORACLE = {
+    "op1_line_dedup": OP1_SQL,
     "op7_mixing": OP7_SQL,
 }
