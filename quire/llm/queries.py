@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .langid import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op1_line_dedup": op1_line_dedup,
     "op9_simhash": op9_simhash,
     "op7_mixing": op7_mixing,
