@@ -5,9 +5,11 @@ from __future__ import annotations
 from .langid import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
+from .quality import op4_quality
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op3_language_id": op3_language_id,
     "op1_line_dedup": op1_line_dedup,
     "op9_simhash": op9_simhash,
