@@ -238,8 +238,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     if model is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(model.score, f"doc_id {kind}, lang_pred string, score double")
+    return _scored(docs.select("doc_id", "text"), model)
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with lang_pred and score in place of text. Ids travel as text: pandas has no null integers."""
+    kind = rows.schema["doc_id"].dataType
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    kept = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
+    out = rows.mapInPandas(model.score, f"{kept}, lang_pred string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def learned(docs: DataFrame) -> Model | None:
@@ -250,21 +258,19 @@ def of_known_language(docs: DataFrame, model: Model | None, least: float = 0.5)
     """The rows of ``docs`` whose text has a language: some letter, and a score of at least ``least``."""
     if model is None:
         return docs.limit(0)
-    columns = docs.columns
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            said = next(model.score(iter([batch[["text"]]])))
-            yield batch[((said["lang_pred"] != UNKNOWN) & (said["score"] >= least)).to_numpy()]
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for said in model.score(pd.DataFrame({"text": t}) for t in texts):
+            yield (said["lang_pred"] != UNKNOWN) & (said["score"] >= least)
 
-    return docs.mapInPandas(keep, docs.schema).select(*columns)
+    return docs.where(known("text"))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learned(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInPandas(model.score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return _scored(rows, model)

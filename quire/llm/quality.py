@@ -207,8 +207,10 @@ def rate(docs: DataFrame, machine: Machine) -> DataFrame:
             s = machine.score(x)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text", _with_length(docs))
-    return rows.mapInPandas(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    # Ids travel as text: pandas has no null integers.
+    rows = docs.select(F.col("doc_id").cast("string"), held_out().alias("held_out"), "text", _with_length(docs))
+    out = rows.mapInPandas(score, "doc_id string, held_out boolean, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op4_quality
 from .simhash import op9_simhash
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op8_warc": op8_warc,
     "op4_quality": op4_quality,
     "op3_language_id": op3_language_id,
     "op1_line_dedup": op1_line_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
 }
 ORACLE = {
+    "op8_warc": OP8_SQL,
     "op1_line_dedup": OP1_SQL,
     "op7_mixing": OP7_SQL,
 }
