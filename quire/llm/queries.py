@@ -5,11 +5,13 @@ from __future__ import annotations
 from .langid import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
+from .packing import op6_packing
 from .quality import op4_quality
 from .simhash import op9_simhash
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op4_quality": op4_quality,
     "op3_language_id": op3_language_id,
