@@ -8,9 +8,11 @@ from .mixing import OP7_SQL, op7_mixing
 from .packing import op6_packing
 from .quality import op4_quality
 from .simhash import op9_simhash
+from .tokenfile import op10_token_files
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op10_token_files": op10_token_files,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op4_quality": op4_quality,
