@@ -110,35 +110,30 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EP
     with the same text share one decision each.
     """
     taken = mix(docs, weights, most_epochs, seed)
-    nth = Window.partitionBy("doc_id", "source", "mix_text").orderBy("mix_taken")
-    taken = taken.withColumn("nth", F.row_number().over(nth))
-    own = Window.partitionBy("doc_id", "source", "mix_text").orderBy(F.lit(0))
-    rows = docs.withColumn("mix_text", F.xxhash64("text"))
-    rows = rows.withColumn("nth", F.row_number().over(own)).alias("d")
-    t = taken.select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "mix_text", "nth", "mix_size", "mix_taken")])
+    same_rows = Window.partitionBy("doc_id", "source", "mix_text")
+    taken = taken.withColumn("nth", F.row_number().over(same_rows.orderBy("mix_taken")))
+    taken = taken.select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "source", "mix_text", "nth", "mix_size", "mix_taken")])
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("mix_text"))
+    rows = rows.withColumn("nth", F.row_number().over(same_rows.orderBy(F.lit(0))))
     same = (
-        F.col("d.doc_id").eqNullSafe(F.col("t_doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("t_source"))
-        & (F.col("d.mix_text") == F.col("t_mix_text"))
-        & (F.col("d.nth") == F.col("t_nth"))
+        F.col("doc_id").eqNullSafe(F.col("t_doc_id"))
+        & F.col("source").eqNullSafe(F.col("t_source"))
+        & (F.col("mix_text") == F.col("t_mix_text"))
+        & (F.col("nth") == F.col("t_nth"))
     )
-    joined = rows.join(t, same)
+    joined = rows.join(taken, same)
     size, got = F.col("t_mix_size"), F.col("t_mix_taken")
     pieces = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(got / size)), lambda i: F.least(size, got - (i - 1) * size))
     )
     joined = joined.where((size == 0) | (got > 0)).withColumn("piece", F.explode(pieces))
-    cut = F.array_join(F.slice(words(F.col("d.text")), F.lit(1), F.col("piece").cast("int")), " ")
-    text = F.when(F.col("piece") < size, cut).otherwise(F.col("d.text"))
-    out = []
-    for c in docs.columns:
-        if c == "text":
-            out.append(text.alias(c))
-        elif c == "n_chars":
-            out.append(F.when(F.col("piece") < size, F.length(cut).cast("long")).otherwise(F.col("d.n_chars")).alias(c))
-        else:
-            out.append(F.col(f"d.`{c}`"))
-    return joined.select(*out)
+    cut = F.array_join(F.slice(words(F.col("row.text")), F.lit(1), F.col("piece").cast("int")), " ")
+    is_cut = F.col("piece") < size
+    new = {
+        "text": F.when(is_cut, cut).otherwise(F.col("row.text")),
+        "n_chars": F.when(is_cut, F.length(cut).cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None,
+    }
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
