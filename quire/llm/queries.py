@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embed_dedup import op5_embedding_dedup
 from .langid import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
@@ -12,6 +13,7 @@ from .tokenfile import op10_token_files
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op10_token_files": op10_token_files,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
