@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_ann
 from .embed_dedup import op5_embedding_dedup
 from .langid import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -13,6 +14,7 @@ from .tokenfile import op10_token_files
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op2_ann": op2_ann,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op10_token_files": op10_token_files,
     "op6_packing": op6_packing,
