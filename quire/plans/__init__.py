@@ -1 +1,6 @@
+"""The queries over the reference's relations, by name, and their SQL."""
 
+from . import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLE = {**text_queries.ORACLE}
