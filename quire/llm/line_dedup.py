@@ -15,9 +15,10 @@ So in a group of equal keys the earliest line decides for all others; no pairs
 are formed, and a template that a million lines share costs a million rows. The word
 edit of each decision is verified on the words.
 
-Before variants are emitted, lines that cannot have a partner are left out: one edit leaves
-the first or the last half of a line as it was, so a line without a common half has no partner.
-This loses nothing, and spares the variants of nearly all lines.
+Before variants are emitted, lines that cannot have a partner are left out. One edit leaves the
+first or the last k words of a line as they were, k at most half of its words: a line that shares neither with
+another has no partner, and one that shares its first k words needs variants of the rest only. This
+loses nothing, and spares the variants of nearly all lines.
 """
 
 from __future__ import annotations
@@ -29,103 +30,128 @@ from .common import words, written
 
 #: Words that a line needs for the bound of one edit; shorter lines must be equal. One word in five is a similarity of 0.8.
 MIN_WORDS = 8
-#: Candidate lines up to which their hashes (16 bytes each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_LINES = 500_000
+#: Rows of at most 50 bytes up to which a table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: A line's place in the order of lines, which is unique: null doc_ids come last.
+PLACE = ["no_id", "id", "text_hash", "place"]
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line: document, place and words of the normal form."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.select("doc_id", "text_hash", "place", words(F.lower("line")).alias("w"))
+    """A row for each line of a text, with its place."""
+    return docs.where("text is not null").select(*_identity(), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+
 
+def _identity() -> list[Column]:
+    return [
+        F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("text_hash"),
+    ]
 
-def _hashes(w: Column) -> tuple[Column, Column]:
-    joined = F.array_join(w, " ")
-    return F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2")
 
+def _edge_keys(w: Column, n: Column) -> dict[str, Column]:
+    """Hashes of the first and the last k words, k a power of two and at most half of n.
+
+    A line whose number of words is itself a power of two gets those for one word less too: its
+    partners that are a word shorter have that k.
+    """
 
-def _half_keys(w: Column, n: Column) -> Column:
-    """Hashes of the first and the last k words for k half of n, and half of n - 1 for partners shorter by a word."""
     def key(side: str, k: Column) -> Column:
         part = F.slice(w, F.lit(1), k) if side == "first" else F.slice(w, n - k + 1, k)
         return F.xxhash64(F.lit(side), k, F.array_join(part, " "))
 
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(key("first", half), key("last", half), key("first", less), key("last", less)))
+    def power(m: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1), F.length(F.bin(m)) - 2)  # half the highest bit of m
 
+    k, less = power(n), power(n - 1)
+    return {
+        "first_key": F.when(n >= MIN_WORDS, key("first", k)),
+        "last_key": F.when(n >= MIN_WORDS, key("last", k)),
+        "first_key_less": F.when((n >= MIN_WORDS) & (k != less), key("first", less)),
+        "last_key_less": F.when((n >= MIN_WORDS) & (k != less), key("last", less)),
+    }
 
-def _order(prefix: str = "") -> Column:
-    """A line's place in the order of documents: null doc_ids last."""
-    return F.struct(
-        F.col(f"{prefix}doc_id").isNull().alias("no_id"), F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}place").alias("place")
-    )
 
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """Places of the distinct lines that share an edge with another, and which (first_shared, last_shared)."""
+    names = ["first_key", "last_key", "first_key_less", "last_key_less"]
+    keys = distinct.where("first_key is not null")
+    each = keys.select(F.explode(F.array_compact(F.array(*names))).alias("edge"))
+    common = written(each.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge"), "common_edges")
+    sides = F.array(*[F.struct(F.col(c).alias("edge"), F.lit(c.startswith("first")).alias("is_first")) for c in names])
+    rows = keys.select("first", F.explode(sides).alias("e")).select("first", "e.edge", "e.is_first").where("edge is not null")
+    shared = rows.join(_if_small(common), "edge", "left_semi")
+    found = shared.groupBy("first").agg(F.max("is_first").alias("first_shared"), F.max(~F.col("is_first")).alias("last_shared"))
+    return written(found.select("first.*", "first_shared", "last_shared"), "candidates")
 
-def repeats_of_near_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Rows (h1, h2) of the distinct lines with an earlier line one word edit away."""
-    spark = docs.sparkSession
-    halves = lines.where(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half")).distinct()
-    common = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    few = written(halves.join(common, "half").select("h1").distinct(), "candidates")
-    if few.count() <= BROADCAST_LINES:
-        few = F.broadcast(few)
-    texts = _lines(docs).where(F.size("w") >= MIN_WORDS)
-    texts = texts.select("w", *_hashes(F.col("w"))).join(few, "h1", "left_semi")
-    texts = texts.groupBy("h1", "h2").agg(F.first("w").alias("w"))
-    texts = written(texts.join(distinct, ["h1", "h2"]).select("h1", "h2", "first", "w"), "candidate_texts")
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """Rows (first, key, j): the hashed line with word j left out, and whole (j = -1)."""
 
     # The hash of a line is the sum of its words' hashes, each by word and place, so that with a word left
     # out it is the sum before that word and the sum after it with places one less. 44 bits a word: sums of half a million fit.
     def at(place: Column, salt: str) -> Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(salt), "word", place), 20)
 
-    each = texts.select("h1", "h2", "first", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
-    each = each.select(
-        "h1", "h2", "first", "n", "j", *[at(F.col("j") - d, s).alias(f"{s}{d}") for s in ("a", "b") for d in (0, 1)]
-    )
-    line = Window.partitionBy("h1", "h2")
+    # The lines are dealt out before their words are: the windows need no exchange of their own.
+    each = texts.repartition(*PLACE).select(*PLACE, "first_shared", "last_shared", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+    each = each.withColumns({f"{s}{d}": at(F.col("j") - d, s) for s in ("a", "b") for d in (0, 1)})
+    line = Window.partitionBy(*PLACE)
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {}
     for s in ("a", "b"):
-        sums[f"{s}_without"] = (
-            F.sum(f"{s}0").over(upto) - F.col(f"{s}0") + F.sum(f"{s}1").over(line) - F.sum(f"{s}1").over(upto)
-        )
+        sums[f"{s}_without"] = F.sum(f"{s}0").over(upto) - F.col(f"{s}0") + F.sum(f"{s}1").over(line) - F.sum(f"{s}1").over(upto)
         sums[f"{s}_whole"] = F.sum(f"{s}0").over(line)
     each = each.withColumns(sums)
-    variants = each.select("h1", "h2", "first", (F.col("n") - 1).alias("n"), "j", F.col("a_without").alias("a"), F.col("b_without").alias("b"))
-    whole = each.where("j = 0").select("h1", "h2", "first", "n", F.lit(-1).alias("j"), F.col("a_whole").alias("a"), F.col("b_whole").alias("b"))
-    keyed = written(variants.union(whole), "variants")
-
-    key = ["n", "a", "b"]
-    groups = keyed.groupBy(*key, "j").agg(F.min("first").alias("first"), F.count("*").alias("rows"))
-    of_key = groups.groupBy(*key).agg(
+    quarter = F.floor(F.col("n") / 4)  # the shared edges are at least so long
+    emitted = (F.col("first_shared") & (F.col("j") >= quarter)) | (F.col("last_shared") & (F.col("j") < F.col("n") - quarter))
+    out = F.array(
+        F.when(emitted, F.struct(F.xxhash64(F.col("n") - 1, "a_without", "b_without").alias("key"), F.col("j").alias("j"))),
+        F.when(F.col("j") == 0, F.struct(F.xxhash64("n", "a_whole", "b_whole").alias("key"), F.lit(-1).alias("j"))),
+    )
+    rows = each.select(F.struct(*PLACE).alias("first"), F.explode(F.array_compact(out)).alias("v"))
+    return rows.select("first", "v.key", "v.j")
+
+
+def _near_repeats(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Places of the distinct lines with an earlier line one word edit away."""
+    few = _candidates(distinct)
+    texts = _lines(docs).join(_if_small(few), PLACE)
+    texts = written(texts.select(*PLACE, "first_shared", "last_shared", words(F.lower("line")).alias("w")), "candidate_texts")
+    keyed = _variants(texts)
+    groups = keyed.groupBy("key", "j").agg(F.min("first").alias("place_first"), F.count("*").alias("rows"))
+    of_key = groups.groupBy("key").agg(
         F.sum("rows").alias("rows"),
-        F.min(F.when(F.col("j") < 0, F.col("first"))).alias("whole_first"),
-        F.min(F.when(F.col("j") >= 0, F.struct("first", "j"))).alias("variant_first"),
+        F.min(F.when(F.col("j") < 0, F.col("place_first"))).alias("whole_first"),
+        F.min(F.when(F.col("j") >= 0, F.struct(F.col("place_first").alias("first"), "j"))).alias("variant_first"),
     )
-    of_key = of_key.where("rows > 1").select(*key, "whole_first", "variant_first")
-    same_place = groups.where("j >= 0 and rows > 1").select(*key, "j", F.col("first").alias("place_first"))
-    met = keyed.join(of_key, key).join(same_place, [*key, "j"], "left")
+    of_key = written(of_key.where("rows > 1").select("key", "whole_first", "variant_first"), "met_keys")
+    met = written(keyed.join(_if_small(of_key.select("key")), "key", "left_semi"), "met_variants")
+    same_place = met.where("j >= 0").groupBy("key", "j").agg(F.min("first").alias("place_first"))
+    met = met.join(of_key, "key").join(same_place, ["key", "j"], "left")
     # j: the word that is left out of this line; by_j: the word left out of the earlier line, -1 for none
     options = F.array(
         F.struct(F.col("place_first").alias("by"), F.col("j").alias("j"), F.col("j").alias("by_j")),
         F.struct(F.when(F.col("j") >= 0, F.col("whole_first")).alias("by"), F.col("j").alias("j"), F.lit(-1).alias("by_j")),
-        F.struct(
-            F.when(F.col("j") < 0, F.col("variant_first.first")).alias("by"), F.lit(-1).alias("j"), F.col("variant_first.j").alias("by_j")
-        ),
+        F.struct(F.when(F.col("j") < 0, F.col("variant_first.first")).alias("by"), F.lit(-1).alias("j"), F.col("variant_first.j").alias("by_j")),
     )
-    met = met.select("h1", "h2", "first", F.explode(options).alias("o")).where(F.col("o.by") < F.col("first"))
-    best = met.groupBy("h1", "h2").agg(F.min("o").alias("o"))
-    mine = texts.select("h1", "h2", "w")
-    theirs = texts.select(F.col("first").alias("by"), F.col("w").alias("by_w"))
-    checked = best.select("h1", "h2", F.col("o.by").alias("by"), F.col("o.j").alias("j"), F.col("o.by_j").alias("by_j"))
-    checked = checked.join(mine, ["h1", "h2"]).join(theirs, "by")
+    met = met.select("first", F.explode(options).alias("o")).where(F.col("o.by") < F.col("first"))
+    best = met.groupBy("first").agg(F.min("o").alias("o"))
+    checked = best.select("first.*", *[F.col(f"o.by.{c}").alias(f"by_{c}") for c in PLACE], F.col("o.j").alias("j"), F.col("o.by_j").alias("by_j"))
+    checked = checked.join(texts.select(*PLACE, "w"), PLACE)
+    theirs = texts.select(*[F.col(c).alias(f"by_{c}") for c in PLACE], F.col("w").alias("by_w"))
+    checked = checked.join(theirs, [f"by_{c}" for c in PLACE])
 
     def without(w: str, j: str) -> Column:
         cut = F.concat(F.slice(w, F.lit(1), F.col(j)), F.slice(w, F.col(j) + 2, F.size(w)))
         return F.when(F.col(j) < 0, F.col(w)).otherwise(cut)
 
-    return checked.where(without("w", "j") == without("by_w", "by_j")).select("h1", "h2")
+    return checked.where(without("w", "j") == without("by_w", "by_j")).select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -133,55 +159,34 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     One row for each row of ``docs``, its other columns as they were, but n_chars, if there is one, which is
     counted anew. Null text stays null and has 0 lines; a text of which every line is repeated becomes
-    empty. Rows that share doc_id and text are one document here and come out alike; null doc_ids come
-    last and are one document. An empty table gives no rows.
+    empty. Columns of docs called n_lines or kept_lines give way. Rows that share doc_id and text are one document here and come out alike; null doc_ids come
+    last and are one document for each text. An empty table gives no rows.
     """
-    w, n = F.col("w"), F.size("w")
-    lines = _lines(docs.where("text is not null")).where(n > 0)
-    lines = lines.select(
-        "doc_id", "text_hash", "place", *_hashes(w), F.when(n >= MIN_WORDS, _half_keys(w, n)).alias("halves")
-    )
-    lines = written(lines, "lines")
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first")), "distinct_lines")
-    near = repeats_of_near_lines(docs.where("text is not null"), lines, distinct)
-    kept = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near is null")
-    kept = kept.select("first.no_id", F.col("first.doc_id").alias("kept_id"), F.col("first.place").alias("place"), "h1", "h2")
-    decided = lines.select("doc_id", "text_hash", "place", "h1", "h2").join(
-        kept, ["h1", "h2"], "left"
-    ).select(
-        "doc_id", "text_hash", lines.place,
-        (F.col("kept_id").eqNullSafe(F.col("doc_id")) & (kept.place == lines.place) & kept.no_id.isNotNull()).alias("stays"),
-    )
-    drops = decided.where("not coalesce(stays, false)").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("dropped"))
-    drops = drops.select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), "dropped")
-    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(
-        drops, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")), "left"
+    rows = _lines(docs).withColumn("w", words(F.lower("line"))).withColumn("n", F.size("w")).where("n > 0")
+    joined = F.array_join("w", " ")
+    keys = _edge_keys(F.col("w"), F.col("n"))
+    rows = rows.select(
+        F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), F.struct(*PLACE).alias("first"), *[k.alias(c) for c, k in keys.items()]
     )
-    return _without_lines(joined, docs.columns)
-
-
-def _without_lines(joined: DataFrame, columns: list[str]) -> DataFrame:
-    all_lines = F.split("text", "\n")
-    # Runs of kept lines between dropped ones, so that each line is looked at once.
-    ends = F.concat(F.col("dropped"), F.array(F.size(all_lines)))
-    starts = F.concat(F.array(F.lit(0)), F.transform("dropped", lambda d: d + 1))
-    runs = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(F.col("all_lines"), s + 1, e - s)))
-    joined = joined.withColumn("all_lines", all_lines)
-    joined = joined.withColumn("kept", F.when(F.col("dropped").isNull(), F.col("all_lines")).otherwise(runs))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
-    out = []
-    for c in columns:
-        if c == "text":
-            out.append(text.alias(c))
-        elif c == "n_chars":
-            out.append(F.when(F.col("dropped").isNull(), F.col(c)).otherwise(F.length(text).cast("long")).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    n_lines, kept = F.coalesce(F.size("all_lines"), F.lit(0)), F.coalesce(F.size("kept"), F.lit(0))
-    return joined.select(
-        *out,
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(kept).alias("kept_lines"),
+    distinct = rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), *[F.min(c).alias(c) for c in keys])
+    distinct = written(distinct.drop("h1", "h2"), "distinct_lines")
+    kept = distinct.select("first.*").join(_near_repeats(docs, distinct), PLACE, "left_anti")
+    kept = kept.groupBy("no_id", "id", "text_hash").agg(F.collect_list("place").alias("kept"))
+    return _of_kept_lines(docs, kept)
+
+
+def _of_kept_lines(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    own = docs.select(F.struct("*").alias("row"), *_identity()).join(kept, ["no_id", "id", "text_hash"], "left")
+    own = own.withColumn("all_lines", F.split("row.text", "\n"))
+    blank = F.transform("all_lines", lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i))
+    places = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), F.array_compact(blank)))
+    own = own.withColumn("lines", F.transform(places, lambda i: F.get("all_lines", i)))
+    no_text = F.col("row.text").isNull()
+    text = F.when(~no_text, F.array_join("lines", "\n"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    counts = {"n_lines": F.when(no_text, 0).otherwise(F.size("all_lines")), "kept_lines": F.when(no_text, 0).otherwise(F.size("lines"))}
+    return own.select(
+        *[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in counts], *[x.alias(c) for c, x in counts.items()]
     )
 
 
