@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES, LANE_TOKENS = 8192, 64
+LANES, LANE_TOKENS = 8192, 256
 BITS = 24  # of the mixed total
 ZERO_BITS = 18  # of the order-0 total
 CONTEXTS = 19  # bits of a hashed order-2 context

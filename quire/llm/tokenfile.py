@@ -105,7 +105,7 @@ def _write_shard(batches, path: str, tokenizer: str, end_id: int, block_tokens:
         nonlocal file, offset
         if file is None:
             store.create_dir(inside.rpartition("/")[0], recursive=True)
-            file = store.open_output_stream(inside)
+            file = store.open_output_stream(inside, compression=None)
         data = write_chunk(names, lengths, np.concatenate(parts), vocabulary, block_tokens)
         file.write(data)
         rows.append((shard, len(rows), where, offset, len(data), len(names), sum(lengths)))
