@@ -42,9 +42,9 @@ def paragraphs(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
     """
     parts = F.regexp_extract_all(marked_text(F.col(html)), F.lit("[\u0001\u0002]?[^\u0001\u0002]+"), F.lit(0))
     kept = F.filter(parts, lambda p: F.trim(F.translate(p, "\u0001\u0002", "")) != "")
-    rows = pages.select(*keys, F.posexplode(kept).alias("para", "part"))
-    text = decode_entities(F.trim(F.translate("part", "\u0001\u0002", "")))
-    return rows.select(*keys, "para", text.alias("text"), F.startswith("part", F.lit("\u0002")).alias("heading"))
+    rows = pages.select(*keys, F.posexplode(kept).alias("para", "marked"))
+    text = decode_entities(F.trim(F.translate("marked", "\u0001\u0002", "")))
+    return rows.select(*keys, "para", text.alias("text"), F.startswith("marked", F.lit("\u0002")).alias("heading"))
 
 
 def tags(html: Column) -> Column:
