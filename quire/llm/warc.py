@@ -1,9 +1,9 @@
-"""WARC archives, index first.
+"""WARC archives (a gzip member for each record) with an index.
 
-Writing: each page is a record of a known length, so a running sum in each archive gives
-all offsets before a byte is written. The index (archive, offset, length, url, digest, ...) goes to a
-Parquet table first; the archives are then written by Spark's text writer, whose line
-end is the last byte of a record, with its commit protocol: a lost executor leaves no half archive.
+Writing: each task writes its pages to archives of its own and returns their index rows (path, offset,
+length, url, digest, ...), so payloads are never shuffled; only digests are, to find equal payloads. The index is a
+Parquet table. A task names its archives for its own attempt and Spark commits the index rows of one attempt: what a
+lost executor left is never read.
 
 Reading: the selected rows of the index are sorted by archive and offset, ranges that lie close
 together are read at once, and records are cut out of them.
@@ -11,105 +11,121 @@ together are read at once, and records are cut out of them.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, shuffle_partitions, written
 
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 100
-#: Bytes that an archive holds, about; there are at least as many archives as shuffle partitions.
+#: Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256 * 2**20
 #: Ranges with at most this gap are read at once, up to this length (or one record).
 GAP, MOST_READ = 64 * 2**10, 8 * 2**20
+#: Digests that several pages share (72 bytes each) up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_DIGESTS = 200_000
 #: Fixed values of the format.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+_INDEX = "page_id string, url string, record_type string, refers_to string, payload_digest string, path string, offset long, length long"
 
-def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
-    """The same for rows of the same id; rows of no id are told apart by url and payload."""
-    own = F.coalesce(page_id.cast("string"), F.concat(F.lit("null "), url, F.lit(" "), digest))
-    h = F.md5(F.concat(F.lit("page "), own))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
+def record_id(page_id: str | None, url: str, digest: str) -> str:
+    """The same for rows of the same id; rows of no id are told apart by url and payload."""
+    own = page_id if page_id is not None else f"null {url} {digest}"
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {own}'.encode()).digest())}>"
+
+
+def make_record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + payload
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
+        f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {url}",
+        f"WARC-Payload-Digest: sha256:{digest}",
+    ]
+    if refers_to is not None:
+        lines += [f"WARC-Refers-To: {record_id(refers_to, '', '')}", f"WARC-Profile: {PROFILE}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def _write(batches: Iterator[pd.DataFrame], folder: str, archive_bytes: int) -> Iterator[pd.DataFrame]:
+    """Index rows leave only when their archive is closed, so what the index names can be read."""
+    file, offset, path = None, 0, ""
+    rows: list[tuple] = []
+
+    def closed() -> pd.DataFrame:
+        file.close()
+        done = pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")])
+        rows.clear()
+        return done
 
-def records(pages: DataFrame) -> DataFrame:
-    """A row for each page: page_id, url, record_type, refers_to, payload_digest and the record's text without its last byte.
+    for batch in batches:
+        for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"]):
+            if file is None:
+                path, offset = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                store, inside = _store(path)
+                store.create_dir(inside.rpartition("/")[0], recursive=True)
+                file = store.open_output_stream(inside, compression=None)  # each record is compressed by itself
+            payload = html.encode()
+            digest = hashlib.sha256(payload).hexdigest()
+            data = gzip.compress(make_record(page_id, url, payload, digest, refers_to), 6, mtime=0)
+            file.write(data)
+            kind = "response" if refers_to is None else "revisit"
+            rows.append((page_id, url, kind, refers_to, digest, path, offset, len(data)))
+            offset += len(data)
+            if offset >= archive_bytes:
+                yield closed()
+                file = None
+    if file is not None:
+        yield closed()
+
+
+def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes a record for each row of ``pages`` (page_id, url, html) and returns the index.
 
     Null html is an empty payload. Of equal payloads of LEAST_REVISIT bytes or more the smallest page_id is the
-    response, the others revisit it (null page_ids last); rows that repeat that page_id are responses too. White space
-    and control characters in a URL are percent-encoded; a null url is about:blank.
+    response, the others revisit it (null page_ids last; if all are null, all are responses); rows that repeat that page_id are
+    responses too. White space and control characters in a URL are percent-encoded; a null url is about:blank. An empty table gives
+    an empty index and no archive. Other columns are not read.
     """
+    path = path or fresh_path(pages.sparkSession, "warc")
+    kind = pages.schema["page_id"].dataType
     html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.when(F.octet_length(html) >= LEAST_REVISIT, F.sha2(html, 256)).alias("digest"))
+    shared = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    shared = written(shared.where("n > 1 and first is not null").select("digest", "first"), "shared_digests")
+    few = shared.count() <= BROADCAST_DIGESTS
+    rows = rows.join(F.broadcast(shared) if few else shared, "digest", "left")
+    refers_to = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20")
-    rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).alias("n"))
-    least = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(least, "payload_digest", "left")
-    revisit = (F.col("n") >= LEAST_REVISIT) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.withColumn("refers_to", F.when(revisit, F.col("first")))
-    http = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n")
-    )
-    block = F.when(F.col("refers_to").isNull(), F.concat(http, F.col("html"))).otherwise(http)
-    kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    rows = rows.withColumns({"record_type": kind, "block": block})
-    none = F.lit("")
-    extra = F.when(
-        F.col("refers_to").isNotNull(),
-        F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to"), none, none), F.lit(f"\r\nWARC-Profile: {PROFILE}\r\n")),
-    ).otherwise(F.lit(""))
-    record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id"), F.col("url"), F.col("payload_digest")),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit("\r\n"), extra,
-        F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"),
-        F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r"),
-    )
-    return rows.select("page_id", "url", "record_type", "refers_to", "payload_digest", record.alias("record"))
-
-
-def write_archives(pages: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The index (page_id, url, record_type, payload_digest, archive, offset, length) and the archives' files (archive, path)."""
-    spark = pages.sparkSession
-    path = path or fresh_path(spark, "warc")
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n = max(shuffle_partitions(spark), -(-size // ARCHIVE_BYTES))
-    order = ["page_id", "payload_digest", "url"]
-    rows = records(pages).withColumn("archive", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    length = (F.octet_length("record") + 1).cast("long")
-    lengths = rows.select(*order, "record_type", "archive", length.alias("length"))
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = written(lengths.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))), "warc_index")
-    rows.select("archive", "record", *order).repartition(n, "archive").sortWithinPartitions("archive", *order).select(
-        "archive", "record"
-    ).write.partitionBy("archive").option("lineSep", "\n").text(path)
-    return index, archives(spark, path)
-
-
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """The files of archives below ``path``: (archive, path). Only listed, not read."""
-    try:
-        files = spark.read.format("binaryFile").load(path)
-        return files.select(F.col("archive").cast("int"), "path")
-    except Exception as e:
-        if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "UNRESOLVED_COLUMN" not in str(e):
-            raise
-        return spark.createDataFrame([], "archive int, path string")  # there are no archives
-
-
-def _open(path: str):
+    # Ids travel as text: pandas has no null integers.
+    rows = rows.select(F.col("page_id").cast("string"), url.alias("url"), "html", refers_to.cast("string").alias("refers_to"))
+    index = written(rows.mapInPandas(lambda b: _write(b, path, archive_bytes), _INDEX), "warc_index")
+    return index.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
+
+
+def _store(path: str):
+    """A file system and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
-    store, inside = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inside)
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
 
 
 def parse(record: bytes) -> dict:
@@ -145,49 +161,47 @@ def _coalesced(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int
 def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, rows in batch.groupby("path", sort=False):
-            ids = rows["page_id"].tolist()
-            with _open(path) as file:
-                for start, end, own in _coalesced(list(zip(rows["offset"].tolist(), rows["length"].tolist()))):
+            store, inside = _store(path)
+            ids, offsets, lengths = rows["page_id"].tolist(), rows["offset"].tolist(), rows["length"].tolist()
+            with store.open_input_file(inside) as file:
+                for start, end, own in _coalesced(list(zip(offsets, lengths))):
                     file.seek(start)
                     data = file.read(end - start)
                     out = []
                     for i in own:
-                        at = rows["offset"].iloc[i] - start
-                        x = parse(data[at : at + rows["length"].iloc[i]])
+                        at = offsets[i] - start
+                        x = parse(zlib.decompress(data[at : at + lengths[i]], 31))
                         f = x["fields"]
                         out.append((ids[i], f["WARC-Target-URI"], f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Refers-To"), x["payload"]))
                     yield pd.DataFrame(out, columns=["page_id", "url", "record_type", "record_id", "refers_to_id", "payload"])
 
 
-def read_records(index: DataFrame, files: DataFrame) -> DataFrame:
+def read_records(index: DataFrame) -> DataFrame:
     """The records that rows of an index name: page_id, url, record_type, record_id, refers_to_id, payload (binary, null for revisits)."""
-    kind = index.schema["page_id"].dataType.simpleString()
-    n = shuffle_partitions(index.sparkSession)
-    rows = index.select(F.col("page_id").cast("string"), "archive", "offset", "length").join(files, "archive")
-    rows = rows.repartition(n, "archive").sortWithinPartitions("path", "offset").select("page_id", "path", "offset", "length")
+    kind = index.schema["page_id"].dataType
+    rows = index.select(F.col("page_id").cast("string"), "path", "offset", "length")
+    part = F.floor(F.col("offset") / MOST_READ)  # neighbours stay together, large archives are read by many tasks
+    rows = rows.repartition(shuffle_partitions(index.sparkSession), "path", part).sortWithinPartitions("path", "offset")
     got = rows.mapInPandas(
         _read_ranges, "page_id string, url string, record_type string, record_id string, refers_to_id string, payload binary"
     )
-    return got.withColumn("page_id", F.col("page_id").cast(kind))  # as text on the way: pandas has no null integers
+    return got.withColumn("page_id", F.col("page_id").cast(kind))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    index, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    got = read_records(index, files).select(
-        "page_id", "record_type", "record_id", "refers_to_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")
-    )
+    index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    got = read_records(index).select(
+        "page_id", "record_type", "record_id", "refers_to_id",
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+    )
     got = written(got, "records")
-    responses = got.where("record_type = 'response'").groupBy(F.col("record_id").alias("r_id")).agg(
-        F.first("page_id").alias("r_page"), F.first("bytes").alias("r_bytes"), F.first("digest").alias("r_digest")
-    )
-    joined = got.join(responses, F.col("refers_to_id") == F.col("r_id"), "left")
-    return joined.select(
-        "page_id",
-        F.coalesce("bytes", "r_bytes").alias("payload_bytes"),
-        F.coalesce("digest", "r_digest").alias("payload_digest"),
-        "record_type",
-        F.col("r_page").alias("refers_to"),
+    responses, revisits = got.where("record_type = 'response'"), got.where("record_type <> 'response'")
+    of_id = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(
+        F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest")
     )
+    referred = revisits.select("page_id", "record_type", "refers_to_id").join(of_id, "refers_to_id")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.withColumn("refers_to", F.lit(None).cast(got.schema["page_id"].dataType)).select(*columns).union(referred.select(*columns))
 
 
 OP8_SQL = """
