@@ -201,6 +201,8 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate
     "entity_decode": f"WITH e AS (SELECT {_ENT} AS ent) SELECT page_id, {_decode_sql(chr(39) + '&amp;lt; &#233;&#xE9; &bogus; & &hellip;' + chr(39) + ' || html')} AS text FROM pages, e",
     "xhtml_tags": f"SELECT lower(t) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<{PREFIX}([A-Za-z][A-Za-z0-9]*)[^>]*>', 1)) AS t FROM pages) GROUP BY ALL",
     "xhtml_attrs": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM ({HREF_SQL})",
+    "href_resolve": f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, array_to_string(list_concat(['OEBPS', 'x'], list_filter(string_split(regexp_replace(href, '#.*$', ''), '/'), lambda x: x NOT IN ('', '.'))), '/') AS path
+FROM ({HREF_SQL})""",
     "xhtml_title": f"SELECT page_id, left(trim(regexp_extract(html, '(?is)<{PREFIX}title{REST}([^<]*)', 1)), 95) AS title FROM pages",
     "xhtml_paragraphs": PARAS_SQL,
     "xhtml_headings": f"SELECT page_id, para, text FROM ({PARAS_SQL}) WHERE heading",
