@@ -8,11 +8,25 @@ meet and none is at an end. A text for which that fails is encoded as a whole.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 BYTE_LEVEL, WORD_LEVEL = "byte", "word"
 
+#: Pieces that split into a word and punctuation whatever the tokenizer: most of those not seen before.
+_SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -34,12 +48,14 @@ class _Index(dict):
 class Encoder:
     """Encodes lists of texts. ``most`` bounds the number of pieces remembered; the ids don't depend on it."""
 
-    def __init__(self, path: str, kind: str, most: int = 600_000):
+    def __init__(self, path: str, kind: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind, self.most = kind, most
+        self.words: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -85,15 +101,41 @@ class Encoder:
         kept[np.searchsorted(own, np.flatnonzero(extra))] = False  # the line ends put in
         return ids[kept], np.bincount(own[kept], minlength=len(sources))
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word or a run of punctuation, which merges never leave."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > self.most:
+                self.words.clear()
+            letters = word.encode().decode("latin-1").translate(_LETTERS)
+            found = self.words[word] = [t.id for t in self.model.tokenize(letters)]
+        return found
+
+    def _simple(self, piece: str) -> list[int] | None:
+        match = _SIMPLE.fullmatch(piece)
+        if match is None:
+            return None
+        end, word, marks = match.groups()
+        if self.kind == WORD_LEVEL:
+            ids = self._word(word.lower())
+        elif end:
+            ids = self._word(end) + self._word(word)
+        else:
+            ids = self._word(" " + word)
+        return ids + self._word(marks) if marks else ids
+
     def _learn(self, known: int) -> None:
-        sources = [self._source(p) for p in self.index.fresh]
-        alone = np.array([s is not None and s != "" for s in sources], bool)
-        lengths = np.where([s is None for s in sources], -1, 0)
-        usable = [s for s in sources if s]
-        parts = [self._encode_pieces(usable[i : i + 5000]) for i in range(0, len(usable), 5000)]
-        if parts:
-            lengths[alone] = np.concatenate([n for _, n in parts])
-        ids = np.concatenate([x for x, _ in parts]) if parts else self.flat[:0]
+        rows = [self._simple(p) for p in self.index.fresh]
+        other = [i for i, r in enumerate(rows) if r is None]
+        sources = {i: self._source(self.index.fresh[i]) for i in other}
+        usable = [i for i in other if sources[i]]
+        for a in range(0, len(usable), 5000):
+            some = usable[a : a + 5000]
+            flat, counts = self._encode_pieces([sources[i] for i in some])
+            for i, own in zip(some, np.split(flat, np.cumsum(counts)[:-1])):
+                rows[i] = own.tolist()
+        lengths = np.array([len(r) if r is not None else -1 if sources[i] is None else 0 for i, r in enumerate(rows)], np.int64)
+        ids = np.array([t for r in rows if r for t in r], self.flat.dtype)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), self.flat.dtype)])
         if len(self.index) > len(self.start):
