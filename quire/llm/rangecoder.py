@@ -25,7 +25,8 @@ REFRESH = 8  # steps between updates of frequencies and weights
 #: Bounds of the coder: words leave when the top ones agree, and the range is cut short below LEAST.
 TOP, LEAST, WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 _HIGH = np.uint64(48)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers that hash the two last ids.
+_MIX1, _MIX2 = 0x1F123BB5, 0x5851F42D
 
 
 class Model:
@@ -46,12 +47,13 @@ class Model:
 
     def _refresh(self) -> None:
         """Order-0 table and weights from what has been seen."""
-        for own, state, is2, is1 in self.fresh:
-            self.counts += np.bincount(own, minlength=self.ids)
+        if self.fresh:
+            own, state, is2, is1 = (np.concatenate(x) for x in zip(*self.fresh))
             n = len(self.seen)
+            self.counts += np.bincount(own, minlength=self.ids)
             self.seen += np.bincount(state, minlength=n)
-            self.hit2 += np.bincount(state, is2, n)
-            self.hit1 += np.bincount(state, is1, n)
+            self.hit2 += np.bincount(state[is2], minlength=n)
+            self.hit1 += np.bincount(state[is1], minlength=n)
         self.fresh = []
         room = (1 << ZERO_BITS) - self.ids
         total = int(self.counts.sum())
@@ -60,20 +62,18 @@ class Model:
         self.cumulative[-1] = 1 << ZERO_BITS  # the last id gets what rounding leaves
         self.at = None
         # At least a sixteenth of the total stays for order 0, so every id can be coded.
-        most = (1 << BITS) * 15 / 16
-        scale = most / np.maximum(self.seen, self.hit2 + self.hit1)
+        scale = (1 << BITS) * 15 / 16 / np.maximum(self.seen, self.hit2 + self.hit1)
         self.mass2, self.mass1 = (self.hit2 * scale).astype(np.int64), (self.hit1 * scale).astype(np.int64)
+        self.mass1[1::2] = 0  # where both predict the same id it gets one share
+        self.mass0 = (1 << BITS) - self.mass2 - self.mass1
 
     def predict(self) -> None:
-        self.slot = (((self.before.astype(np.uint64) << np.uint64(20)) ^ self.last.astype(np.uint64)) * _MIX >> np.uint64(64 - CONTEXTS)).astype(np.int64)
-        e1, e2 = self.after1[self.last], self.after2[self.slot]
-        self.e1, self.e2 = e1, e2
-        self.p1, self.p2 = (e1 >> 3).astype(np.int64), (e2 >> 3).astype(np.int64)
-        same = self.p1 == self.p2
-        self.state = (((e2 & 7) << 3) + (e1 & 7)) * 2 + same
-        self.m2 = self.mass2[self.state]
-        self.m1 = np.where(same, 0, self.mass1[self.state])
-        self.m0 = (1 << BITS) - self.m2 - self.m1
+        self.slot = (self.before * _MIX1 + self.last * _MIX2 >> 9) & ((1 << CONTEXTS) - 1)
+        self.e1, self.e2 = self.after1[self.last], self.after2[self.slot]
+        p1, p2 = self.e1 >> 3, self.e2 >> 3
+        self.state = (((self.e2 & 7) << 4) | ((self.e1 & 7) << 1)) + (p1 == p2)
+        self.p1, self.p2 = p1.astype(np.int64), p2.astype(np.int64)
+        self.m2, self.m1, self.m0 = self.mass2[self.state], self.mass1[self.state], self.mass0[self.state]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids' shares: what ids before get, then a predicted id's mass, then its order-0 share."""
@@ -112,9 +112,10 @@ class Model:
         n = len(ids)
         is1, is2 = self.is1[:n], self.is2[:n]
         self.fresh.append((ids, self.state[:n], is2, is1 & ~is2))
+        anew = (ids << 3).astype(np.int32)
         for table, at, entry, hit in ((self.after1, self.last[:n], self.e1[:n], is1), (self.after2, self.slot[:n], self.e2[:n], is2)):
             sure = entry & 7
-            missed = np.where(sure > 1, entry - 2, ids.astype(np.int32) << 3)
+            missed = np.where(sure > 1, entry - 2, anew)
             table[at] = np.where(hit, entry + (sure < SURE), missed)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
