@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text", _with_length(docs)).join(drawn, "doc_id")
+    rows = docs.select("doc_id", "text", _with_length(docs)).join(F.broadcast(drawn), "doc_id")  # SAMPLE rows at most
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, x in feature_rows(batches):
