@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..functions.joining import join_lines, joined_words
-from ..functions.stats import smallest_mode
 from ..sources import txt, xhtml
 from .common import derived, derived_sql, table
 
