@@ -22,6 +22,7 @@ Finding the links:
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +79,13 @@ def distance(a: Column, b: Column) -> Column:
 def _block_masks(n: int, max_bits: int) -> list[int]:
     """Masks of the block choices that linked fingerprints agree on, as signed longs.
 
-    The more fingerprints there are, the more bits a bucket's key has: about as many as their number has.
-    Any choice is exact.
+    The more fingerprints there are, the more bits a bucket's key has, so that unrelated
+    fingerprints rarely meet (once for each four at most, up to 10^8 of them). Any choice is exact.
     """
-    blocks = next(b for b in range(max_bits + 2, max_bits + 6) if b == max_bits + 5 or n <= 2 ** (64 * (b - max_bits) // b + 1))
+    def meetings(blocks: int) -> float:
+        return comb(blocks, max_bits) * n / 2 ** (64 * (blocks - max_bits) // blocks)
+
+    blocks = next(b for b in range(max_bits + 3, max_bits + 6) if b == max_bits + 5 or meetings(b) <= 0.25)
     ends = [round(64 * i / blocks) for i in range(blocks + 1)]
     parts = [(1 << ends[i + 1]) - (1 << ends[i]) for i in range(blocks)]
     masks = [sum(c) for c in combinations(parts, blocks - max_bits)]
@@ -96,12 +100,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of ``fps`` (column fp, distinct) within max_bits."""
     masks = _block_masks(fps.count(), max_bits)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
-    keyed = keyed.select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
-    shared = keyed.groupBy("choice", "bits").agg(
+    # Two buckets that share a hash are compared as one: more pairs to look at, none lost.
+    keyed = keyed.select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    shared = keyed.groupBy("key").agg(
         F.count("*").alias("n"),
         *[F.min_by("fp", F.xxhash64("fp", F.lit(s))).alias(f"ref{s}") for s in range(REFERENCES * ROUNDS)],
     )
-    buckets = written(keyed.join(shared.where("n > 1"), ["choice", "bits"]), "buckets")
+    buckets = written(keyed.join(shared.where("n > 1"), "key"), "buckets")
     stars = None
     for turn in range(ROUNDS):
         drawn = F.explode(F.array(*[F.col(f"ref{s}") for s in range(turn * REFERENCES, (turn + 1) * REFERENCES)]))
@@ -111,22 +116,21 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         near = near.distinct()
         stars = written(near if stars is None else stars.union(near).distinct(), "stars")
         comp = components(stars)
-        labelled = buckets.select("choice", "bits", "fp").join(comp, F.col("fp") == F.col("node"), "left")
-        labelled = written(labelled.select("choice", "bits", "fp", F.coalesce("component", "fp").alias("comp")), "labelled")
-        by = labelled.groupBy("choice", "bits", "comp").agg(F.count("*").alias("n"))
-        open_ = by.groupBy("choice", "bits").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        labelled = buckets.select("key", "fp").join(comp, F.col("fp") == F.col("node"), "left")
+        labelled = written(labelled.select("key", "fp", F.coalesce("component", "fp").alias("comp")), "labelled")
+        by = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        open_ = by.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         open_ = open_.where("n * n > own")
         left = open_.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
         if left <= ENOUGH * labelled.count():
             break
     table = [distance(F.col("fp"), _pivot(j)).cast("byte").alias(f"d{j}") for j in range(PIVOTS)]
-    rest = labelled.join(open_.select("choice", "bits"), ["choice", "bits"]).select("choice", "bits", "fp", "comp", *table)
+    rest = labelled.join(open_.select("key"), "key").select("key", "fp", "comp", *table)
     a, b = rest.alias("a"), rest.alias("b")
     apart = F.greatest(*[F.abs(F.col(f"a.d{j}") - F.col(f"b.d{j}")) for j in range(PIVOTS)])
     found = a.join(
         b,
-        (F.col("a.choice") == F.col("b.choice"))
-        & (F.col("a.bits") == F.col("b.bits"))
+        (F.col("a.key") == F.col("b.key"))
         & (F.col("a.comp") < F.col("b.comp"))
         & (apart <= max_bits)
         & (distance(F.col("a.fp"), F.col("b.fp")) <= max_bits),
