@@ -7,7 +7,10 @@ united over all passes; a vector's links are counted among its component, block
 writing out the pairs.
 
 Equal vectors are one node with a weight. The number of passes follows the number of vectors: enough that
-a pair just at the threshold shares a window at least once with the probability RECALL.
+a pair just at the threshold shares a prefix of ``prefix_bits`` at least once with the probability RECALL.
+If vectors are spread evenly, those of a prefix fit into one window. A prefix that more vectors share is crowded:
+there the vectors that the windows left in different components are compared whole, block against block, so that
+the probability holds for any data.
 """
 
 from __future__ import annotations
@@ -39,10 +42,14 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def prefix_bits(n: int, window: int = WINDOW) -> int:
+    """Bits of a prefix that no more than ``window`` of ``n`` vectors share if they are spread evenly."""
+    return min(HASH_BITS, math.ceil(max(0.0, math.log2(max(n, 1) / window))))
+
+
 def passes(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has met in a window with probability ``recall``."""
-    bits = max(0.0, math.log2(max(n, 1) / window))
-    meets = (1 - math.acos(threshold) / math.pi) ** bits
+    """Passes after which a pair at the threshold has shared a prefix with probability ``recall``."""
+    meets = (1 - math.acos(threshold) / math.pi) ** prefix_bits(n, window)
     return 2 if meets > 0.99 else max(2, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
@@ -87,7 +94,7 @@ def _windows(batches: Iterator[pd.DataFrame], threshold: float, window: int) ->
 
 
 def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """Pairs (u < v) of ``nodes`` (node, embedding) with cosine >= threshold that the passes bring together."""
+    """Pairs (u < v) of ``nodes`` (node, embedding) with cosine >= threshold that the windows bring together."""
     n = nodes.count()
     turns = passes(n, threshold, window)
     kind = nodes.schema["embedding"].dataType.simpleString()
@@ -102,6 +109,69 @@ def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, window: int = WIN
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _across(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Components that a link between the members of two blocks joins; for a block with itself, among its members."""
+    a, b = group[group["side"] == 0], group[group["side"] == 1]
+    b = a if b.empty else b
+    if a.empty:
+        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    ca, cb = a["comp"].to_numpy(), b["comp"].to_numpy()
+    i, j = np.nonzero(matrix(a["embedding"]) @ matrix(b["embedding"]).T >= threshold)
+    u, v = ca[i], cb[j]
+    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})[u != v].drop_duplicates()
+
+
+def crowded_pairs(nodes: DataFrame, comps: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+    """Pairs (u < v) of components that a link between vectors of one crowded prefix joins; a vector that ``comps`` lacks is its own.
+
+    In each crowded prefix the members of its largest component are not compared with one another, so a group of near-equal
+    vectors costs its size times the number of other vectors there.
+    """
+    n = nodes.count()
+    turns, drop = passes(n, threshold, window), HASH_BITS - prefix_bits(n, window)
+    keys = ["turn", "width", "prefix"]
+    hashed = nodes.mapInPandas(
+        lambda b: (rows.drop(columns="embedding") for rows in _hashes(b, turns)), "turn int, width int, h long, node long"
+    )
+    hashed = hashed.select("turn", "width", F.shiftright("h", drop).alias("prefix"), "node")
+    labelled = hashed.join(comps, "node", "left").select(*keys, "node", F.coalesce("component", "node").alias("comp"))
+    labelled = written(labelled, "prefixes")
+    sizes = labelled.groupBy(*keys, "comp").agg(F.count("*").alias("n")).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")
+    )
+    # Blocks of the others come first, then those of the largest component.
+    sizes = sizes.where((F.col("n") > window + 1) & (F.col("n") > F.col("top.n"))).select(
+        *keys,
+        F.col("top.comp").alias("top"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others"),
+        F.ceil(F.col("top.n") / BLOCK).cast("int").alias("tops"),
+    )
+    members = labelled.join(sizes, keys)
+    is_top = F.col("comp") == F.col("top")
+    dealt = F.xxhash64("node")
+    block = F.when(is_top, F.col("others") + F.pmod(dealt, F.col("tops"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int")
+    members = members.withColumn("block", block)
+    last = F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    meets = _meetings(last)
+    rows = members.select(*keys, "node", "comp", F.explode(meets).alias("m")).select(*keys, "m.*", "node", "comp")
+    rows = rows.join(nodes.select("node", "embedding"), "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return _across(group, threshold)
+
+    return rows.groupBy(*keys, "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
+def _meetings(last: Column) -> Column:
+    """The meetings (i, j, side) of a member of ``block`` with blocks 0 to ``last``: side 0 with those that follow and its own, side 1 with those before."""
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.struct(
+            F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), (k < F.col("block")).cast("int").alias("side")
+        ),
+    )
+
+
 def _count_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Weighted links between the members of two blocks of a component; for a block with itself, among its members."""
     a, b = group[group["side"] == 0], group[group["side"] == 1]
@@ -120,13 +190,7 @@ def link_counts(nodes: DataFrame, comps: DataFrame, threshold: float = THRESHOLD
     members = nodes.join(comps, "node")
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Each member goes to its block's meeting with every block: as side 0 with those that follow, as side 1 with those before.
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(
-            F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), (k < F.col("block")).cast("int").alias("side")
-        ),
-    )
+    meets = _meetings(F.col("blocks") - 1)
     rows = members.select("component", "node", "weight", "embedding", F.explode(meets).alias("m"))
     rows = rows.select("component", "m.*", "node", "weight", "embedding")
 
@@ -153,6 +217,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     nodes = written(nodes, "nodes")
     pairs = written(near_pairs(nodes.select("node", "embedding"), threshold, window), "pairs")
     comps = written(components(pairs), "components")
+    across = crowded_pairs(nodes.select("node", "embedding"), comps, threshold, window)
+    stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    comps = written(components(written(stars.union(across), "joined")), "components")
     counts = link_counts(nodes.select("node", "weight", "embedding"), comps, threshold)
     named = nodes.select("node", "least", "weight").join(comps, "node", "left").join(counts, "node", "left")
     named = written(named.select("node", "least", "weight", F.coalesce("component", "node").alias("comp"), F.coalesce("n", F.lit(0)).alias("n")), "named")

@@ -227,6 +227,27 @@ def test_link_counts_over_several_blocks(spark, monkeypatch):
     assert {got[i]["n_links"] for i in range(50)} == {49} and {got[100 + i]["component_id"] for i in range(20)} == {100}
 
 
+def test_embedding_dedup_joins_outlying_vectors_of_a_hot_third(spark):
+    rng = np.random.default_rng(11)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    n, width = 4000, 64
+    center = unit(rng.normal(size=(1, width)))
+    away = rng.normal(size=(n, width))
+    hot = 0.95**0.5 * center + 0.05**0.5 * unit(away - away @ center.T * center)
+    side = rng.normal(size=(300, width))
+    side -= (side * hot[:300]).sum(axis=1, keepdims=True) * hot[:300]
+    outlying = 0.905 * hot[:300] + (1 - 0.905**2) ** 0.5 * unit(side)
+    x = np.concatenate([hot, outlying, unit(rng.normal(size=(2 * n, width)))]).astype(np.float32)
+    linked = (outlying @ hot.T >= 0.9).any(axis=1)
+    assert linked.all()
+    got = embed_dedup.near_duplicates(vectors_of(spark, list(enumerate(x.tolist())))).toPandas().set_index("vec_id")["component_id"]
+    assert (got[:n] == 0).all()
+    assert (got[n : n + 300] == 0).mean() >= embed_dedup.RECALL
+
+
 def test_ann_recall_and_order(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)] + [(5000 + i, rng.normal(size=16).tolist()) for i in range(3)]
