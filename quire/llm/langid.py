@@ -254,10 +254,14 @@ def learned(docs: DataFrame) -> Model | None:
     return fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
 
 
-def of_known_language(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: some letter, and a score of at least ``least``."""
+def of_known_language(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: one that is not UNKNOWN, with a score of at least ``least``.
+
+    The score is a share among the learned languages: it is low for short texts that several of them share and
+    high for text of none of them, so no ``least`` tells clean text from other. Where nothing was learned, every text with a letter stays.
+    """
     if model is None:
-        return docs.limit(0)
+        return docs.where(F.col("text").rlike(HAS_LETTER))
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -208,6 +208,18 @@ def test_language_id(spark):
     assert langid.identify(documents(spark, []), model).count() == 0
 
 
+def test_short_texts_that_languages_share_have_one(spark):
+    own = {"de": "das haus", "en": "the house", "es": "la casa", "fr": "le jardin"}
+    rows = [(i, f"{own[g]} radio taxi", g, "s") for i in range(30) for g in own]
+    docs = documents(spark, rows)
+    model = langid.learned(docs)
+    short = documents(spark, [(1, "radio"), (2, "taxi radio"), (3, "7 8"), (4, None)])
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(short, model).collect()}
+    assert scores[1] < 0.5
+    assert {r["doc_id"] for r in langid.of_known_language(short, model).collect()} == {1, 2}
+    assert {r["doc_id"] for r in langid.of_known_language(short, None).collect()} == {1, 2}
+
+
 def test_forward_sums_all_segmentations():
     graph = langid.lattice(langid.default_vocabulary())
     import numpy as np
