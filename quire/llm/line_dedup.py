@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import words, written
 
-#: Words that a line needs for the bound of one edit; shorter lines must be equal. One word in five is a similarity of 0.8.
+#: Words that a line needs for the bound of one edit; shorter lines must be equal. The bound does not grow with the line.
 MIN_WORDS = 8
 #: Rows of at most 50 bytes up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
