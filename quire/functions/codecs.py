@@ -105,6 +105,8 @@ def lzw(data: bytes, early: int = 1) -> bytes:
 def predictor(data: bytes, kind: int, columns: int = 1, colors: int = 1, bits: int = 8) -> bytes:
     """Undoes TIFF (2) and PNG (10 to 15) prediction; a cut last row goes."""
     step, row = max(1, colors * bits // 8), (columns * colors * bits + 7) // 8
+    if row > len(data):
+        return b""
     if kind == 2 and bits == 8:
         rows = np.frombuffer(data[: len(data) // row * row], np.uint8).reshape(-1, columns, colors)
         return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
@@ -130,6 +132,10 @@ def predictor(data: bytes, kind: int, columns: int = 1, colors: int = 1, bits: i
     return b"".join(out)
 
 
+#: What a stream's parameters hold, all whole numbers, and what each is if it is not given.
+PARAMETERS = {"Predictor": 1, "Columns": 1, "Colors": 1, "BitsPerComponent": 8, "EarlyChange": 1}
+
+
 def decode(data: bytes, filters: list[str], parms: list[dict] | dict | None = None) -> tuple[bytes, str]:
     """A chain of filters; one dictionary of parameters belongs to the first. Returns bytes and a status."""
     given = [parms] if isinstance(parms, dict) else list(parms or [])
@@ -157,14 +163,15 @@ def decode(data: bytes, filters: list[str], parms: list[dict] | dict | None = No
     return data, OK
 
 
-def _decode_all(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for content, filters in batches:
-        yield pd.DataFrame([decode(bytes(c or b""), list(f) if f is not None else []) for c, f in zip(content, filters)], columns=["data", "status"])
+def _decode_all(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for content, filters, *parms in batches:
+        given = [[{k: int(p[k]) for k in PARAMETERS} for p in ps] for ps in parms[0]] if parms else [None] * len(content)
+        yield pd.DataFrame([decode(bytes(c or b""), list(f) if f is not None else [], p) for c, f, p in zip(content, filters, given)], columns=["data", "status"])
 
 
-def decoded(content: Column, filters: Column) -> Column:
-    """Struct (data, status) of a binary column and an array of filter names."""
-    return F.pandas_udf(_decode_all, T.StructType().add("data", "binary").add("status", "string"))(content, filters)
+def decoded(content: Column, filters: Column, parms: Column | None = None) -> Column:
+    """Struct (data, status) of a binary column, an array of filter names and, parallel to it, one of structs of PARAMETERS without nulls."""
+    return F.pandas_udf(_decode_all, T.StructType().add("data", "binary").add("status", "string"))(content, filters, *([] if parms is None else [parms]))
 
 
 def _encode_all(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -39,6 +39,18 @@ def _refs(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1)), lambda x: x.cast("int"))
 
 
+def _parms(head: Column) -> Column:
+    """The parameters of a stream's filters, an array of structs of codecs.PARAMETERS; ``null`` stands for a filter without any."""
+    given = F.regexp_extract(head, "(?s)/(?:DecodeParms|DP)[ \\t\\r\\n]*(\\[[^\\]]*\\]|<<.*?>>)", 1)
+    each = F.regexp_extract_all(given, F.lit("(?s)(<<.*?>>|null)"), F.lit(1))
+
+    def number(p: Column, key: str, default: int) -> Column:
+        n = F.coalesce(_value(p, key, "([0-9]{1,9})").cast("int"), F.lit(default))
+        return (n if key == "EarlyChange" else F.greatest(n, F.lit(1))).alias(key)
+
+    return F.transform(each, lambda p: F.struct(*[number(p, k, d) for k, d in codecs.PARAMETERS.items()]))
+
+
 def objects(books: DataFrame) -> DataFrame:
     """Rows (book, num, body, data, status) of books (book, content): the last object of each number, its stream decoded. A written table."""
     text = F.decode("content", "ISO-8859-1")
@@ -49,8 +61,8 @@ def objects(books: DataFrame) -> DataFrame:
     head = F.regexp_replace("body", "(?s)stream[\\r\\n].*", "")
     filters = F.regexp_extract_all(F.regexp_extract(head, "(?s)/Filter[ \\t\\r\\n]*(\\[[^\\]]*\\]|/[A-Za-z0-9]+)", 1), F.lit("/([A-Za-z0-9]+)"), F.lit(1))
     has = F.col("body").rlike("(?s)stream[\\r\\n].*endstream")
-    rows = rows.select("book", "num", head.alias("body"), F.when(has, F.encode(raw, "ISO-8859-1")).alias("raw"), filters.alias("filters"))
-    plain = rows.withColumn("d", codecs.decoded(F.col("raw"), F.col("filters"))).select(
+    rows = rows.select("book", "num", head.alias("body"), F.when(has, F.encode(raw, "ISO-8859-1")).alias("raw"), filters.alias("filters"), _parms(head).alias("parms"))
+    plain = rows.withColumn("d", codecs.decoded(F.col("raw"), F.col("filters"), F.col("parms"))).select(
         "book", "num", "body", F.when(F.col("raw").isNotNull(), F.col("d.data")).alias("data"), F.when(F.col("raw").isNotNull(), F.col("d.status")).alias("status")
     )
     plain = written(plain, "pdf_objects")

@@ -170,6 +170,27 @@ def test_epub(spark):
     assert not paras[0]["cont"] and sum(p["cont"] for p in paras) == sum(p["open"] for p in paras) == len(own) - 1
 
 
+def test_pdf_streams_with_parameters(spark):
+    """A PNG predictor for one filter, and for the second of two."""
+    import zlib
+
+    def predicted(text, columns):
+        text = text.ljust(-(-len(text) // columns) * columns)
+        rows, above, out = [text[i : i + columns] for i in range(0, len(text), columns)], bytes(columns), b""
+        for row in rows:
+            out += b"\x02" + bytes((x - y) % 256 for x, y in zip(row, above))
+            above = row
+        return zlib.compress(out)
+
+    head = "<< /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 7 >> >>"
+    two = "<< /Filter [/ASCIIHexDecode /FlateDecode] /DecodeParms [null << /Columns 5 /Predictor 15 >>] >>"
+    body = b"%PDF-1.4\n1 0 obj " + head.encode() + b" stream\n" + predicted(b"BT (one) Tj ET", 7) + b"\nendstream endobj\n"
+    body += b"2 0 obj " + two.encode() + b" stream\n" + predicted(b"BT (two) Tj ET ", 5).hex().encode() + b">\nendstream endobj\n"
+    rows = pdf.objects(spark.createDataFrame([(1, bytearray(body))], "book int, content binary")).collect()
+    got = {r["num"]: (r["status"], bytes(r["data"]).strip()) for r in rows}
+    assert got == {1: ("OK", b"BT (one) Tj ET"), 2: ("OK", b"BT (two) Tj ET")}
+
+
 def test_pdf_objects_pages_and_streams(spark):
     import zlib
 
