@@ -26,24 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import written
 
 #: Words that a line needs for the bound of one edit; shorter lines must be equal. The bound does not grow with the line.
 MIN_WORDS = 8
-#: Rows of at most 50 bytes up to which a table is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
-#: A line's place in the order of lines, which is unique: null doc_ids come last.
-PLACE = ["no_id", "id", "text_hash", "place"]
-
-
-def _if_small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line of a text, with its place."""
-    return docs.where("text is not null").select(*_identity(), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+#: A line's place in the order of lines: null doc_ids come last. Rows that repeat (doc_id, text) share their lines' places.
+DOC = ["no_id", "id", "text_hash"]
+PLACE = [*DOC, "place"]
+#: White space besides the space and the line end.
+_BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
 def _identity() -> list[Column]:
@@ -54,16 +45,53 @@ def _identity() -> list[Column]:
     ]
 
 
-def _edge_keys(w: Column, n: Column) -> dict[str, Column]:
-    """Hashes of the first and the last k words, k a power of two and at most half of n.
+def _by_turn(docs: DataFrame) -> DataFrame:
+    """Rows (row, no_id, id, text_hash, again): again is true for all but one of the rows that share doc_id and text."""
+    own = docs.select(F.struct("*").alias("row"), *_identity())
+    repeated = written(own.groupBy(*DOC).agg(F.count("*").alias("n")).where("n > 1").select(*DOC), "repeated_rows")
+    same = written(own.join(repeated, DOC, "left_semi").withColumn("at", F.monotonically_increasing_id()), "rows_that_repeat")
+    first = same.groupBy(*DOC).agg(F.min("at").alias("first_at"))
+    same = same.join(first, DOC).select("row", *DOC, (F.col("at") > F.col("first_at")).alias("again"))
+    return own.join(repeated, DOC, "left_anti").select("row", *DOC, F.lit(False).alias("again")).union(same)
+
+
+def _plain_lines() -> Column:
+    """The lines of a row's text in lower case, white space as spaces."""
+    text = F.lower("row.text")
+    for blank in _BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, "\n")
+
+
+def _normal(line: Column) -> Column:
+    trimmed = F.trim(line)
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(trimmed, " +", " ")).otherwise(trimmed)
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """A row for each line with a word: its place, and its normal form (line)."""
+    each = rows.where("not again and row.text is not null").select(*DOC, F.posexplode(_plain_lines()).alias("place", "line"))
+    return each.withColumn("line", _normal(F.col("line"))).where("line <> ''")
+
+
+def _words_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``lines`` (PLACE and other columns) with the words of their normal forms (w). Lines that aren't asked for are not formed."""
+    asked = lines.groupBy(*DOC).agg(F.collect_list(F.struct(*[c for c in lines.columns if c not in DOC])).alias("asked"))
+    own = rows.where("not again").join(asked, DOC).select(*DOC, "asked", _plain_lines().alias("all_lines"))
+    each = F.transform("asked", lambda x: F.struct(x.alias("x"), F.get("all_lines", x["place"]).alias("line")))
+    own = own.select(*DOC, F.explode(each).alias("e"))
+    return own.select(*DOC, "e.x.*", F.split(_normal(F.col("e.line")), " ").alias("w"))
+
+
+def _edge_keys(line: Column, n: Column) -> dict[str, Column]:
+    """Hashes of the first and the last k of a line's n words, k a power of two and at most half of n.
 
     A line whose number of words is itself a power of two gets those for one word less too: its
     partners that are a word shorter have that k.
     """
 
     def key(side: str, k: Column) -> Column:
-        part = F.slice(w, F.lit(1), k) if side == "first" else F.slice(w, n - k + 1, k)
-        return F.xxhash64(F.lit(side), k, F.array_join(part, " "))
+        return F.xxhash64(F.lit(side), k, F.call_function("substring_index", line, F.lit(" "), k if side == "first" else -k))
 
     def power(m: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1), F.length(F.bin(m)) - 2)  # half the highest bit of m
@@ -78,16 +106,17 @@ def _edge_keys(w: Column, n: Column) -> dict[str, Column]:
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """Places of the distinct lines that share an edge with another, and which (first_shared, last_shared)."""
+    """The distinct lines that share an edge with another, and which (first_shared, last_shared); line_id ascends with their places."""
     names = ["first_key", "last_key", "first_key_less", "last_key_less"]
     keys = distinct.where("first_key is not null")
     each = keys.select(F.explode(F.array_compact(F.array(*names))).alias("edge"))
     common = written(each.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge"), "common_edges")
     sides = F.array(*[F.struct(F.col(c).alias("edge"), F.lit(c.startswith("first")).alias("is_first")) for c in names])
     rows = keys.select("first", F.explode(sides).alias("e")).select("first", "e.edge", "e.is_first").where("edge is not null")
-    shared = rows.join(_if_small(common), "edge", "left_semi")
+    shared = rows.join(common, "edge", "left_semi")
     found = shared.groupBy("first").agg(F.max("is_first").alias("first_shared"), F.max(~F.col("is_first")).alias("last_shared"))
-    return written(found.select("first.*", "first_shared", "last_shared"), "candidates")
+    placed = found.select("first.*", "first_shared", "last_shared").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    return written(placed.withColumn("line_id", F.monotonically_increasing_id()), "candidates")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -99,9 +128,9 @@ def _variants(texts: DataFrame) -> DataFrame:
         return F.shiftrightunsigned(F.xxhash64(F.lit(salt), "word", place), 20)
 
     # The lines are dealt out before their words are: the windows need no exchange of their own.
-    each = texts.repartition(*PLACE).select(*PLACE, "first_shared", "last_shared", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+    each = texts.repartition("line_id").select("line_id", "first_shared", "last_shared", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
     each = each.withColumns({f"{s}{d}": at(F.col("j") - d, s) for s in ("a", "b") for d in (0, 1)})
-    line = Window.partitionBy(*PLACE)
+    line = Window.partitionBy("line_id")
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {}
     for s in ("a", "b"):
@@ -114,38 +143,35 @@ def _variants(texts: DataFrame) -> DataFrame:
         F.when(emitted, F.struct(F.xxhash64(F.col("n") - 1, "a_without", "b_without").alias("key"), F.col("j").alias("j"))),
         F.when(F.col("j") == 0, F.struct(F.xxhash64("n", "a_whole", "b_whole").alias("key"), F.lit(-1).alias("j"))),
     )
-    rows = each.select(F.struct(*PLACE).alias("first"), F.explode(F.array_compact(out)).alias("v"))
-    return rows.select("first", "v.key", "v.j")
+    return each.select("line_id", F.explode(F.array_compact(out)).alias("v")).select("line_id", "v.key", "v.j")
 
 
-def _near_repeats(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near_repeats(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines with an earlier line one word edit away."""
-    few = _candidates(distinct)
-    texts = _lines(docs).join(_if_small(few), PLACE)
-    texts = written(texts.select(*PLACE, "first_shared", "last_shared", words(F.lower("line")).alias("w")), "candidate_texts")
-    keyed = _variants(texts)
-    groups = keyed.groupBy("key", "j").agg(F.min("first").alias("place_first"), F.count("*").alias("rows"))
+    texts = written(_words_of(rows, _candidates(distinct)), "candidate_texts")
+    keyed = written(_variants(texts), "variants")
+    groups = keyed.groupBy("key", "j").agg(F.min("line_id").alias("place_first"), F.count("*").alias("rows"))
+    variant = F.col("j") >= 0
     of_key = groups.groupBy("key").agg(
         F.sum("rows").alias("rows"),
-        F.min(F.when(F.col("j") < 0, F.col("place_first"))).alias("whole_first"),
-        F.min(F.when(F.col("j") >= 0, F.struct(F.col("place_first").alias("first"), "j"))).alias("variant_first"),
+        F.min(F.when(~variant, F.col("place_first"))).alias("whole_first"),
+        F.min(F.when(variant, F.col("place_first"))).alias("variant_first"),
+        F.min_by(F.when(variant, F.col("j")), F.when(variant, F.col("place_first"))).alias("variant_j"),
     )
-    of_key = written(of_key.where("rows > 1").select("key", "whole_first", "variant_first"), "met_keys")
-    met = written(keyed.join(_if_small(of_key.select("key")), "key", "left_semi"), "met_variants")
-    same_place = met.where("j >= 0").groupBy("key", "j").agg(F.min("first").alias("place_first"))
+    of_key = written(of_key.where("rows > 1").drop("rows"), "met_keys")
+    met = written(keyed.join(of_key.select("key"), "key", "left_semi"), "met_variants")
+    same_place = met.where("j >= 0").groupBy("key", "j").agg(F.min("line_id").alias("place_first"))
     met = met.join(of_key, "key").join(same_place, ["key", "j"], "left")
     # j: the word that is left out of this line; by_j: the word left out of the earlier line, -1 for none
     options = F.array(
         F.struct(F.col("place_first").alias("by"), F.col("j").alias("j"), F.col("j").alias("by_j")),
-        F.struct(F.when(F.col("j") >= 0, F.col("whole_first")).alias("by"), F.col("j").alias("j"), F.lit(-1).alias("by_j")),
-        F.struct(F.when(F.col("j") < 0, F.col("variant_first.first")).alias("by"), F.lit(-1).alias("j"), F.col("variant_first.j").alias("by_j")),
+        F.struct(F.when(variant, F.col("whole_first")).alias("by"), F.col("j").alias("j"), F.lit(-1).alias("by_j")),
+        F.struct(F.when(~variant, F.col("variant_first")).alias("by"), F.lit(-1).alias("j"), F.col("variant_j").alias("by_j")),
     )
-    met = met.select("first", F.explode(options).alias("o")).where(F.col("o.by") < F.col("first"))
-    best = met.groupBy("first").agg(F.min("o").alias("o"))
-    checked = best.select("first.*", *[F.col(f"o.by.{c}").alias(f"by_{c}") for c in PLACE], F.col("o.j").alias("j"), F.col("o.by_j").alias("by_j"))
-    checked = checked.join(texts.select(*PLACE, "w"), PLACE)
-    theirs = texts.select(*[F.col(c).alias(f"by_{c}") for c in PLACE], F.col("w").alias("by_w"))
-    checked = checked.join(theirs, [f"by_{c}" for c in PLACE])
+    met = met.select("line_id", F.explode(options).alias("o")).where(F.col("o.by") < F.col("line_id"))
+    best = met.groupBy("line_id").agg(F.min("o").alias("o")).select("line_id", "o.*")
+    theirs = texts.select(F.col("line_id").alias("by"), F.col("w").alias("by_w"))
+    checked = best.join(texts.select(*PLACE, "line_id", "w"), "line_id").join(theirs, "by")
 
     def without(w: str, j: str) -> Column:
         cut = F.concat(F.slice(w, F.lit(1), F.col(j)), F.slice(w, F.col(j) + 2, F.size(w)))
@@ -159,27 +185,29 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     One row for each row of ``docs``, its other columns as they were, but n_chars, if there is one, which is
     counted anew. Null text stays null and has 0 lines; a text of which every line is repeated becomes
-    empty. Columns of docs called n_lines or kept_lines give way. Rows that share doc_id and text are one document here and come out alike; null doc_ids come
-    last and are one document for each text. An empty table gives no rows.
+    empty. Columns of docs called n_lines or kept_lines give way. Null doc_ids come last, in order of their texts' hashes.
+    Of rows that share doc_id and text one, whichever, keeps lines; the others repeat it. An empty table gives no rows.
     """
-    rows = _lines(docs).withColumn("w", words(F.lower("line"))).withColumn("n", F.size("w")).where("n > 0")
-    joined = F.array_join("w", " ")
-    keys = _edge_keys(F.col("w"), F.col("n"))
-    rows = rows.select(
-        F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), F.struct(*PLACE).alias("first"), *[k.alias(c) for c, k in keys.items()]
+    rows = _by_turn(docs)
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lines = _lines(rows).withColumn("n", n)
+    keys = _edge_keys(F.col("line"), F.col("n"))
+    lines = lines.select(
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), F.struct(*PLACE).alias("first"), *[k.alias(c) for c, k in keys.items()]
     )
-    distinct = rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), *[F.min(c).alias(c) for c in keys])
+    distinct = lines.groupBy("h1", "h2").agg(F.min("first").alias("first"), *[F.min(c).alias(c) for c in keys])
     distinct = written(distinct.drop("h1", "h2"), "distinct_lines")
-    kept = distinct.select("first.*").join(_near_repeats(docs, distinct), PLACE, "left_anti")
-    kept = kept.groupBy("no_id", "id", "text_hash").agg(F.collect_list("place").alias("kept"))
-    return _of_kept_lines(docs, kept)
+    kept = distinct.select("first.*").join(_near_repeats(rows, distinct), PLACE, "left_anti")
+    kept = kept.groupBy(*DOC).agg(F.collect_list("place").alias("kept"))
+    return _of_kept_lines(docs, rows, kept)
 
 
-def _of_kept_lines(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    own = docs.select(F.struct("*").alias("row"), *_identity()).join(kept, ["no_id", "id", "text_hash"], "left")
+def _of_kept_lines(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    own = rows.join(kept, DOC, "left")
     own = own.withColumn("all_lines", F.split("row.text", "\n"))
     blank = F.transform("all_lines", lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i))
-    places = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), F.array_compact(blank)))
+    none = F.array().cast("array<int>")
+    places = F.array_sort(F.concat(F.when(F.col("again"), none).otherwise(F.coalesce("kept", none)), F.array_compact(blank)))
     own = own.withColumn("lines", F.transform(places, lambda i: F.get("all_lines", i)))
     no_text = F.col("row.text").isNull()
     text = F.when(~no_text, F.array_join("lines", "\n"))

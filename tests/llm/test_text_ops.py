@@ -81,8 +81,27 @@ def test_line_dedup_is_brute_force(spark, seed):
 def test_line_dedup_of_templates_repeats_and_empty_table(spark):
     rows = [(i, f"this is the number {i} of a very long series") for i in range(50)] + [(7, "same text"), (7, "same text"), (8, "word " * 30_000)]
     got = line_dedup.dedup_lines(documents(spark, rows)).collect()
-    assert sum(r["text"] == "" for r in got) == 49 and [r["text"] for r in got if r["doc_id"] == 7][-2:].count("same text") >= 1
-    assert sum(r["text"] == "same text" for r in got) == 2
+    assert sum(r["text"] == "" for r in got) == 50 and [r["text"] for r in got if r["doc_id"] == 7][-2:].count("same text") >= 1
+    assert sum(r["text"] == "same text" for r in got) == 1 and sum(r["doc_id"] == 7 for r in got) == 2
+    rows = [(None, "one\ntwo", "x"), (None, "one\ntwo", "y"), (None, "two\nthree", "z"), (5, "three", "a"), (5, "four\n\nthree", "b"), (5, "three", "a")]
+    got = sorted(map(tuple, line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "text", "lang", "kept_lines").collect()), key=str)
+    kept = [r[1] for r in got]
+    assert len(got) == 6 and sum(x.split("\n").count(w) for x in kept for w in ("one", "two", "three", "four")) == 4 and kept.count("") >= 2
+    assert sorted(g for _, _, g, _ in got) == ["a", "a", "b", "x", "y", "z"]
+
+
+def test_line_dedup_by_shuffled_joins(spark):
+    """The plan of tables too large to broadcast gives the same rows."""
+    rng = random.Random(8)
+    lines = [" ".join(x) for x in random_lines(30, 8)]
+    rows = [(i, "\n".join(rng.choice(lines) + rng.choice(["", "", " end"]) for _ in range(6))) for i in range(40)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == dedup_by_hand(rows)
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
