@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WORD_LEVEL, Encoder, tokenizer_path
-from .tokentable import slabs
+from .tokens import WORD_LEVEL, encoder, slabs, tokenizer_path
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -106,14 +105,18 @@ def _fill_by_cuts(windows: list, rooms: dict[int, int], window: int) -> None:
         high -= 1
 
 
-def _packed(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int, window: int, group_tokens: int) -> Iterator[pd.DataFrame]:
-    encoder = Encoder(vocabulary, WORD_LEVEL)
+_PIECES = "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _PIECES.split(", ")])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, window: int, group_tokens: int) -> Iterator[pa.RecordBatch]:
+    coder = encoder(vocabulary, WORD_LEVEL)
     partition, sequence = TaskContext.get().partitionId(), 0
     names: list = []
     ids: list[np.ndarray] = []
     held = 0
 
-    def close() -> Iterator[pd.DataFrame]:
+    def close() -> Iterator[pa.RecordBatch]:
         nonlocal sequence
         rows, size = [], 0
         for own in pack([len(x) for x in ids], window):
@@ -125,29 +128,34 @@ def _packed(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int, windo
                 size += n
             sequence += 1
             if size > 2**20:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                yield _batch(rows)
                 rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            yield _batch(rows)
 
     for batch in batches:
-        texts, own_names = batch["text"].tolist(), batch["doc_id"].tolist()
-        for a, b in slabs(texts):
-            flat, counts = encoder.encode([t or "" for t in texts[a:b]])
+        own_names, at = batch.column(0).to_pylist(), 0
+        for texts in slabs(batch.column(1)):
+            flat, counts = coder.encode(texts)
             ends = np.cumsum(counts)
-            for name, end, n in zip(own_names[a:b], ends, counts):
-                names.append(name)
-                ids.append(np.append(flat[end - n : end], flat.dtype.type(end_id)))
-                held += n + 1
+            # the end id after each document's ids
+            flat = np.insert(flat, ends, end_id)
+            bounds = np.concatenate(([0], ends + np.arange(1, len(ends) + 1))).tolist()
+            for k in range(len(texts)):
+                names.append(own_names[at + k])
+                ids.append(flat[bounds[k] : bounds[k + 1]])
+                held += bounds[k + 1] - bounds[k]
                 if held >= group_tokens:
                     yield from close()
                     names.clear()
                     ids.clear()
                     held = 0
+            at += len(texts)
     yield from close()
 
 
-_COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def pack_documents(
@@ -163,13 +171,10 @@ def pack_documents(
     vocabulary = vocabulary or tokenizer_path(VOCABULARY)
     kind = docs.schema["doc_id"].dataType
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _packed(batches, vocabulary, end_id, window, group_tokens)
 
-    rows = docs.select(F.col("doc_id").cast("string"), "text")  # as text: pandas has no null integers
-    out = rows.mapInPandas(
-        run, "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    )
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, _PIECES)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -22,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
 from .common import fresh_path, shuffle_partitions, written
-from .tokens import BYTE_LEVEL, Encoder, tokenizer_path
-from .tokentable import slabs
+from .tokens import BYTE_LEVEL, encoder, slabs, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -87,11 +87,12 @@ def read_chunk(data: bytes, vocabulary: int) -> Iterator[tuple[str | None, np.nd
 
 
 _INDEX = "shard long, chunk long, path string, offset long, length long, n_docs long, n_tokens long"
+_INDEX_ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _INDEX.split(", ")])
 
 
-def _write_shard(batches, path: str, tokenizer: str, end_id: int, block_tokens: int) -> Iterator[pd.DataFrame]:
-    encoder = Encoder(tokenizer, BYTE_LEVEL)
-    vocabulary = encoder.tokenizer.get_vocab_size()
+def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    coder = encoder(tokenizer, BYTE_LEVEL)
+    vocabulary = coder.tokenizer.get_vocab_size()
     shard = TaskContext.get().partitionId()
     names: list[str | None] = []
     lengths: list[int] = []
@@ -99,7 +100,6 @@ def _write_shard(batches, path: str, tokenizer: str, end_id: int, block_tokens:
     rows: list[tuple] = []
     file, offset, held, where = None, 0, 0, f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.qids"
     store, inside = _store(where)
-    end = np.array([end_id], np.uint32)
 
     def close() -> None:
         nonlocal file, offset
@@ -115,23 +115,30 @@ def _write_shard(batches, path: str, tokenizer: str, end_id: int, block_tokens:
         parts.clear()
 
     for batch in batches:
-        texts, own_names = batch["text"].tolist(), batch["doc_id"].tolist()
-        for a, b in slabs(texts):
-            flat, counts = encoder.encode([t or "" for t in texts[a:b]])
+        own_names, at = batch.column(0).to_pylist(), 0
+        for texts in slabs(batch.column(1)):
+            flat, counts = coder.encode(texts)
             ends = np.cumsum(counts)
-            for name, stop, n in zip(own_names[a:b], ends.tolist(), counts.tolist()):
-                names.append(name)
-                lengths.append(n + 1)
-                parts += [flat[stop - n : stop], end.astype(flat.dtype)]
-                held += n + 1
+            flat, counts = np.insert(flat, ends, end_id), counts + 1
+            start = 0
+            while start < len(counts):
+                # As many documents as fill a chunk.
+                ends = np.cumsum(counts[start:])
+                stop = min(start + int(np.searchsorted(ends, block_tokens - held)) + 1, len(counts))
+                n = int(ends[stop - start - 1])
+                names += own_names[at + start : at + stop]
+                lengths += counts[start:stop].tolist()
+                parts.append(flat[:n])
+                flat, start, held = flat[n:], stop, held + n
                 if held >= block_tokens:
                     close()
                     held = 0
+            at += len(texts)
     if names:
         close()
     if file is not None:
         file.close()
-    yield pd.DataFrame(rows, columns=["shard", "chunk", "path", "offset", "length", "n_docs", "n_tokens"])
+    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")]), schema=_INDEX_ARROW, preserve_index=False)
 
 
 def write_token_files(
@@ -146,12 +153,12 @@ def write_token_files(
     spark = docs.sparkSession
     path, tokenizer = path or fresh_path(spark, "token_ids"), tokenizer or tokenizer_path(VOCABULARY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _write_shard(batches, path, tokenizer, end_id, block_tokens)
 
     rows = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = rows.select(F.col("doc_id").cast("string"), "text")  # as text: pandas has no null integers
-    index = written(rows.mapInPandas(run, _INDEX), "token_index")
+    rows = rows.select(F.col("doc_id").cast("string"), "text")
+    index = written(rows.mapInArrow(run, _INDEX), "token_index")
     inside = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     shards = shards.select("shard", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))

@@ -3,19 +3,24 @@
 Both tokenizers split a text before their merges and never merge across such a split, so a
 text's ids are those of its pieces between spaces and line ends, as long as no two white space characters
 meet and none is at an end. A text for which that fails is encoded as a whole.
+
+Texts are cut and their distinct pieces found by Arrow; only distinct pieces are looked up one by one. What a worker has
+encoded it remembers over its tasks.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_LEVEL, WORD_LEVEL = "byte", "word"
 
 #: Pieces that split into a word and punctuation whatever the tokenizer: most of those not seen before.
-_SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_SIMPLE = r"^(?P<end>\n?)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,19 +39,72 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Index(dict):
-    def __init__(self):
-        super().__init__()
+class _Table:
+    """Ids by name, in one array. A length of -1 marks a name without ids of its own."""
+
+    def __init__(self, dtype):
+        self.index: dict[str, int] = {}
         self.fresh: list[str] = []
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.start, self.length, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def places(self, names: list[str]) -> np.ndarray:
+        """Places of different names; those not known before are in fresh and want add()."""
+        self.fresh = [x for x in names if x not in self.index]
+        self.index.update(zip(self.fresh, range(len(self.index), len(self.index) + len(self.fresh))))
+        return np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the fresh names, one after another."""
+        known, n = len(self.index) - len(self.fresh), len(self.index)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), self.flat.dtype)])
+        if n > len(self.start):
+            more = np.zeros(max(n - len(self.start), len(self.start) // 2), np.int64)
+            self.start, self.length, self.uses = (np.concatenate([x, more]) for x in (self.start, self.length, self.uses))
+        real = np.maximum(lengths, 0)
+        self.length[known:n] = lengths
+        self.start[known:n] = self.used + np.cumsum(real) - real
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.fresh = []
+
+    def gather(self, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        offset = start - (np.cumsum(lengths) - lengths)
+        return self.flat[np.repeat(offset, lengths) + np.arange(int(lengths.sum()))]
+
+    def most_used(self, n: int) -> _Table:
+        """A table of the ``n`` names that were used most."""
+        names, out = list(self.index), _Table(self.flat.dtype)
+        keep = np.sort(np.argsort(-self.uses[: len(names)], kind="stable")[:n])
+        out.places([names[k] for k in keep.tolist()])
+        out.add(self.gather(self.start[keep], np.maximum(self.length[keep], 0)), self.length[keep])
+        return out
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, kind: str) -> Encoder:
+    """One for each Python worker."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
 
-    def __missing__(self, piece: str) -> int:
-        self.fresh.append(piece)
-        n = self[piece] = len(self)
-        return n
+
+def slabs(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[pa.Array]:
+    """Runs of ``texts`` of about most_bytes each; a longer text is one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 class Encoder:
-    """Encodes lists of texts. ``most`` bounds the number of pieces remembered; the ids don't depend on it."""
+    """Encodes arrays of texts, null ones as empty. ``most`` bounds the numbers of pieces and of words remembered; the ids don't depend on it."""
 
     def __init__(self, path: str, kind: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
@@ -55,23 +113,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind, self.most = kind, most
-        self.words: dict[str, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)  # -1: a piece that can't stand alone
-        self.uses = np.zeros(1 << 14, np.int64)
-
-    def _pieces(self, text: str) -> list[str]:
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pieces, self.words = _Table(self.dtype), _Table(self.dtype)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Numbers of pieces of each text, and all pieces as places in a list of distinct ones."""
         if self.kind == WORD_LEVEL:
-            return text.replace("\n", " ").split(" ")
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = " " + pieces[0]  # marks the one that has no space before it; no other holds a space
-        return pieces
+            texts = pc.replace_substring(texts, "\n", " ")
+        else:
+            texts = pc.replace_substring(texts, "\n", " \n")
+        pieces = pc.split_pattern(pc.if_else(pc.equal(texts, ""), None, texts), " ")
+        counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.kind == BYTE_LEVEL and len(at):
+            # The first piece of a text has no space before it: a space marks it, no other holds one.
+            firsts = (np.cumsum(counts) - counts)[counts > 0]
+            same: dict[int, int] = {}
+            marked = [same.setdefault(i, len(distinct) + len(same)) for i in at[firsts].tolist()]
+            distinct += [" " + distinct[i] for i in same]
+            at = at.copy()
+            at[firsts] = marked
+        return counts, at, distinct
 
     def _source(self, piece: str) -> str | None:
         """The text that a piece stands for, None if it depends on what is next to it."""
@@ -95,105 +158,106 @@ class Encoder:
             marked = ["\n" + s if x else s for s, x in zip(sources, extra)]
         starts = np.cumsum([0] + [len(s) for s in marked])[:-1]
         found = self.tokenizer.encode("".join(marked), add_special_tokens=False)
-        ids = np.array(found.ids, self.flat.dtype)
+        ids = np.array(found.ids, self.dtype)
         own = np.searchsorted(starts, np.array([o[0] for o in found.offsets], np.int64), side="right") - 1
         kept = np.ones(len(ids), bool)
         kept[np.searchsorted(own, np.flatnonzero(extra))] = False  # the line ends put in
         return ids[kept], np.bincount(own[kept], minlength=len(sources))
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word or a run of punctuation, which merges never leave."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > self.most:
-                self.words.clear()
-            letters = word.encode().decode("latin-1").translate(_LETTERS)
-            found = self.words[word] = [t.id for t in self.model.tokenize(letters)]
-        return found
-
-    def _simple(self, piece: str) -> list[int] | None:
-        match = _SIMPLE.fullmatch(piece)
-        if match is None:
-            return None
-        end, word, marks = match.groups()
-        if self.kind == WORD_LEVEL:
-            ids = self._word(word.lower())
-        elif end:
-            ids = self._word(end) + self._word(word)
+    def _word_places(self, words: list[str]) -> np.ndarray:
+        """Places in self.words of words and runs of punctuation, which merges never leave."""
+        places = self.words.places(words)
+        ids, lengths = [], []
+        for word in self.words.fresh:
+            letters = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            found = self.model.tokenize(letters)
+            ids += [t.id for t in found]
+            lengths.append(len(found))
+        self.words.add(np.array(ids, self.dtype), np.array(lengths, np.int64))
+        return places
+
+    def _learn_simple(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces are simple, and all these pieces' ids and numbers of ids."""
+        parts = pc.extract_regex(pc.utf8_lower(fresh) if self.kind == WORD_LEVEL else fresh, _SIMPLE)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        end, word, marks = (pc.struct_field(parts, [c]).filter(parts.is_valid()) for c in ("end", "word", "marks"))
+        has_end = pc.not_equal(end, "").to_numpy(zero_copy_only=False)
+        if self.kind == BYTE_LEVEL:
+            word = pc.if_else(pc.equal(end, ""), pc.binary_join_element_wise(" ", word, ""), word)
         else:
-            ids = self._word(" " + word)
-        return ids + self._word(marks) if marks else ids
-
-    def _learn(self, known: int) -> None:
-        rows = [self._simple(p) for p in self.index.fresh]
-        other = [i for i, r in enumerate(rows) if r is None]
-        sources = {i: self._source(self.index.fresh[i]) for i in other}
+            has_end[:] = False
+        has_marks = pc.not_equal(marks, "").to_numpy(zero_copy_only=False)
+        coded = pa.concat_arrays([word, marks]).dictionary_encode()
+        places = self._word_places(["\n", *coded.dictionary.to_pylist()])
+        at, n = places[1:][coded.indices.to_numpy()], len(word)
+        # of each piece the line end, the word and the punctuation, those it has
+        own = np.stack([np.full(n, places[0]), at[:n], at[n:]], axis=1)
+        there = np.stack([has_end, np.ones(n, bool), has_marks], axis=1)
+        lengths = np.where(there, self.words.length[own], 0)
+        return simple, self.words.gather(self.words.start[own].ravel(), lengths.ravel()), lengths.sum(axis=1)
+
+    def _learn(self) -> None:
+        """Ids of the pieces not known before."""
+        names = self.pieces.fresh
+        if not names:
+            return
+        if len(self.words.index) > self.most:
+            self.words = _Table(self.dtype)
+        simple, flat, lengths = self._learn_simple(pa.array(names, pa.string()))
+        ends = np.cumsum(lengths)
+        other = np.flatnonzero(~simple).tolist()
+        if not other:
+            return self.pieces.add(flat, lengths)
+        sources = {i: self._source(names[i]) for i in other}
+        all_lengths = np.zeros(len(names), np.int64)
+        all_lengths[simple] = lengths
+        rows: dict[int, np.ndarray] = {}
         usable = [i for i in other if sources[i]]
         for a in range(0, len(usable), 5000):
             some = usable[a : a + 5000]
-            flat, counts = self._encode_pieces([sources[i] for i in some])
-            for i, own in zip(some, np.split(flat, np.cumsum(counts)[:-1])):
-                rows[i] = own.tolist()
-        lengths = np.array([len(r) if r is not None else -1 if sources[i] is None else 0 for i, r in enumerate(rows)], np.int64)
-        ids = np.array([t for r in rows if r for t in r], self.flat.dtype)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), self.flat.dtype)])
-        if len(self.index) > len(self.start):
-            more = max(len(self.index) - len(self.start), len(self.start))
-            self.start, self.length, self.uses = (
-                np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.length, self.uses)
-            )
-        real = np.maximum(lengths, 0)
-        self.length[known : len(self.index)] = lengths
-        self.start[known : len(self.index)] = self.used + np.cumsum(real) - real
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index.fresh = []
-
-    def _forget(self) -> None:
-        """Keeps the half of the pieces that were used most, at most half of ``most``."""
-        names = list(self.index)
-        keep = np.argsort(-self.uses[: len(names)], kind="stable")[: self.most // 2]
-        keep.sort()
-        lengths = self.length[keep]
-        flat = self._gather(keep, np.maximum(lengths, 0))
-        self._clear()
-        for k in keep.tolist():
-            self.index[names[k]] = len(self.index)
-        n = len(keep)
-        self.start, self.length, self.uses = (np.zeros(2 * n, np.int64) for _ in range(3))
-        real = np.maximum(lengths, 0)
-        self.length[:n], self.start[:n] = lengths, np.cumsum(real) - real
-        self.flat, self.used = np.concatenate([flat, np.zeros_like(flat)]), len(flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, counts = self._encode_pieces([sources[i] for i in some])
+            rows.update(zip(some, np.split(ids, np.cumsum(counts)[:-1])))
+        # Simple pieces' ids stay in order, the others are put between them.
+        before = np.concatenate(([0], ends))[np.cumsum(simple)]
+        parts, used = [], 0
+        for i in other:
+            own = rows.get(i, flat[:0])
+            parts += [flat[used : before[i]], own]
+            used, all_lengths[i] = before[i], -1 if sources[i] is None else len(own)
+        self.pieces.add(np.concatenate([*parts, flat[used:]]), all_lengths)
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's ids."""
-        if len(self.index) > self.most:
-            self._forget()
-        known = len(self.index)
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        counts = np.array([len(p) for p in pieces], np.int64)
-        at = np.fromiter(map(self.index.__getitem__, [p for x in pieces for p in x]), np.int64, int(counts.sum()))
-        if self.index.fresh:
-            self._learn(known)
-        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index))
-        lengths = self.length[at]
-        ends = np.cumsum(counts)
-        if (lengths < 0).any():
-            doc = np.repeat(np.arange(len(texts)), counts)
-            return self._with_whole_texts(texts, at, counts, set(doc[lengths < 0].tolist()))
-        return self._gather(at, lengths), np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(lengths)))[ends])))
-
-    def _gather(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        offset = self.start[at] - (np.cumsum(lengths) - lengths)
-        return self.flat[np.repeat(offset, lengths) + np.arange(int(lengths.sum()))]
-
-    def _with_whole_texts(self, texts, at, counts, whole: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        out, bounds = [], np.concatenate(([0], np.cumsum(counts)))
-        for i, text in enumerate(texts):
-            if i in whole:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.flat.dtype))
-            else:
-                own = at[bounds[i] : bounds[i + 1]]
-                out.append(self._gather(own, self.length[own]))
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if len(self.pieces.index) > self.most:
+            self.pieces = self.pieces.most_used(self.most // 2)
+        counts, at, distinct = self._cut(texts)
+        own = self.pieces.places(distinct)
+        self._learn()
+        self.pieces.uses[own] += np.bincount(at, minlength=len(own))
+        length, start = self.pieces.length[own], self.pieces.start[own]
+        lengths = length[at]
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        if (length < 0).any():
+            return self._with_whole_texts(texts, start, length, at, bounds)
+        return self.pieces.gather(start[at], lengths), _sums(lengths, bounds)
+
+    def _with_whole_texts(self, texts, start, length, at, bounds) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts of which some have a piece that can't stand alone: these are encoded as a whole."""
+        lengths = length[at]
+        alone = _sums((lengths < 0).astype(np.int64), bounds) == 0
+        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        kept = alone[doc]
+        flat, counts = self.pieces.gather(start[at[kept]], lengths[kept]), _sums(np.where(kept, lengths, 0), bounds)
+        begin = np.cumsum(counts) - counts
+        parts, used = [], 0
+        for i in np.flatnonzero(~alone).tolist():
+            ids = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+            parts += [flat[used : begin[i]], np.array(ids, self.dtype)]
+            used, counts[i] = begin[i], len(ids)
+        return np.concatenate([*parts, flat[used:]]), counts
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values between bounds."""
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[bounds])
