@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,17 +11,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: list[str] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (local tests) one of our own."""
+    """The folder all executors share, ``spark.checkpoint.dir``; an error where it is unset: a folder of one machine would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="quire-"))
-    return _own_folder[0]
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -29,8 +29,6 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES = 256 * 2**20
 #: Ranges with at most this gap are read at once, up to this length (or one record).
 GAP, MOST_READ = 64 * 2**10, 8 * 2**20
-#: Digests that several pages share (72 bytes each) up to which they are broadcast; beyond, they are joined by shuffle.
-BROADCAST_DIGESTS = 200_000
 #: Fixed values of the format.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,8 +37,8 @@ _INDEX = "page_id string, url string, record_type string, refers_to string, payl
 
 
 def record_id(page_id: str | None, url: str, digest: str) -> str:
-    """The same for rows of the same id; rows of no id are told apart by url and payload."""
-    own = page_id if page_id is not None else f"null {url} {digest}"
+    """The same for rows of the same id and payload; rows of no id are told apart by url too."""
+    own = f"{page_id} {digest}" if page_id is not None else f"null {url} {digest}"
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {own}'.encode()).digest())}>"
 
 
@@ -56,7 +54,7 @@ def make_record(page_id: str | None, url: str, payload: bytes, digest: str, refe
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_id(refers_to, '', '')}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(refers_to, '', digest)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -98,7 +96,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
 
     Null html is an empty payload. Of equal payloads of LEAST_REVISIT bytes or more the smallest page_id is the
     response, the others revisit it (null page_ids last; if all are null, all are responses); rows that repeat that page_id are
-    responses too. White space and control characters in a URL are percent-encoded; a null url is about:blank. An empty table gives
+    responses too. A page_id may repeat with other payloads: a record is named by its page_id and its payload. White space and control characters in a URL are percent-encoded; a null url is about:blank. An empty table gives
     an empty index and no archive. Other columns are not read.
     """
     path = path or fresh_path(pages.sparkSession, "warc")
@@ -107,8 +105,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
     rows = pages.select("page_id", "url", html.alias("html"), F.when(F.octet_length(html) >= LEAST_REVISIT, F.sha2(html, 256)).alias("digest"))
     shared = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = written(shared.where("n > 1 and first is not null").select("digest", "first"), "shared_digests")
-    few = shared.count() <= BROADCAST_DIGESTS
-    rows = rows.join(F.broadcast(shared) if few else shared, "digest", "left")
+    rows = rows.join(shared, "digest", "left")
     refers_to = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20")
     # Ids travel as text: pandas has no null integers.

@@ -171,6 +171,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["record_type"] for r in nulls.collect()} == {"response"}
 
 
+def test_warc_of_repeated_ids_with_other_payloads(spark, tmp_path):
+    a, b = "a" * 200, "b" * 300
+    rows = [(3, "u", a), (3, "v", b), (5, "w", a), (6, "x", b), (7, "y", "z" * 400_000), (8, "y", "z" * 400_000)]
+    pages_of(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, warc.op8_warc(spark, str(tmp_path)).collect()), key=str)
+
+    def row(i, html, refers_to):
+        return (i, len(html), hashlib.sha256(html.encode()).hexdigest(), "response" if refers_to is None else "revisit", refers_to)
+
+    want = [row(3, a, None), row(3, b, None), row(5, a, 3), row(6, b, 3), row(7, rows[4][2], None), row(8, rows[4][2], 7)]
+    assert got == sorted(want, key=str)
+
+
 def test_range_reads_are_coalesced():
     near = [(0, 10), (10, 5), (20, 5), (20 + warc.GAP + 100, 5), (warc.MOST_READ * 3, warc.MOST_READ * 2), (warc.MOST_READ * 5, 1)]
     got = list(warc._coalesced(near))
