@@ -11,11 +11,11 @@ sample (SAMPLE rows for each language); the expected piece counts of each step a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +26,16 @@ from .tokentable import TokenTable, slabs, sums_by_text
 SAMPLE = 2000
 #: Rounds of expectation maximisation.
 ROUNDS = 4
-#: Longer runs of letters are scored in parts of this length.
+#: Longer runs of letters are summed in logarithms, which don't vanish.
 LONGEST = 40
+#: Numbers of a table of sums at most: words of about one length are summed together.
+TABLE = 4_000_000
 #: Added to each expected count: no piece becomes impossible.
 SMOOTHING = 0.05
 VOCABULARY = "piece_bpe_32k.model"
 #: What no language is learned for.
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 HAS_LETTER = r"\p{L}"
 START = "▁"
 
@@ -84,31 +86,53 @@ class Lattice:
         order = np.lexsort((w, e))
         return w[order], e[order], n[order], p[order]
 
-    def forward(self, words: list[str], table: np.ndarray, arcs=None) -> np.ndarray:
-        """alpha[word, end, language]: the probability of all segmentations up to there. table: [piece, language]."""
+    def forward(self, words: list[str], table: np.ndarray, arcs=None, logs: bool = False) -> np.ndarray:
+        """alpha[word, end, language]: the probability of all segmentations up to there. table: [piece, language]. Both as logarithms, if ``logs``."""
         w, e, n, p = arcs if arcs is not None else self.arcs(words)
+        times, add, none, one = (np.add, np.logaddexp, -np.inf, 0) if logs else (np.multiply, np.add, 0, 1)
         longest = max(map(len, words))
-        alpha = np.zeros((longest + 1, len(words), table.shape[1]))
-        alpha[0] = 1
+        alpha = np.full((longest + 1, len(words), table.shape[1]), none, float)
+        alpha[0] = one
         bounds = np.searchsorted(e, np.arange(1, longest + 2))
         for end in range(1, longest + 1):
             a, b = bounds[end - 1], bounds[end]
             if a == b:
                 continue
-            value = alpha[end - n[a:b], w[a:b]] * table[p[a:b]]
+            value = times(alpha[end - n[a:b], w[a:b]], table[p[a:b]])
             starts = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1])))
-            alpha[end, w[a:b][starts]] = np.add.reduceat(value, starts, axis=0)
+            alpha[end, w[a:b][starts]] = add.reduceat(value, starts, axis=0)
         return alpha
 
+    def log_totals(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """[word, language]: the logarithm of the sum over all segmentations of a word."""
+        out = np.zeros((len(words), table.shape[1]))
+        with np.errstate(divide="ignore"):
+            log_table = np.log(table)
+        for some in by_length(words, table.shape[1]):
+            own = [words[i] for i in some]
+            lengths = np.array([len(x) for x in own])
+            logs = lengths.max() > LONGEST + 1
+            alpha = self.forward(own, log_table if logs else table, logs=logs)[lengths, np.arange(len(own))]
+            out[some] = alpha if logs else np.log(alpha)
+        return out
+
     def expected(self, words: list[str], counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
         """Expected uses of each piece when words of one language have been seen so often."""
+        total = np.zeros(self.unknown + 1)
+        for some in by_length(words, 1):
+            total += self._expected([words[i] for i in some], counts[some], probability)
+        return total
+
+    def _expected(self, words: list[str], counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
         arcs = w, e, n, p = self.arcs(words)
-        table = probability[:, None]
-        alpha = self.forward(words, table, arcs)[:, :, 0]
         lengths = np.array([len(x) for x in words])
+        logs = lengths.max() > LONGEST + 1
+        times, add, none, one = (np.add, np.logaddexp, -np.inf, 0) if logs else (np.multiply, np.add, 0, 1)
+        table = np.log(probability) if logs else probability
+        alpha = self.forward(words, table[:, None], arcs, logs)[:, :, 0]
         total = alpha[lengths, np.arange(len(words))]
-        beta = np.zeros_like(alpha)
-        beta[lengths, np.arange(len(words))] = 1
+        beta = np.full_like(alpha, none)
+        beta[lengths, np.arange(len(words))] = one
         begin = e - n
         order = np.lexsort((w, begin))[::-1]
         bw, bb, be, bp = w[order], begin[order], e[order], p[order]
@@ -117,11 +141,30 @@ class Lattice:
             a, b = bounds[at], np.searchsorted(-bb, -at, side="right")
             if a == b:
                 continue
-            value = beta[be[a:b], bw[a:b]] * probability[bp[a:b]]
+            value = times(beta[be[a:b], bw[a:b]], table[bp[a:b]])
             starts = np.flatnonzero(np.concatenate(([True], bw[a + 1 : b] != bw[a : b - 1])))
-            beta[at, bw[a:b][starts]] += np.add.reduceat(value, starts)
-        share = alpha[begin, w] * probability[p] * beta[e, w] / total[w] * counts[w]
-        return np.bincount(p, share, self.unknown + 1)
+            rows = bw[a:b][starts]
+            beta[at, rows] = add(beta[at, rows], add.reduceat(value, starts))
+        if logs:
+            share = np.exp(alpha[begin, w] + table[p] + beta[e, w] - total[w])
+        else:
+            share = alpha[begin, w] * probability[p] * beta[e, w] / total[w]
+        return np.bincount(p, share * counts[w], self.unknown + 1)
+
+
+def by_length(words: list[str], languages: int) -> Iterator[np.ndarray]:
+    """Places of words in groups of about one length, short and long ones apart; a group's table has TABLE numbers at most, or one word."""
+    lengths = np.array([len(x) for x in words], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        stop = min(len(order), start + 20_000)
+        if lengths[order[start]] <= LONGEST + 1:
+            stop = min(stop, int(np.searchsorted(lengths[order], LONGEST + 1, side="right")))
+        sizes = (lengths[order[start:stop]] + 1) * np.arange(1, stop - start + 1) * languages
+        stop = start + max(1, int(np.searchsorted(sizes, TABLE, side="right")))
+        yield order[start:stop]
+        start = stop
 
 
 _lattices: dict[str, Lattice] = {}
@@ -136,7 +179,7 @@ def lattice(vocabulary: str) -> Lattice:
 
 def parts(token: str) -> list[str]:
     """The runs of letters of a token, each with the mark of a word's start."""
-    return [START + run[i : i + LONGEST] for run in LETTERS.findall(token) for i in range(0, len(run), LONGEST)]
+    return [START + run for run in LETTERS.findall(token)]
 
 
 class Model:
@@ -151,15 +194,9 @@ class Model:
         found = [parts(t) for t in tokens]
         flat = [p for x in found for p in x]
         scores = np.zeros((len(flat), len(self.languages) + 1))
-        by_length = sorted(range(len(flat)), key=lambda i: len(flat[i]))
-        graph = lattice(self.vocabulary)
-        for i in range(0, len(flat), 20_000):
-            some = by_length[i : i + 20_000]
-            words = [flat[k] for k in some]
-            lengths = np.array([len(x) for x in words])
-            alpha = graph.forward(words, self.table)[lengths, np.arange(len(words))]
-            scores[some, :-1] = np.log(alpha)
-            scores[some, -1] = lengths - 1
+        if flat:
+            scores[:, :-1] = lattice(self.vocabulary).log_totals(flat, self.table)
+            scores[:, -1] = [len(x) - 1 for x in flat]
         out[:] = sums_by_text(scores, [len(x) for x in found]) if flat else 0
         return out
 
