@@ -91,14 +91,16 @@ class Model:
         if self.at is None:
             self.at = np.repeat(np.arange(self.ids, dtype=np.int32), np.diff(self.cumulative))
         first = self.p1 <= self.p2
-        a, b = np.where(first, self.p1, self.p2), np.where(first, self.p2, self.p1)
+        a, b = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
         ma, mb = np.where(first, self.m1, self.m2), np.where(first, self.m2, self.m1)
         over = value - (self.cumulative[a] * self.m0 >> ZERO_BITS)
-        in_a = (over >= 0) & (over < ma)
-        value = value - ma * (over >= ma)
+        past = over >= ma
+        in_a = (over >= 0) ^ past
+        value = value - ma * past
         over = value - (self.cumulative[b] * self.m0 >> ZERO_BITS)
-        in_b = (over >= 0) & (over < mb)
-        value = value - mb * (over >= mb)
+        past = over >= mb
+        in_b = (over >= 0) ^ past
+        value = value - mb * past
         # the largest order-0 place whose scaled value is not above
         place = (((value + 1) << ZERO_BITS) - 1) // self.m0
         np.clip(place, 0, (1 << ZERO_BITS) - 1, out=place)
@@ -150,11 +152,19 @@ def _shape(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
-def _starts(n: int) -> np.ndarray:
-    """Where each lane begins among the ids: the first ones are one longer, if lengths differ."""
+def _by_step(ids: np.ndarray) -> np.ndarray:
+    """ids as a row for each step; the first lanes are one longer than the others, whose last step is 0."""
+    lanes, steps, full = _shape(len(ids))
+    out = np.zeros((lanes, steps), np.int64)
+    out[:full] = ids[: full * steps].reshape(full, steps)
+    out[full:, : steps - 1] = ids[full * steps :].reshape(lanes - full, steps - 1)
+    return np.ascontiguousarray(out.T)
+
+
+def _in_order(rows: np.ndarray, n: int) -> np.ndarray:
+    """The ids of _by_step() one lane after another."""
     lanes, steps, full = _shape(n)
-    i = np.arange(lanes)
-    return np.where(i < full, i * steps, full * steps + (i - full) * (steps - 1))
+    return np.concatenate([rows[:, :full].T.ravel(), rows[: steps - 1, full:].T.ravel()])
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -162,9 +172,8 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     n = len(ids)
     if not n:
         return b""
-    ids = ids.astype(np.int64)
     lanes, steps, full = _shape(n)
-    starts = _starts(n)
+    rows = _by_step(ids)
     model = Model(vocabulary, lanes)
     low = np.zeros(lanes, np.uint64)
     width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -172,9 +181,8 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     for step in range(steps):
         take = lanes if step < steps - 1 else full
         model.predict()
-        own = ids[starts[:take] + step]
-        padded = own if take == lanes else np.concatenate([own, np.zeros(lanes - take, np.int64)])
-        begin, size = model.interval(padded)
+        own = rows[step, :take]
+        begin, size = model.interval(rows[step])
         unit = width[:take] >> np.uint64(BITS)
         low[:take] += unit * begin[:take].astype(np.uint64)
         width[:take] = unit * size[:take].astype(np.uint64)
@@ -195,7 +203,6 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     lanes, steps, full = _shape(n)
-    starts = _starts(n)
     numbers = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(4, np.uint64)])
     next_ = np.cumsum(numbers) - numbers
@@ -206,7 +213,7 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
     model = Model(vocabulary, lanes)
     low = np.zeros(lanes, np.uint64)
     width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out = np.zeros(n, np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         take = lanes if step < steps - 1 else full
         model.predict()
@@ -215,11 +222,11 @@ def decode(data: bytes, n: int, vocabulary: int) -> np.ndarray:
         ids = model.find(value)
         begin, size = model.interval(ids)
         own = ids[:take]
-        out[starts[:take] + step] = own
+        out[step, :take] = own
         low[:take] += unit[:take] * begin[:take].astype(np.uint64)
         width[:take] = unit[:take] * size[:take].astype(np.uint64)
         for at, _ in _renormal(low[:take], width[:take]):
             code[at] = (code[at] << WORD) | words[next_[at]]
             next_[at] += 1
         model.update(own)
-    return out
+    return _in_order(out, n)

@@ -70,8 +70,9 @@ class _Table:
         self.fresh = []
 
     def gather(self, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        offset = start - (np.cumsum(lengths) - lengths)
-        return self.flat[np.repeat(offset, lengths) + np.arange(int(lengths.sum()))]
+        small = np.int32 if max(self.used, n := int(lengths.sum())) < 1 << 31 else np.int64
+        offset = (start - (np.cumsum(lengths) - lengths)).astype(small)
+        return self.flat[np.repeat(offset, lengths) + np.arange(n, dtype=small)]
 
     def most_used(self, n: int) -> _Table:
         """A table of the ``n`` names that were used most."""
@@ -106,7 +107,7 @@ def slabs(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[pa.Array]:
 class Encoder:
     """Encodes arrays of texts, null ones as empty. ``most`` bounds the numbers of pieces and of words remembered; the ids don't depend on it."""
 
-    def __init__(self, path: str, kind: str, most: int = 800_000):
+    def __init__(self, path: str, kind: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
