@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``; an error where it is unset: a folder of one machine would lose rows."""
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine (tests) gets a folder of its own; on a cluster that would lose rows, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found.rstrip("/")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="quire-"))
+    return _own_folder[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
