@@ -9,10 +9,15 @@ _own_folder: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder all executors share (spark.checkpoint.dir; where that is unset, in tests, one of our own)."""
+    """``df`` as a Parquet table in the folder all executors share, spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (tests) gets a folder of its own; on a cluster that would lose rows, so it is an error.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="quire-"))
         folder = _own_folder[0]
