@@ -24,14 +24,14 @@ def flate(data: bytes) -> bytes:
     """zlib, else raw deflate; what was decoded before an error counts, nothing at all doesn't."""
     data = data.lstrip(b"\r\n\t ")
     for bits in (15, -15):
-        out, d = b"", zlib.decompressobj(bits)
+        out, d = [], zlib.decompressobj(bits)
         try:
             for i in range(0, len(data), 256):
-                out += d.decompress(data[i : i + 256])
-            return out + d.flush()
+                out.append(d.decompress(data[i : i + 256]))
+            return b"".join([*out, d.flush()])
         except zlib.error:
-            if out:
-                return out
+            if any(out):
+                return b"".join(out)
     raise BadData("flate")
 
 

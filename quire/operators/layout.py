@@ -49,6 +49,14 @@ def _layout(paras: list, px: float, text_w: float, text_h: float, indent: float,
             widths[word] = sum(map(char_width, word)) * px
         return widths[word]
 
+    def prefix(word: str, start: int, room: float) -> tuple[int, float]:
+        """Characters of a word from start that fit, and their width."""
+        n, used = 0, 0.0
+        while start + n < len(word) and used + measure(word[start + n]) <= room:
+            used += measure(word[start + n])
+            n += 1
+        return n, used
+
     step, space = px * LINE_HEIGHT * line_mul, char_width(" ") * px
     lines: list[dict] = []
     screen, on_screen, y = 0, 0, 0.0
@@ -58,22 +66,25 @@ def _layout(paras: list, px: float, text_w: float, text_h: float, indent: float,
             continue
         if on_screen:
             y += step * (para_gap + (head_gap if p["heading"] else 0))
-        first = True
-        while words:
+        first, i, cut = True, 0, 0  # the next word, and how much of it is set
+        while i < len(words):
             lead = indent if first and not (p["heading"] or p["center"] or (k == 0 and p["cont"])) else 0.0
             room = max(text_w - lead, 2 * space)
             used, own = 0.0, []
-            while words and used + (space if own else 0) + measure(words[0]) <= room:
-                used += (space if own else 0) + measure(words[0])
-                own.append(words.pop(0))
+            while i < len(words):
+                before = used + (space if own else 0)
+                n, wide = prefix(words[i], cut, room - before) if cut else (len(words[i]), measure(words[i]))
+                if cut + n < len(words[i]) or before + wide > room:
+                    break
+                used = before + wide
+                own.append(words[i][cut:])
+                i, cut = i + 1, 0
             if not own:  # a word that is too long for a line: as much of it as fits, one character at least
-                n, used = 1, measure(words[0][:1])
-                while n < len(words[0]) and used + measure(words[0][n]) <= room:
-                    used += measure(words[0][n])
-                    n += 1
-                own, words[0] = [words[0][:n]], words[0][n:]
-                if not words[0]:
-                    words.pop(0)
+                n, used = prefix(words[i], cut, room)
+                n, used = (n, used) if n else (1, measure(words[i][cut]))
+                own, cut = [words[i][cut : cut + n]], cut + n
+                if cut == len(words[i]):
+                    i, cut = i + 1, 0
             full = y + step > text_h + 0.5
             lone_heading = first and p["heading"] and on_screen >= 2 and y + 2 * step > text_h + 0.5
             if (full or lone_heading) and on_screen:
@@ -81,7 +92,7 @@ def _layout(paras: list, px: float, text_w: float, text_h: float, indent: float,
             x = max(0.0, (text_w - used) / 2) if p["center"] else lead
             lines.append(
                 {"screen": screen, "line_no": len(lines), "para": p["para"], "text": " ".join(own), "x": x, "top": y, "w": used, "first": first,
-                 "last": not words, "head": bool(p["heading"]), "center": bool(p["center"])}
+                 "last": i == len(words), "head": bool(p["heading"]), "center": bool(p["center"])}
             )
             y, on_screen, first = y + step, on_screen + 1, False
     return lines

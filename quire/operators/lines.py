@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,28 +41,38 @@ def usable_advance() -> Column:
     return F.when(F.abs("dx") >= F.col("width") / 2, F.abs("dx")).otherwise(F.col("width"))
 
 
+_BLANK = re.compile("[ \\t\\r\\n]+")
+
+
 def _fold(runs: list) -> list[dict]:
-    """Lines of one page's runs in order: a line's first run sets its baseline and how far others may be from it."""
+    """Lines of one page's runs in order: a line's first run sets its baseline and how far others may be from it.
+
+    A gap is measured from the end of the last run and against the size of the line before the new one; gap_off is where the
+    space of the widest gap is in the line's text, -1 if there is none or no text on one side of it.
+    """
     lines: list[dict] = []
     now: dict | None = None
     for r in runs:
+        end = r["x"] + r["width"]
         if now is not None and abs(r["y"] - now["y"]) <= now["reach"]:
             gap = r["x"] - now["pen"]
-            size = max(now["size"], r["size"])
-            if gap > 0.25 * size and now["text"]:
+            if gap > 0.25 * now["size"]:
                 if gap > now["gap_w"]:
-                    now.update(gap_w=gap, gap_x=now["pen"], gap_off=len(now["text"].strip()))
-                now["text"] += " "
-            now.update(text=now["text"] + r["text"], size=size, pen=max(now["pen"], r["x"] + r["width"]))
+                    now.update(gap_w=gap, gap_x=now["pen"], before=len(now["parts"]))
+                now["parts"].append(" ")
+            now["parts"].append(r["text"])
+            now.update(size=max(now["size"], r["size"]), pen=end, x_end=max(now["x_end"], end))
         else:
-            now = {"text": r["text"], "y": r["y"], "x": r["x"], "size": r["size"], "pen": r["x"] + r["width"], "reach": max(0.7, 0.3 * r["size"]), "gap_x": 0.0, "gap_w": 0.0, "gap_off": 0}
+            size = r["size"] if r["size"] > 0 else 10.0
+            now = {"parts": [r["text"]], "y": r["y"], "x": r["x"], "size": size, "pen": end, "x_end": max(r["x"], end), "reach": max(0.7, 0.3 * size), "gap_x": 0.0, "gap_w": 0.0, "before": 0}
             lines.append(now)
     kept = []
     for x in lines:
-        text = " ".join(x["text"].replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")).strip()
-        text = " ".join(p for p in text.split(" ") if p)
+        text = _BLANK.sub(" ", "".join(x["parts"])).strip(" ")
         if text:
-            kept.append({"line_no": len(kept), "text": text, "y": x["y"], "x": x["x"], "x_end": x["pen"], "size": x["size"], "gap_x": x["gap_x"], "gap_w": x["gap_w"], "gap_off": x["gap_off"]})
+            at = len(_BLANK.sub(" ", "".join(x["parts"][: x["before"]])).strip(" "))
+            at, gap_w = (at, x["gap_w"]) if 0 < at < len(text) else (-1, 0.0)
+            kept.append({"line_no": len(kept), "text": text, "y": x["y"], "x": x["x"], "x_end": x["x_end"], "size": x["size"], "gap_x": x["gap_x"], "gap_w": gap_w, "gap_off": at})
     return kept
 
 

@@ -17,9 +17,8 @@ PAGE_WIDTH = 595.0
 
 
 def body_sizes(lines: DataFrame, *keys: str) -> DataFrame:
-    """Rows (keys, body): the middle line size, 10 if there is none above 0."""
-    p = percentile(F.col("size"), 0.5)
-    return lines.groupBy(*keys).agg(F.when(p > 0, p).otherwise(F.lit(10.0)).alias("body"))
+    """Rows (keys, body): the middle line size; a size not above 0 counts as 10."""
+    return lines.groupBy(*keys).agg(percentile(F.when(F.col("size") > 0, F.col("size")).otherwise(F.lit(10.0)), 0.5).alias("body"))
 
 
 def gutters(lines: DataFrame, *keys: str, page_width: float = PAGE_WIDTH) -> DataFrame:
@@ -36,15 +35,16 @@ def gutters(lines: DataFrame, *keys: str, page_width: float = PAGE_WIDTH) -> Dat
 
 
 def in_columns(lines: DataFrame, *keys: str, page_width: float = PAGE_WIDTH) -> DataFrame:
-    """lines with col (0 or 1), those across the gutter cut in two at gap_off, and order: column, from the top, from the left."""
+    """lines with col (0 or 1) and order: column, from the top, from the left.
+
+    A line whose widest gap holds the gutter is cut in two there; the character at gap_off, its space, goes.
+    """
     split = lines.join(gutters(lines, *keys, page_width=page_width), list(keys), "left")
-    centre = F.col("gap_x") + F.col("gap_w") / 2
-    straddles = F.col("split").isNotNull() & (F.col("gap_w") >= 6.0) & (F.col("x") < F.col("split")) & (F.col("x_end") > F.col("split")) & (
-        F.abs(centre - F.col("split")) <= page_width * 0.05
-    )
+    inside = (F.col("gap_off") > 0) & (F.col("gap_off") < F.length("text") - 1)
+    straddles = F.col("split").isNotNull() & inside & F.col("split").between(F.col("gap_x"), F.col("gap_x") + F.col("gap_w"))
     part = lambda text, x, x_end, col: F.struct(text.alias("text"), x.alias("x"), x_end.alias("x_end"), F.lit(col).cast("int").alias("col"))
-    left = part(F.trim(F.left("text", F.col("gap_off"))), F.col("x"), F.col("gap_x"), 0)
-    right = part(F.trim(F.substring("text", F.col("gap_off") + 1, F.length("text"))), F.col("gap_x") + F.col("gap_w"), F.col("x_end"), 1)
+    left = part(F.left("text", F.col("gap_off")), F.col("x"), F.col("gap_x"), 0)
+    right = part(F.substring("text", F.col("gap_off") + 2, F.length("text")), F.col("gap_x") + F.col("gap_w"), F.col("x_end"), 1)
     plain = F.when(F.col("split").isNotNull() & (F.col("x") >= F.col("split")), part(F.col("text"), F.col("x"), F.col("x_end"), 1)).otherwise(
         part(F.col("text"), F.col("x"), F.col("x_end"), 0)
     )
@@ -65,7 +65,7 @@ def measures(lines: DataFrame, *keys: str, page_width: float = PAGE_WIDTH) -> Da
         F.collect_list(F.when(F.abs(F.col("size") - F.col("body")) <= 0.15 * F.col("body"), F.col("x_end"))).alias("ends"),
     )
     pages = pages.withColumn("x1", F.when(F.col("x1") > F.col("x0"), F.col("x1")).otherwise(F.col("x0") + page_width / 2))
-    flush = F.size(F.filter("ends", lambda e: F.abs(e - F.col("x1")) <= 0.35 * F.col("body")))
+    flush = F.size(F.filter("ends", lambda e: e >= F.col("x1") - 0.35 * F.col("body")))
     justified = (F.size("ends") >= 4) & (flush >= 0.55 * F.size("ends"))
     return pages.select(*keys, "body", "x0", "x1", F.coalesce("leading", F.col("body") * 1.2).alias("leading"), justified.alias("justified"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
@@ -50,24 +50,35 @@ def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "name", F.col("d.status").alias("status"), F.decode("d.data", "UTF-8").alias("text"))
 
 
+MAP = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+
+
 def _pdfs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as PDF files of a page for each line: the first 60 of its letters and spaces, in Latin-1."""
-    rows = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.left(F.trim(F.regexp_replace(x, "[^A-Za-zÀ-ÿ ]", "")), F.lit(60))).alias("ls"))
+    """Documents as PDF files of a page for each line, whole: as an escaped string if Latin-1 has its characters, else in a font of two bytes with a map to Unicode."""
+    rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     n = F.size("ls")
-    kids = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat((i * 2 + 2).cast("string"), F.lit(" 0 R"))), " ")
+    kids = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat((i * 2 + 5).cast("string"), F.lit(" 0 R"))), " ")
+
+    def shown(line: Column) -> Column:
+        plain = F.concat(F.lit("/F1 10 Tf 20 100 Td ("), F.regexp_replace(line, r"([()\\])", r"\\$1"), F.lit(") Tj"))
+        wide = F.concat(F.lit("/F2 10 Tf 20 100 Td <"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj"))
+        return F.when(line.rlike(r"[^\x20-\x7E\xA0-\xFF]"), wide).otherwise(plain)
+
     page = F.array_join(
         F.transform(
             F.arrays_zip("ls", F.sequence(F.lit(1), n).alias("i")),
             lambda z: F.concat(
-                (z["i"] * 2 + 2).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R >> >> /Contents "), (z["i"] * 2 + 3).cast("string"),
-                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 3).cast("string"), F.lit(" 0 obj << >> stream\nBT /F1 10 Tf 20 100 Td ("), z["ls"], F.lit(") Tj ET\nendstream endobj\n"),
+                (z["i"] * 2 + 5).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents "), (z["i"] * 2 + 6).cast("string"),
+                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 6).cast("string"), F.lit(" 0 obj << >> stream\nBT "), shown(z["ls"]), F.lit(" ET\nendstream endobj\n"),
             ),
         ),
         "",
     )
     text = F.concat(
         F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids ["), kids, F.lit("] >> endobj\n"),
-        F.lit("3 0 obj << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> endobj\n"), page,
+        F.lit("3 0 obj << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> endobj\n"),
+        F.lit("4 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [5 0 R] /ToUnicode 6 0 R >> endobj\n"),
+        F.lit(f"5 0 obj << /Type /Font /Subtype /CIDFontType2 /DW 500 >> endobj\n6 0 obj << >> stream\n{MAP}\nendstream endobj\n"), page,
     )
     return rows.where(n > 0).select(F.col("doc_id").alias("book"), F.encode(text, "ISO-8859-1").alias("content"))
 
@@ -84,38 +95,17 @@ def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     return text.join(books.select("book", pdf.version(F.col("content")).alias("version")), "book")
 
 
-SYNTHETIC = """%PDF-1.4
-1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
-2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj
-3 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 0 200 100] /Resources << /Font << /F1 4 0 R >> >> /Contents 6 0 R >> endobj
-4 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [5 0 R] /ToUnicode 7 0 R >> endobj
-5 0 obj << /Type /Font /Subtype /CIDFontType2 /DW 1000 /W [1 [500 600] 3 5 700] >> endobj
-6 0 obj << >> stream
-BT /F1 12 Tf 10 50 Td <00010002000300040005> Tj ET
-endstream endobj
-7 0 obj << >> stream
-2 beginbfchar
-<0001> <0041>
-<0002> <00E7>
-endbfchar
-1 beginbfrange
-<0003> <0005> <0061>
-endbfrange
-endstream endobj
-"""
-
-
-def pdf_extract_synth(spark: SparkSession, d: str) -> DataFrame:
-    """A two-byte font with a map to Unicode, through runs, lines and paragraphs."""
-    rows = written(pdf.runs(spark.createDataFrame([(1, SYNTHETIC.encode("latin-1"))], "book int, content binary")), "runs")
+def pdf_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' PDF files through runs, lines and paragraphs."""
+    rows = written(pdf.runs(_pdfs(spark, d)), "runs")
     found = written(lines.group_lines(lines.displayed(rows), "book", "unit"), "lines")
-    paras = reflow.reflow(found, "book", "unit").select("book", "unit", F.col("text").alias("paragraph"))
-    return rows.join(paras, ["book", "unit"]).select("book", "unit", "text", "x", "y", "size", F.round("width", 6).alias("width"), "mb_x1", "mb_y1", "codes", "unmapped", "paragraph")
+    return reflow.reflow(found, "book", "unit").select("book", F.col("unit").cast("int"), "para", "text", F.col("n_lines").cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (spine_order, epub_titles, epub_paragraphs, epub_unit_plan, codec_roundtrip, pdf_runs, pdf_pages, pdf_extract_synth)}
-_LINE = "left(trim(regexp_replace(ls[i], '[^A-Za-zÀ-ÿ ]', '', 'g')), 60)"
+QUERIES = {f.__name__: f for f in (spine_order, epub_titles, epub_paragraphs, epub_unit_plan, codec_roundtrip, pdf_runs, pdf_pages, pdf_paragraphs)}
 _LS = "(SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i)"
+# Characters beyond two bytes are two codes that the map doesn't know.
+_PDF_LINES = f"""(SELECT doc_id, i, regexp_replace(ls[i], '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g') AS t, length(ls[i]) AS n FROM {_LS})"""
 ORACLE = {
     "spine_order": """SELECT page_id // 10 AS book, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id DESC) - 1 AS INTEGER) AS chapter, 'OEBPS/text/c' || page_id || '.xhtml' AS name,
        CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages""",
@@ -123,8 +113,9 @@ ORACLE = {
     "epub_paragraphs": f"""SELECT p.page_id // 10 AS book, chapter, para, text, heading FROM ({PARAS_SQL}) p
 JOIN (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id DESC) - 1 AS INTEGER) AS chapter FROM pages) c USING (page_id)""",
     "codec_roundtrip": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'FlateDecode' WHEN 1 THEN 'ASCIIHexDecode' WHEN 2 THEN 'ASCII85Decode' ELSE 'RunLengthDecode' END AS name, 'OK' AS status, text FROM documents""",
-    "pdf_runs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, t AS text, 20.0::DOUBLE AS x, 100.0::DOUBLE AS y, 10.0::DOUBLE AS size, length(t) * 5.0::DOUBLE AS width, CAST(length(t) AS INTEGER) AS codes, 0 AS unmapped
-FROM (SELECT doc_id, i, {_LINE} AS t FROM {_LS}) WHERE t <> ''""",
+    "pdf_runs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, t AS text, 20.0::DOUBLE AS x, 100.0::DOUBLE AS y, 10.0::DOUBLE AS size, (2 * n - length(t)) * 5.0::DOUBLE AS width,
+       CAST(2 * n - length(t) AS INTEGER) AS codes, CAST(2 * (n - length(t)) AS INTEGER) AS unmapped FROM {_PDF_LINES} WHERE t <> ''""",
     "pdf_pages": f"SELECT doc_id AS book, count(*) AS pages, count(*) AS text_ops, '1.4' AS version FROM {_LS} GROUP BY doc_id",
-    "pdf_extract_synth": "SELECT 1 AS book, 0 AS unit, 'Açabc' AS text, 10.0::DOUBLE AS x, 50.0::DOUBLE AS y, 12.0::DOUBLE AS size, 38.4::DOUBLE AS width, 200.0::DOUBLE AS mb_x1, 100.0::DOUBLE AS mb_y1, 5 AS codes, 0 AS unmapped, 'Açabc' AS paragraph",
+    "pdf_paragraphs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, 0 AS para, p AS text, 1 AS n_lines
+FROM (SELECT doc_id, i, trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM {_PDF_LINES}) WHERE p <> ''""",
 }

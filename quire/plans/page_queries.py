@@ -22,7 +22,9 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.array_join(F.slice("ws", k * WORDS + 1, WORDS), " ")
     last = (k == F.col("n") - 1) & (F.col("doc_id") % 3 == 0)
     rows = rows.select("doc_id", "line_no", F.when(last, k.cast("string")).otherwise(text).alias("text"), last.alias("last"))
-    gap = F.col("doc_id") % 4 == 0
+    # The gap is at the first space after the middle of the text, if there is one.
+    off = F.call_function("locate", F.lit(" "), F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1) - 1
+    gap = (F.col("doc_id") % 4 == 0) & (off >= 0)
     return rows.select(
         "doc_id", "line_no", "text",
         F.when(k % 7 == 0, 86.0).otherwise(72.0).alias("x"),
@@ -31,7 +33,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, 18.0).otherwise(10.0).alias("size"),
         F.when(gap, 280.0 + (k % 3)).otherwise(0.0).alias("gap_x"),
         F.when(gap, 24.0).otherwise(0.0).alias("gap_w"),
-        F.when(gap, F.floor(F.length("text") / 2)).otherwise(0).cast("int").alias("gap_off"),
+        F.when(gap, off).otherwise(-1).cast("int").alias("gap_off"),
     )
 
 
@@ -242,22 +244,22 @@ w AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM d
 wl AS (SELECT doc_id, ws, CAST(ceil(len(ws) / {WORDS}.0) AS BIGINT) AS n, k FROM w, generate_series(0, CAST(ceil(len(ws) / {WORDS}.0) AS BIGINT) - 1) AS g(k)),
 wt AS (SELECT doc_id, k AS line_no, (k = n - 1 AND doc_id % 3 = 0) AS is_last,
               CASE WHEN k = n - 1 AND doc_id % 3 = 0 THEN CAST(k AS VARCHAR) ELSE array_to_string(ws[k * {WORDS} + 1:(k + 1) * {WORDS}], ' ') END AS text FROM wl),
+wo AS (SELECT *, CASE WHEN doc_id % 4 = 0 AND strpos(substr(text, length(text) // 2 + 1), ' ') > 0 THEN strpos(substr(text, length(text) // 2 + 1), ' ') + length(text) // 2 - 1 ELSE -1 END AS off FROM wt),
 lines AS (SELECT doc_id, line_no, text, CASE WHEN line_no % 7 = 0 THEN 86.0::DOUBLE ELSE 72.0::DOUBLE END AS x, 72.0::DOUBLE + length(text) * 5.0::DOUBLE AS x_end,
                  700.0::DOUBLE - line_no * 12.0::DOUBLE - (line_no // 7) * 10.0::DOUBLE - CASE WHEN is_last THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
                  CASE WHEN line_no = 0 THEN 18.0::DOUBLE ELSE 10.0::DOUBLE END AS size,
-                 CASE WHEN doc_id % 4 = 0 THEN 280.0::DOUBLE + line_no % 3 ELSE 0.0::DOUBLE END AS gap_x, CASE WHEN doc_id % 4 = 0 THEN 24.0::DOUBLE ELSE 0.0::DOUBLE END AS gap_w,
-                 CASE WHEN doc_id % 4 = 0 THEN length(text) // 2 ELSE 0 END AS gap_off FROM wt)"""
+                 CASE WHEN off >= 0 THEN 280.0::DOUBLE + line_no % 3 ELSE 0.0::DOUBLE END AS gap_x, CASE WHEN off >= 0 THEN 24.0::DOUBLE ELSE 0.0::DOUBLE END AS gap_w, off AS gap_off FROM wo)"""
 PCT = "list_sort(list({0}) FILTER (({0}) IS NOT NULL))[CAST(floor((count({0}) - 1) * {1} + 0.5) AS BIGINT) + 1]"
-BODY_SQL = f"body AS (SELECT doc_id, {PCT.format('size', '0.5')} AS body FROM lines GROUP BY doc_id)"
+BODY_SQL = f"body AS (SELECT doc_id, {PCT.format('CASE WHEN size > 0 THEN size ELSE 10.0::DOUBLE END', '0.5')} AS body FROM lines GROUP BY doc_id)"
 GUTTER_SQL = f"""{BODY_SQL},
 gc AS (SELECT doc_id, count(*) AS n, {PCT.format("c", "0.5")} AS split, count(c) AS nc FROM
         (SELECT doc_id, CASE WHEN gap_w >= greatest(6.0, body * 1.2) THEN gap_x + gap_w / 2 END AS c FROM lines JOIN body USING (doc_id)) GROUP BY doc_id),
 gn AS (SELECT doc_id, count(*) FILTER (gap_w >= greatest(6.0, body * 1.2) AND abs(gap_x + gap_w / 2 - split) <= 595.0 * 0.05) AS near FROM lines JOIN body USING (doc_id) JOIN gc USING (doc_id) GROUP BY doc_id),
 gut AS (SELECT doc_id, split FROM gc JOIN gn USING (doc_id) WHERE n >= 8 AND nc >= (n + 1) // 2 AND split BETWEEN 595.0 * 0.28 AND 595.0 * 0.72 AND near >= (n + 1) // 2)"""
 COLUMNS_SQL = f"""{GUTTER_SQL},
-sp AS (SELECT l.*, split, coalesce(gap_w >= 6.0 AND x < split AND x_end > split AND abs(gap_x + gap_w / 2 - split) <= 595.0 * 0.05, FALSE) AS across FROM lines l LEFT JOIN gut USING (doc_id)),
-parts AS (SELECT doc_id, line_no, y, size, trim(left(text, gap_off)) AS text, x, gap_x AS x_end, 0 AS col FROM sp WHERE across
-          UNION ALL SELECT doc_id, line_no, y, size, trim(substr(text, gap_off + 1)), gap_x + gap_w, x_end, 1 FROM sp WHERE across
+sp AS (SELECT l.*, split, coalesce(gap_off > 0 AND gap_off < length(text) - 1 AND gap_x <= split AND split <= gap_x + gap_w, FALSE) AS across FROM lines l LEFT JOIN gut USING (doc_id)),
+parts AS (SELECT doc_id, line_no, y, size, left(text, gap_off) AS text, x, gap_x AS x_end, 0 AS col FROM sp WHERE across
+          UNION ALL SELECT doc_id, line_no, y, size, substr(text, gap_off + 2), gap_x + gap_w, x_end, 1 FROM sp WHERE across
           UNION ALL SELECT doc_id, line_no, y, size, text, x, x_end, CASE WHEN split IS NOT NULL AND x >= split THEN 1 ELSE 0 END FROM sp WHERE NOT across),
 cols AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY col, y DESC, x, line_no) - 1 AS INTEGER) AS place FROM parts WHERE text <> '')"""
 MEASURES_SQL = f"""{COLUMNS_SQL},
@@ -266,7 +268,7 @@ st AS (SELECT c.*, body, lag(y) OVER (PARTITION BY doc_id, col ORDER BY place) -
 mm AS (SELECT doc_id, body, {PCT.format("x", "0.25")} AS x0, {PCT.format("x_end", "0.9")} AS x1r,
               {PCT.format("CASE WHEN dy > 0.55 * body AND dy < 3.0 * body THEN dy END", "0.5")} AS lead FROM st GROUP BY doc_id, body),
 m AS (SELECT doc_id, body, x0, CASE WHEN x1r > x0 THEN x1r ELSE x0 + 595.0 / 2 END AS x1, coalesce(lead, body * 1.2) AS "leading" FROM mm),
-j AS (SELECT doc_id, count(*) FILTER (abs(size - m.body) <= 0.15 * m.body) AS n, count(*) FILTER (abs(size - m.body) <= 0.15 * m.body AND abs(x_end - x1) <= 0.35 * m.body) AS flush
+j AS (SELECT doc_id, count(*) FILTER (abs(size - m.body) <= 0.15 * m.body) AS n, count(*) FILTER (abs(size - m.body) <= 0.15 * m.body AND x_end >= x1 - 0.35 * m.body) AS flush
       FROM st JOIN m USING (doc_id) GROUP BY doc_id)"""
 NUM = "(length(text) <= 10 AND (regexp_full_match(text, '[ .\\-|\\[\\]–—]*[0-9][0-9 .\\-|\\[\\]–—]*') OR regexp_full_match(text, '[ .\\-|\\[\\]–—]*[ivxlcdmIVXLCDM][ivxlcdmIVXLCDM .\\-|\\[\\]–—]*')))"
 HEADS_SQL = f"""{MEASURES_SQL},

@@ -23,9 +23,10 @@ def utf8_invalid_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encoding_detect(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as files, every second one in Latin-1."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("[^\\x00-\\xFF]"))
-    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    """Documents as files, every second one in Latin-1 if all its characters are there. A null text has neither encoding nor length."""
+    docs = table(spark, d, "documents")
+    utf8 = (F.col("doc_id") % 2 == 0) | F.col("text").rlike("[^\\x00-\\xFF]")
+    content = F.when(utf8, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
     return docs.select("doc_id", chars.encoding_of(content).alias("encoding"), F.length(chars.text_of(content)).cast("long").alias("code_points"))
 
 
@@ -93,7 +94,12 @@ def xhtml_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xhtml_attrs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.posexplode(xhtml.attributes(F.col("html"), "a", "href")).alias("pos", "href"))
+    """Links of pages, after some in other ways of writing them."""
+    html = F.concat(F.lit(LINKS), F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(xhtml.attributes(html, "a", "href")).alias("pos", "href"))
+
+
+LINKS = """<a class=x href='one "two" three'>a</a><A  HREF="b c &amp; d's" id=y>b</A><x:a href = plain/e.html rel=z>c</x:a><a data-href="no" href=''>d</a><abbr href="no">"""
 
 
 def xhtml_title(spark: SparkSession, d: str) -> DataFrame:
@@ -153,9 +159,13 @@ p AS (SELECT page_id, list_filter(regexp_extract_all(regexp_replace(s, ' ?(?:\\x
 e AS (SELECT {_ENT} AS ent)
 SELECT page_id, CAST(i - 1 AS INTEGER) AS para, {_decode_sql("trim(translate(ps[i], chr(1) || chr(2), ''))")} AS text, ps[i][1] = chr(2) AS heading
 FROM p, e, generate_series(1, len(ps)) AS g(i)"""
+_LINKS_SQL = "'" + LINKS.replace("'", "''") + "'"
+# What follows the sign of equality up to the tag's end, then the rule for quotes.
 HREF_SQL = f"""
-  SELECT page_id, i - 1 AS pos, replace(replace(replace(replace(replace(hs[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS href
-  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<{PREFIX}a(?:[ \\t\\r\\n][^>]*?)?[ \\t\\r\\n]href[ ]*=[ ]*"?([^" >]*)', 1) AS hs FROM pages), generate_series(1, len(hs)) AS g(i)"""
+  SELECT page_id, i - 1 AS pos, replace(replace(replace(replace(replace(CASE WHEN v[1] IN ('"', '''') THEN split_part(v[2:], v[1], 1) ELSE split_part(v, ' ', 1) END,
+         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS href
+  FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all({_LINKS_SQL} || html, '(?i)<{PREFIX}a[ \\t\\r\\n][^>]*'), lambda t: regexp_extract(t, '(?is)^.*?[ \\t\\r\\n]href[ \\t]*(=.*)$', 1)),
+                                    lambda v: v <> '') AS vs FROM pages), generate_series(1, len(vs)) AS g(i), LATERAL (SELECT ltrim(vs[i][2:], ' ' || chr(9)) AS v)"""
 
 QUERIES = {
     f.__name__: f
@@ -168,8 +178,8 @@ ORACLE = {
     "utf8_lengths": "SELECT doc_id, CAST(length(text) AS BIGINT) AS code_points, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
     "utf8_invalid_probe": "SELECT doc_id, chr(65533) || chr(65533) || 'A' || chr(65533) AS head, chr(65533) AS tail, CAST(length(text) + 5 AS BIGINT) AS code_points FROM documents",
     "encoding_detect": f"""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR length(text) = octet_length(encode(text)) THEN 'UTF8' ELSE 'LATIN1' END AS encoding, CAST(length(text) AS BIGINT) AS code_points
-FROM documents WHERE NOT regexp_matches(text, '{E_SQL}')""",
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 2 = 0 OR regexp_matches(text, '{E_SQL}') OR length(text) = octet_length(encode(text)) THEN 'UTF8' ELSE 'LATIN1' END AS encoding,
+       CAST(length(text) AS BIGINT) AS code_points FROM documents""",
     "cp1252_decode": "SELECT CAST(b AS BIGINT) AS byte, CAST(CASE "
     + " ".join(f"WHEN b = {b} THEN {ord(c)}" for b, c in zip(chars.C1_BYTES, chars.C1_TEXT))
     + " ELSE b END AS BIGINT) AS code_point FROM range(128, 256) AS r(b)",

@@ -61,14 +61,10 @@ def _tags(xml: Column, tag: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(f"(?is)<{xhtml.PREFIX}{tag}[ \\t\\r\\n][^>]*>"), F.lit(0))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return xhtml.decode_xml(F.regexp_extract(tag, f"(?is)[ \\t\\r\\n]{name}[ ]*=[ ]*[\"']?([^\"'>]*)", 1))
-
-
 def manifest(packs: DataFrame) -> DataFrame:
     """Rows (book, pos, id, name): items by the full names of their members."""
     rows = packs.select("book", "folder", F.posexplode(_tags(F.col("opf"), "item")).alias("pos", "tag"))
-    return rows.select("book", "pos", _attribute(F.col("tag"), "id").alias("id"), resolve_in(F.col("folder"), _attribute(F.col("tag"), "href")).alias("name"))
+    return rows.select("book", "pos", xhtml.attribute(F.col("tag"), "id").alias("id"), resolve_in(F.col("folder"), xhtml.attribute(F.col("tag"), "href")).alias("name"))
 
 
 def resolve_in(folder: Column, href: Column) -> Column:
@@ -78,7 +74,7 @@ def resolve_in(folder: Column, href: Column) -> Column:
 def spine(packs: DataFrame) -> DataFrame:
     """Rows (book, pos, idref) in reading order."""
     rows = packs.select("book", F.posexplode(_tags(F.col("opf"), "itemref")).alias("pos", "tag"))
-    return rows.select("book", "pos", _attribute(F.col("tag"), "idref").alias("idref"))
+    return rows.select("book", "pos", xhtml.attribute(F.col("tag"), "idref").alias("idref"))
 
 
 def chapters(rows: DataFrame) -> DataFrame:

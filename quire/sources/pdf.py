@@ -18,7 +18,8 @@ from ..functions.tables import written
 
 OBJECT = "(?s)(?<![0-9])([0-9]{1,7})[ \\t\\r\\n]+([0-9]{1,5})[ \\t\\r\\n]+obj\\b(.*?)endobj"
 STREAM = "(?s)stream(?:\\r\\n|\\n|\\r)(.*?)(?:\\r\\n|\\n|\\r)?endstream"
-DEEPEST = 32
+#: Levels of a page tree that are followed.
+DEEPEST = 64
 RUNS = "array<struct<text:string,x:double,y:double,size:double,width:double,dx:double,dy:double,codes:int,unmapped:int>>"
 
 
@@ -123,7 +124,7 @@ def contents(objs: DataFrame, paged: DataFrame) -> DataFrame:
 
 def text_operators(content: Column) -> Column:
     """How many operators of a page show text; strings are left out first."""
-    bare = F.regexp_replace(F.regexp_replace(content, "(?s)\\((?:[^()\\\\]|\\\\.)*\\)", "()"), "<[0-9A-Fa-f \\t\\r\\n]*>", "()")
+    bare = F.regexp_replace(F.regexp_replace(content, "(?s)\\((?:[^()\\\\]++|\\\\.)*+\\)", "()"), "<[0-9A-Fa-f \\t\\r\\n]*>", "()")
     return F.regexp_count(bare, F.lit("(?:\\)|\\]|[ \\t\\r\\n])[ \\t\\r\\n]*(?:Tj|TJ|'|\")(?![A-Za-z0-9])"))
 
 
@@ -218,7 +219,8 @@ class Font:
             if a <= code <= b and to:
                 if len(to) > 1:
                     return to[code - a] if code - a < len(to) else ""
-                return to[0][:-1] + chr(ord(to[0][-1]) + code - a) if to[0] else ""
+                last = ord(to[0][-1]) + code - a if to[0] else 0xD800
+                return to[0][:-1] + chr(last) if not 0xD800 <= last <= 0xDFFF else ""
         return "" if self.wide else self.text.get(code, "")
 
     def width(self, code: int) -> float:

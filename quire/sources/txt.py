@@ -37,8 +37,10 @@ def paragraphs(rows: DataFrame, *keys: str) -> DataFrame:
 
     A paragraph starts at a document's first line, after a blank line, and where a line is indented by more than one over the base.
     """
-    own = Window.partitionBy(*keys).orderBy("line_no")
-    rows = rows.join(modal_indent(rows, *keys), list(keys))
+    own, whole = Window.partitionBy(*keys).orderBy("line_no"), Window.partitionBy(*keys)
+    # The base is modal_indent(), by windows over the partitions that the others need too.
+    counts = [F.struct(F.count_if(~F.col("blank") & (F.least("indent", F.lit(8)) == k)).over(whole).alias("n"), F.lit(-k).alias("k")) for k in range(9)]
+    rows = rows.withColumn("base_indent", -F.greatest(*counts)["k"])
     starts = F.coalesce(F.lag("blank").over(own), F.lit(True)) | (F.col("indent") > F.col("base_indent") + 1)
     rows = rows.withColumn("starts", (~F.col("blank") & starts).cast("int"))
     rows = rows.withColumn("para", F.sum("starts").over(own) - 1).where(~F.col("blank"))

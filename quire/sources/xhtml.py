@@ -20,7 +20,7 @@ REST = "(?:[ \\t\\r\\n/][^>]*)?>"
 UNREAD = "(?is)<[!?][^>]*>|" + "|".join(f"<{PREFIX}{t}{REST}.*?(?:</{PREFIX}{t}{REST}|\\z)" for t in SKIPPED)
 HEADING = f"(?i)<{PREFIX}h[1-6]{REST}"
 BLOCK = f"(?i)</?{PREFIX}(?:{'|'.join(BLOCKS)}){REST}"
-NBSP = "(?i)&(?:nbsp|#0*160|#x0*a0);"
+NBSP = "&(?:nbsp|#0*160|#[xX]0*[aA]0);"
 
 
 def marked_text(html: Column) -> Column:
@@ -54,9 +54,23 @@ def tags(html: Column) -> Column:
 
 
 def attributes(html: Column, tag: str, name: str) -> Column:
-    """Values of an attribute of all tags of a name, the five XML entities decoded."""
-    found = F.regexp_extract_all(html, F.lit(f"(?is)<{PREFIX}{tag}(?:[ \\t\\r\\n][^>]*?)?[ \\t\\r\\n]{name}[ ]*=[ ]*\"?([^\" >]*)"), F.lit(1))
-    return F.transform(found, decode_xml)
+    """Values of an attribute of all tags of a name that have it, the five XML entities decoded."""
+    found = F.regexp_extract_all(html, F.lit(f"(?is)<{PREFIX}{tag}(?:[ \\t\\r\\n][^>]*?)?{_given(name)}"), F.lit(1))
+    return F.transform(found, _unquoted)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of one tag, empty if it has none."""
+    return _unquoted(F.regexp_extract(tag, f"(?is){_given(name)}", 1))
+
+
+def _given(name: str) -> str:
+    """An attribute after white space: in quotes of either kind up to the same one, bare up to a space. No value goes beyond the tag."""
+    return f"[ \\t\\r\\n]{name}[ \\t]*=[ \\t]*(\"[^\">]*|'[^'>]*|[^ >]*)"
+
+
+def _unquoted(value: Column) -> Column:
+    return decode_xml(F.regexp_replace(value, "^[\"']", ""))
 
 
 def decode_xml(s: Column) -> Column:

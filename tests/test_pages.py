@@ -84,6 +84,40 @@ def test_runs_to_lines(spark):
     assert [(r["text"], r["x"], r["x_end"]) for r in got] == [("Hello World", 10.0, 75.0), ("next!", 10.0, 34.0)] and got[0]["gap_off"] == 5 and got[0]["gap_w"] == 15.0
 
 
+def test_gaps_are_measured_from_the_last_run_and_the_size_before_it(spark):
+    def row(page, text, x, size, width):
+        return (page, text, x, 700.0, size, width, width, 0.0)
+
+    rows = [row(1, "long", 10.0, 10.0, 100.0), row(1, "ab", 20.0, 10.0, 10.0), row(1, "cd", 50.0, 10.0, 10.0)]  # 20 from the run before, inside the longest
+    rows += [row(2, "a", 10.0, 8.0, 4.0), row(2, "B", 17.0, 40.0, 20.0)]  # 3 points are a space for 8, not for 40
+    rows += [row(3, "a  b ", 10.0, 10.0, 25.0), row(3, " c", 36.0, 10.0, 10.0), row(3, "right col", 300.0, 10.0, 50.0)]
+    rows += [row(4, "end", 10.0, 10.0, 15.0), row(4, " ", 90.0, 10.0, 5.0)]  # nothing after the gap
+    got = {r["page"]: r for r in lines.group_lines(spark.createDataFrame(rows, RUN), "page").collect()}
+    assert [got[k]["text"] for k in (1, 2, 3, 4)] == ["longab cd", "a B", "a b c right col", "end"]
+    assert got[1]["x_end"] == 110.0 and (got[3]["gap_off"], got[3]["gap_w"]) == (5, 254.0) and (got[4]["gap_off"], got[4]["gap_w"]) == (-1, 0.0)
+
+
+def test_columns_part_where_the_gap_holds_the_gutter(spark):
+    rows = [(f"left {i} right {i}", LEFT, RIGHT, 700.0 - 14 * i, 11.0, 280.0, 24.0, 6) for i in range(8)]
+    beside = ("over it a title", LEFT, RIGHT, 740.0, 11.0, 296.0, 20.0, 7)  # its gap begins behind the gutter, at 292
+    ends = ("no text after ", LEFT, RIGHT, 760.0, 11.0, 280.0, 24.0, 13)
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate([*rows, beside, ends])], LINE)
+    got = {(r["line_no"], r["col"]): r["text"] for r in reflow.in_columns(df, "page").collect()}
+    assert got[0, 0] == "left 0" and got[0, 1] == "right 0" and got[8, 0] == beside[0] and got[9, 0] == ends[0] and len(got) == 18
+
+
+def test_lines_beyond_the_margin_are_flush(spark):
+    ends = [500.0] * 2 + [400.0] * 4 + [520.0] * 4 + [540.0] * 2
+    rows = [(1, i, "text", LEFT, e, 700.0 - 14 * i, 11.0, 0.0, 0.0, -1) for i, e in enumerate(ends)]
+    page = reflow.measures(reflow.in_columns(spark.createDataFrame(rows, LINE), "page"), "page").first()
+    # x1 is 540; of 12 lines the 2 there are flush, and the 4 at 520 are not
+    assert page["x1"] == 540.0 and not page["justified"]
+    rows = [(1, i, "text", LEFT, e, 700.0 - 14 * i, s, 0.0, 0.0, -1) for i, (e, s) in enumerate([(520.0, 11.0)] * 3 + [(540.0, 11.0)] + [(400.0, 11.0)] * 2 + [(518.0, 0.0)] * 4)]
+    page = reflow.measures(reflow.in_columns(spark.createDataFrame(rows, LINE), "page"), "page").first()
+    # 540 lies beyond x1 = 520 by more than a third of the body and counts as flush; sizes of 0 count as 10 for the body
+    assert page["x1"] == 520.0 and page["body"] == 11.0 and page["justified"]
+
+
 @pytest.mark.parametrize("rotate,want", [(0, (10.0, 20.0)), (90, (20.0, 90.0)), (-90, (180.0, 10.0)), (540, (90.0, 180.0))])
 def test_turned_pages(spark, rotate, want):
     df = spark.createDataFrame([(15.0, 25.0, 1.0, 0.0, rotate, 5.0, 5.0, 105.0, 205.0)], "x double, y double, dx double, dy double, rotate int, mb_x0 double, mb_y0 double, mb_x1 double, mb_y1 double")
@@ -115,6 +149,17 @@ def test_long_word_is_cut(spark):
     assert laid(spark, [("", False)]) == []
 
 
+def test_very_long_words_and_streams_take_linear_time(spark):
+    import zlib
+
+    from quire.functions import codecs
+
+    got = laid(spark, [("b" * 300_000, False)])
+    assert "".join(r["text"] for r in got) == "b" * 300_000
+    data = bytes(range(256)) * 60_000
+    assert codecs.flate(zlib.compress(data, 0)) == data and codecs.flate(zlib.compress(data)[:-9])[:256] == data[:256]
+
+
 def txt_paras(spark, data):
     df = spark.createDataFrame([(1, bytearray(data))], "doc int, content binary").select("doc", chars.text_of(F.col("content")).alias("text"))
     return txt.paragraphs(txt.lines(df, "doc"), "doc").orderBy("para").collect()
@@ -143,6 +188,25 @@ def test_xhtml(spark, html, want):
     assert html_paras(spark, html) == want
 
 
+def test_attribute_values(spark):
+    html = """<a href='q'><a class=x href="a b"><A  HREF = "it's &amp; so" ><x:a href=bare/b.html id=2><a data-href="no" href=""><a name="n"><a title='href=x' href='y>z'>"""
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(xhtml.attributes(F.col("h"), "a", "href")).first()[0] == ["q", "a b", "it's & so", "bare/b.html", "", "y"]
+    tag = spark.createDataFrame([("<item id='c 1' href=\"t's.xhtml\"/>",)], "t string")
+    assert tuple(tag.select(xhtml.attribute(F.col("t"), "id"), xhtml.attribute(F.col("t"), "href"), xhtml.attribute(F.col("t"), "none")).first()) == ("c 1", "t's.xhtml", "")
+
+
+def test_epub_of_single_quotes(spark):
+    opf = "<package><dc:title>T</dc:title><item id='a' href='text one.xhtml'/><itemref idref='a'/></package>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", "<container><rootfile full-path='O/b.opf'/></container>")
+        z.writestr("O/b.opf", opf)
+        z.writestr("O/text one.xhtml", "<p>first</p>")
+    rows = epub.members(spark.createDataFrame([(1, bytearray(out.getvalue()))], "book int, content binary"))
+    assert [(c["name"], c["html"]) for c in epub.chapters(rows).collect()] == [("O/text one.xhtml", "<p>first</p>")]
+
+
 def container(entries, opf="OEBPS/b.opf"):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -191,6 +255,29 @@ def test_pdf_streams_with_parameters(spark):
     assert got == {1: ("OK", b"BT (one) Tj ET"), 2: ("OK", b"BT (two) Tj ET")}
 
 
+def test_pdf_of_two_pages_and_two_fonts(spark):
+    """A composite font with widths and a map to Unicode beside a simple one with differences; positions worked out by hand."""
+    body = (
+        "%PDF-1.6\n10 0 obj << /Type /Catalog /Pages 11 0 R >> endobj\n11 0 obj << /Type /Pages /Kids [20 0 R 30 0 R] >> endobj\n"
+        "12 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [13 0 R] /ToUnicode 14 0 R >> endobj\n"
+        "13 0 obj << /Type /Font /Subtype /CIDFontType0 /DW 400 /W [32 [250] 65 70 800 200 [100 300]] >> endobj\n"
+        "14 0 obj << >> stream\n1 beginbfrange <0041> <0046> <0391> endbfrange 2 beginbfchar <0020> <0020> <00C8> <00660066> endbfchar 1 beginbfrange <00C9> <00CA> [<0021> <003F>] endbfrange\nendstream endobj\n"
+        "15 0 obj << /Type /Font /Subtype /Type1 /FirstChar 97 /Widths [500 600] /Encoding << /Differences [98 /eacute /uni20AC] >> >> endobj\n"
+        "20 0 obj << /Type /Page /MediaBox [0 0 300 400] /Resources << /Font << /G 12 0 R >> >> /Contents 21 0 R >> endobj\n"
+        "21 0 obj << >> stream\nBT /G 20 Tf 30 350 Td <00410042> Tj <002000C800C9> Tj 0 -40 Td <00CA0100> Tj ET\nendstream endobj\n"
+        "30 0 obj << /Type /Page /MediaBox [0 0 300 400] /Resources << /Font << /G 12 0 R /S 15 0 R >> >> /Contents 31 0 R >> endobj\n"
+        "31 0 obj << >> stream\nq 2 0 0 2 10 10 cm BT /S 10 Tf 5 100 Td (abc) Tj /G 10 Tf <0043> Tj ET Q BT /S 12 Tf 1 0 0 1 15 30 Tm (a\\(b) Tj ET\nendstream endobj\n"
+    )
+    books = spark.createDataFrame([(7, bytearray(body.encode("latin-1")))], "book int, content binary")
+    got = [(r["unit"], r["text"], r["codes"], r["unmapped"], *(round(r[c], 6) for c in ("x", "y", "size", "width"))) for r in pdf.runs(books).orderBy("unit", "seq").collect()]
+    assert got == [
+        (0, "ΑΒ", 2, 0, 30.0, 350.0, 20.0, 32.0), (0, " ff!", 3, 0, 62.0, 350.0, 20.0, 13.0), (0, "?", 2, 1, 30.0, 310.0, 20.0, 16.0),
+        (1, "aé€", 3, 0, 20.0, 210.0, 20.0, 32.0), (1, "Γ", 1, 0, 52.0, 210.0, 20.0, 16.0), (1, "a(é", 3, 0, 15.0, 30.0, 12.0, 19.2),
+    ]
+    found = lines.group_lines(lines.displayed(pdf.runs(books)), "book", "unit")
+    assert sorted((r["unit"], r["line_no"], r["text"]) for r in found.collect()) == [(0, 0, "ΑΒ ff!"), (0, 1, "?"), (1, 0, "aé€Γ"), (1, 1, "a(é")]
+
+
 def test_pdf_objects_pages_and_streams(spark):
     import zlib
 
