@@ -2,8 +2,9 @@
 
 Vectors belong to the list of their nearest coarse centroid; what is left of a vector
 is quantised part by part. A query visits the lists whose centroids have the largest products with it and adds
-up, for each vector there, entries of its own table of products with all codewords. The best of each list block
-are ranked again by exact products in double precision.
+up, for each code there, entries of its own table of products with all codewords. Small lists share a
+bucket, large ones are cut into several; queries meet codes only, bucket by bucket. The best of all buckets by these sums
+are ranked again by exact products in double precision, the only step that fetches vectors.
 
 Centroids and codewords are fitted on a bounded sample; all rows are indexed. How many lists are
 visited is measured on the sample: so many that they hold the share COVERAGE of true neighbours.
@@ -24,33 +25,44 @@ from .embed_dedup import usable
 
 K = 20
 #: Rows to fit on at most: those with the smallest hashes of vec_id.
-SAMPLE = 8_000
+SAMPLE = 16_000
+#: Lists at most, and the rows that one has on average below that.
+LISTS, LIST_ROWS = 4096, 4
 PARTS = 16
 CODEWORDS = 256
 #: The share of true neighbours that the visited lists must hold, and sample queries to measure it with.
-COVERAGE = 0.985
+COVERAGE = 0.95
 SAMPLE_QUERIES = 400
-#: Candidates of a block of a list that are ranked exactly, for each query.
-SHORTLIST = 64
-#: Rows of a list, and queries, that meet in one group at most, about.
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 4096
+#: Candidates of a query that are ranked exactly.
+SHORTLIST = 160
+#: Rows of a bucket, and queries, that meet in one group at most, about.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
 SEED = 11
 
 
-def _means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest row of c for each of x, and its squared distance less that of x to 0; in runs, so that memory is bounded."""
+    own, least, size = np.zeros(len(x), np.int64), np.zeros(len(x)), (c * c).sum(axis=1)
+    for a in range(0, len(x), 1024):
+        d = size - 2 * x[a : a + 1024] @ c.T
+        own[a : a + 1024] = d.argmin(axis=1)
+        least[a : a + 1024] = d.min(axis=1)
+    return own, least
+
+
+def _means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """k-means centroids; an empty one takes the point farthest from its own."""
     rng = np.random.default_rng(SEED)
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        d = (c * c).sum(axis=1) - 2 * x @ c.T
-        own = d.argmin(axis=1)
+        own, least = _nearest(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c[n > 0] = sums[n > 0] / n[n > 0][:, None]
         if (n == 0).any():
-            far = np.argsort(-d[np.arange(len(x)), own])[: int((n == 0).sum())]
+            far = np.argsort(-least - (x * x).sum(axis=1))[: int((n == 0).sum())]
             c[n == 0] = x[far]
     return c
 
@@ -63,23 +75,27 @@ class Quantizer:
         self.centroids = _means(sample, lists)
         self.parts = [p for p in np.array_split(np.arange(self.width), min(PARTS, self.width)) if len(p)]
         residuals = sample - self.centroids[self.lists(sample)]
-        self.words = [_means(residuals[:, p], CODEWORDS, 6) for p in self.parts]
+        self.words = [_means(residuals[:, p], CODEWORDS) for p in self.parts]
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T).argmin(axis=1)
+        return _nearest(x, self.centroids)[0]
 
     def codes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         r = x - self.centroids[own]
         return np.stack(
-            [((w**2).sum(axis=1) - 2 * r[:, p] @ w.T).argmin(axis=1) for p, w in zip(self.parts, self.words)], axis=1
+            [_nearest(r[:, p], w)[0] for p, w in zip(self.parts, self.words)], axis=1
         ).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Products of queries with the codewords: [part][query, word]."""
         return [(q[:, p] @ w.T).astype(np.float32) for p, w in zip(self.parts, self.words)]
 
-    def nearest_lists(self, q: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :n]
+    def visited(self, q: np.ndarray, n: int) -> np.ndarray:
+        """[query, list]: whether the list is one of the n with the largest products."""
+        near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :n]
+        out = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(out, near, True, axis=1)
+        return out
 
     def visits(self, sample: np.ndarray, k: int) -> int:
         """Lists to visit so that they hold the share COVERAGE of the sample's own neighbours."""
@@ -95,7 +111,7 @@ def _stack(vectors: pd.Series) -> np.ndarray:
 
 
 class Index:
-    """rows: a table (vec_id, list, codes, embedding, block) of all usable vectors; quantizer None if there are none."""
+    """rows: a table (row, vec_id, list, codes, embedding) of all usable vectors, row unique; quantizer None if there are none."""
 
     def __init__(self, rows: DataFrame, quantizer: Quantizer | None, sizes: dict[int, int], visits: int):
         self.rows, self.quantizer, self.sizes, self.visits = rows, quantizer, sizes, visits
@@ -115,8 +131,7 @@ def build(vectors: DataFrame, k: int = K, lists: int | None = None) -> Index:
     if not n:
         return Index(rows, None, {}, 0)
     sample = _stack(drawn["embedding"])
-    lists = lists or max(1, min(4096, round(math.sqrt(n) / 3)))
-    quantizer = Quantizer(sample, lists)
+    quantizer = Quantizer(sample, lists or max(1, min(LISTS, n // LIST_ROWS)))
     kind = rows.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +141,8 @@ def build(vectors: DataFrame, k: int = K, lists: int | None = None) -> Index:
             codes = [c.tobytes() for c in quantizer.codes(x, own)]
             yield pd.DataFrame({"vec_id": batch["vec_id"], "list": own.astype(np.int32), "codes": codes, "embedding": batch["embedding"]})
 
-    coded = written(rows.mapInPandas(assign, f"vec_id long, list int, codes binary, embedding {kind}"), "inverted_file")
+    coded = rows.mapInPandas(assign, f"vec_id long, list int, codes binary, embedding {kind}")
+    coded = written(coded.withColumn("row", F.monotonically_increasing_id()), "inverted_file")
     sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most one row a list
     visits = quantizer.visits(sample, k)
     # However the query lies, the lists visited hold k vectors besides its own.
@@ -135,74 +151,98 @@ def build(vectors: DataFrame, k: int = K, lists: int | None = None) -> Index:
     return Index(coded, quantizer, sizes, min(visits, len(quantizer.centroids)))
 
 
+def _buckets(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list its first bucket and how many it fills: lists that are too small for one share it with their neighbours."""
+    first, blocks = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // BLOCK_ROWS))
+    bucket, held = 0, 0
+    for i, (n, b) in enumerate(zip(sizes.tolist(), blocks.tolist())):
+        if held and held + n > BLOCK_ROWS:
+            bucket, held = bucket + 1, 0
+        first[i] = bucket
+        if b > 1:
+            bucket, held = bucket + b, 0
+        else:
+            held += n
+    return first, blocks
+
+
 def search(index: Index, queries: DataFrame, k: int = K) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score) for ``queries`` (vec_id, embedding): the k nearest found besides the query's own vec_id.
+    """Rows (query_id, rank, vec_id, score) for ``queries`` (vec_id, embedding): the k nearest found besides those of the query's own vec_id.
 
     score is the inner product in double precision; ties go to the smaller vec_id. Queries that can't take part get no rows.
+    Of queries that share a vec_id the one of the smallest hash is asked. Indexed rows that share a vec_id are each found by themselves.
     """
     spark = queries.sparkSession
     quantizer, visits = index.quantizer, index.visits
     if quantizer is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = queries.schema["embedding"].dataType.simpleString()
-    n_queries = queries.count()
-    per_list = n_queries * visits / len(quantizer.centroids)
-    q_blocks = max(1, math.ceil(per_list / BLOCK_QUERIES))
-    r_blocks = {i: math.ceil(n / BLOCK_ROWS) for i, n in index.sizes.items()}
+    asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+    asked = written(asked, "queries")
+    q_blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    first, blocks = _buckets(np.array([index.sizes.get(i, 0) for i in range(len(quantizer.centroids))]))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            near = quantizer.nearest_lists(_stack(batch["embedding"]), visits)
-            for at in range(near.shape[1]):
-                rows = pd.DataFrame({"query_id": batch["vec_id"], "embedding": batch["embedding"], "list": near[:, at].astype(np.int32)})
-                blocks = rows["list"].map(lambda i: r_blocks.get(i, 0)).to_numpy()
-                rows = rows.loc[rows.index.repeat(blocks)]
-                rows["block"] = np.concatenate([np.arange(b) for b in blocks] or [[]]).astype(np.int32)
-                yield rows[["query_id", "embedding", "list", "block"]]
-
-    asked = queries.select("vec_id", "embedding").mapInPandas(visit, f"query_id long, embedding {kind}, list int, block int")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-    blocks = F.create_map(*[F.lit(x) for i in r_blocks.items() for x in i])
-    rows = index.rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("list"))).cast("int"))
+            for a in range(0, len(batch), 256):
+                some = batch.iloc[a : a + 256]
+                rows, lists = np.nonzero(quantizer.visited(_stack(some["embedding"]), visits))
+                each = blocks[lists]
+                rows = np.repeat(rows, each)
+                own = np.repeat(first[lists] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                met = np.unique(np.stack([rows, own], axis=1), axis=0)  # a query once for each bucket
+                out = some.iloc[met[:, 0]]
+                yield pd.DataFrame({"query_id": out["query_id"], "embedding": out["embedding"], "bucket": met[:, 1]})
+
+    sent = asked.mapInPandas(visit, f"query_id long, embedding {kind}, bucket long")
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+    places = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(first), dtype=np.int32), "first": first, "blocks": blocks}))
+    rows = index.rows.select("row", "vec_id", "list", "codes").join(F.broadcast(places), "list")  # LISTS rows at most
+    rows = rows.withColumn("bucket", F.col("first") + F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("first", "blocks")
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return _best_of_block(quantizer, rows, asked, k)
-
-    key = ["list", "block", "part"]
-    found = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(rank, "query_id long, vec_id long, score double")
+        return _best_of_bucket(quantizer, rows, asked, max(SHORTLIST, k), visits)
+
+    key = ["bucket", "part"]
+    found = rows.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(rank, "query_id long, row long, near float")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "row")
+    short = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(SHORTLIST, k)).select("query_id", "row")
+    pairs = short.join(index.rows.select("row", "vec_id", "embedding"), "row").join(asked.withColumnRenamed("embedding", "q"), "query_id")
+    scored = pairs.select("query_id", "vec_id", F.pandas_udf(_products, "double")("q", "embedding").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _best_of_block(quantizer: Quantizer, rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+def _products(batches: Iterator[tuple]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series(np.einsum("ij,ij->i", _stack(a), _stack(b)) if len(a) else np.zeros(0))
+
+
+_products.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+
+
+def _best_of_bucket(quantizer: Quantizer, rows: pd.DataFrame, asked: pd.DataFrame, most: int, visits: int) -> pd.DataFrame:
+    """The ``most`` rows of a bucket's visited lists with the largest sums, for each query."""
+    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
     if rows.empty or asked.empty:
         return none
-    rows = rows.sort_values("vec_id", kind="stable")  # a stable choice among equals then takes smaller ids
-    ids, x = rows["vec_id"].to_numpy(), _stack(rows["embedding"])
+    rows = rows.sort_values("row")
+    ids, names, own = rows["row"].to_numpy(), rows["vec_id"].to_numpy(), rows["list"].to_numpy()
     codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-    centroid = quantizer.centroids[rows["list"].iloc[0]]
     out = [none]
-    for a in range(0, len(asked), 256):
-        some = asked.iloc[a : a + 256]
-        q, names = _stack(some["embedding"]), some["query_id"].to_numpy()
-        near = np.repeat((q @ centroid).astype(np.float32)[:, None], len(rows), axis=1)
+    for a in range(0, len(asked), 128):
+        some = asked.iloc[a : a + 128]
+        q, queries = _stack(some["embedding"]), some["query_id"].to_numpy()
+        near = (q @ quantizer.centroids.T).astype(np.float32)[:, own]
         for table, code in zip(quantizer.tables(q), codes.T):
             near += table[:, code]
-        near[names[:, None] == ids[None, :]] = -np.inf
-        short = np.argsort(-near, axis=1, kind="stable")[:, : max(SHORTLIST, k)]
-        short.sort(axis=1)
-        exact = np.einsum("qd,qsd->qs", q, x[short])
-        exact[names[:, None] == ids[short]] = -np.inf
-        top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(exact, top, axis=1)
-        own = np.take_along_axis(short, top, axis=1)
-        kept = score > -np.inf
-        out.append(pd.DataFrame({"query_id": np.repeat(names, kept.sum(axis=1)), "vec_id": ids[own[kept]], "score": score[kept]}))
+        near[~quantizer.visited(q, visits)[:, own] | (queries[:, None] == names[None, :])] = -np.inf
+        short = np.argpartition(-near, most, axis=1)[:, :most] if near.shape[1] > most else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+        value = np.take_along_axis(near, short, axis=1)
+        kept = value > -np.inf
+        out.append(pd.DataFrame({"query_id": np.repeat(queries, kept.sum(axis=1)), "row": ids[short[kept]], "near": value[kept]}))
     return pd.concat(out, ignore_index=True)
 
 
