@@ -2,8 +2,8 @@
 
 Each pass draws random hyperplanes; a vector's hash is the bits that tell its sides, and vectors are
 sorted by it, bit after bit. Near vectors share long prefixes and so stand close together: each is compared
-with the WINDOW next ones. Pairs at or above the threshold, verified in double precision, are
-united over all passes; a vector's links are counted among its component, block against block, without
+with the WINDOW next ones, also across the partitions of the sort. Pairs at or above the threshold, verified in double precision, are
+united over all passes, of each run of windows only as many as hold it together; a vector's links are counted among its component, block against block, without
 writing out the pairs.
 
 Equal vectors are one node with a weight. The number of passes follows the number of vectors: enough that
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ WINDOW = 48
 RECALL = 0.97
 HASH_BITS = 62
 #: Members that are compared as one block; larger components are cut into such blocks.
-BLOCK = 2048
+BLOCK = 512
 SEED = 20_24
 
 
@@ -74,27 +75,75 @@ def _hashes(batches: Iterator[pd.DataFrame], turns: int) -> Iterator[pd.DataFram
                 yield pd.DataFrame({"turn": turn, "width": width, "h": h, "node": rows["node"], "embedding": rows["embedding"]})
 
 
+def _chained(x: np.ndarray, threshold: float, window: int, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs at most ``window`` apart, without those between places that closer pairs join already; the later one is ``fresh``."""
+    label = np.arange(len(x))
+    first, second = [], []
+    for gap in range(1, min(window, len(x) - 1) + 1):
+        i = np.flatnonzero((np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= threshold) & fresh[gap:] & (label[:-gap] != label[gap:]))
+        if len(i):
+            first.append(i)
+            second.append(i + gap)
+            while True:  # labels to the least of each component
+                least = np.minimum(label[i], label[i + gap])
+                before = label.copy()
+                np.minimum.at(label, before[i], least)
+                np.minimum.at(label, before[i + gap], least)
+                label = label[label]
+                if (label == before).all():
+                    break
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _pairs(rows: pd.DataFrame, threshold: float, window: int, fresh: np.ndarray) -> Iterator[pd.DataFrame]:
+    for _, own in rows.groupby(["turn", "width"], sort=False):
+        i, j = _chained(matrix(own["embedding"]), threshold, window, fresh[own.index])
+        if len(i):
+            node = own["node"].to_numpy()
+            yield pd.DataFrame({"u": node[i], "v": node[j]})
+
+
+_SORTED = ["turn", "width", "node", "embedding"]
+_FOUND = "u long, v long, edge int, at int, turn int, width int, node long, embedding "
+
+
+def _with_nulls(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows with all columns of a pair or of a row at an edge."""
+    rows = rows.reindex(columns=[c.split()[0] for c in _FOUND.split(", ")]).astype(object)
+    return rows.where(rows.notna(), None)
+
+
 def _windows(batches: Iterator[pd.DataFrame], threshold: float, window: int) -> Iterator[pd.DataFrame]:
-    """Verified pairs among each row's next ones in the sorted order of its pass; rows before a batch are carried over."""
-    held = None
+    """Verified pairs (u, v) among each row's next ones in the sorted order of its pass; rows before a batch are carried over.
+
+    The first and the last rows of a partition come too, with the edge between partitions that they lie at.
+    """
+    part, held, seen = TaskContext.get().partitionId(), None, 0
+
+    def at_edge(rows: pd.DataFrame, edge: int, first: int) -> pd.DataFrame:
+        return _with_nulls(rows[_SORTED].assign(edge=edge, at=np.arange(len(rows)) + first))
+
     for batch in batches:
+        if seen < window and len(batch):
+            yield at_edge(batch.head(window - seen), part, seen)
+        seen += len(batch)
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        fresh = 0 if held is None else len(held)
-        for (turn, width), own in rows.groupby(["turn", "width"], sort=False):
-            x, node, at = matrix(own["embedding"]), own["node"].to_numpy(), own.index.to_numpy()
-            u, v = [], []
-            for gap in range(1, min(window, len(own) - 1) + 1):
-                near = np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= threshold
-                near &= at[gap:] >= fresh  # pairs of rows carried over are known
-                u.append(node[:-gap][near])
-                v.append(node[gap:][near])
-            if u:
-                yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+        fresh = np.arange(len(rows)) >= (0 if held is None else len(held))  # pairs of rows carried over are known
+        yield from map(_with_nulls, _pairs(rows, threshold, window, fresh))
         held = rows.tail(window).reset_index(drop=True)
+    if held is not None and len(held):
+        yield at_edge(held, part + 1, -len(held))
+
+
+def _edge_pairs(rows: pd.DataFrame, threshold: float, window: int) -> pd.DataFrame:
+    """Pairs across an edge: the last rows before it and the first behind it."""
+    rows = rows.sort_values("at").reset_index(drop=True)
+    found = list(_pairs(rows, threshold, window, (rows["at"] >= 0).to_numpy()))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"u": [], "v": []}, dtype="int64")
 
 
 def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """Pairs (u < v) of ``nodes`` (node, embedding) with cosine >= threshold that the windows bring together."""
+    """Pairs (u < v) of ``nodes`` (node, embedding) with cosine >= threshold that hold together what the windows bring together."""
     n = nodes.count()
     turns = passes(n, threshold, window)
     kind = nodes.schema["embedding"].dataType.simpleString()
@@ -102,10 +151,14 @@ def near_pairs(nodes: DataFrame, threshold: float = THRESHOLD, window: int = WIN
         lambda b: _hashes(b, turns), f"turn int, width int, h long, node long, embedding {kind}"
     )
     order = ["turn", "width", "h", "node"]
-    # Partitions of many windows each, so that those cut at their edges hardly count.
+    # Partitions of many windows each: a window reaches into the next one only.
     n_parts = max(1, min(shuffle_partitions(nodes.sparkSession), n * turns // (50 * window)))
     rows = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-    pairs = rows.mapInPandas(lambda b: _windows(b, threshold, window), "u long, v long")
+    found = rows.mapInPandas(lambda b: _windows(b, threshold, window), _FOUND + kind)
+    found = written(found, "windows")
+    edges = found.where("edge is not null").select("edge", "at", *_SORTED)
+    across = edges.groupBy("edge").applyInPandas(lambda g: _edge_pairs(g, threshold, window), "u long, v long")
+    pairs = found.where("u is not null").select("u", "v").union(across)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

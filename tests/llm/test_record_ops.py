@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import ann, embed_dedup, packing, rangecoder, tokenfile, tokens, warc
+from quire.llm.components import components
 
 TEXTS = [
     "", " ", "a  b", " lead", "trail ", "x\n\ny", "a \n b", "tab\tx", "it's we'll 'S", "a\x1cb \x1c c", "Σας ΣΑΣ é ﬁ", "1234 56a7", "\n", "a\r\nb",
@@ -240,6 +241,35 @@ def test_link_counts_over_several_blocks(spark, monkeypatch):
     assert {got[i]["n_links"] for i in range(50)} == {49} and {got[100 + i]["component_id"] for i in range(20)} == {100}
 
 
+def test_windows_reach_over_partitions(spark):
+    """The pairs found join what the windows of each pass, sorted as a whole, hold."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = np.float32(np.repeat(rng.normal(size=(250, 6)), 8, axis=0) + 0.15 * rng.normal(size=(2000, 6)))
+    nodes = pd.DataFrame({"node": np.arange(2000), "embedding": list(x)})
+    turns = embed_dedup.passes(2000, window=3)
+    rows = pd.concat(embed_dedup._hashes(iter([nodes]), turns)).sort_values(["turn", "width", "h", "node"])
+    unit = embed_dedup.matrix(nodes["embedding"])
+    root = list(range(2000))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for _, own in rows.groupby("turn"):
+        order = own["node"].tolist()
+        for gap in (1, 2, 3):
+            for a, b in zip(order, order[gap:]):
+                if unit[a] @ unit[b] >= 0.9:
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<float>")
+    pairs = embed_dedup.near_pairs(df, window=3)
+    got = {r["node"]: r["component"] for r in components(pairs).collect()}
+    assert [got.get(i, i) for i in range(2000)] == [find(i) for i in range(2000)]
+
+
 def test_embedding_dedup_joins_outlying_vectors_of_a_hot_third(spark):
     rng = np.random.default_rng(11)
 
@@ -286,6 +316,25 @@ def test_ann_recall_and_order(spark):
     assert max(zlib.crc32(b""), 0) == 0
 
 
+def test_ann_visits_few_lists_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(60, 24))
+    x = np.float32(centers[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 24)))
+    index = ann.build(vectors_of(spark, list(enumerate(x.tolist()))))
+    assert index.visits < 0.3 * len(index.quantizer.centroids)
+    got = ann.search(index, index.rows.where("vec_id % 50 = 0")).toPandas()
+    x = x.astype(float)
+    hits = sum(len(set(np.argsort(-(np.where(np.arange(6000) == q, -np.inf, x @ x[q])))[:20].tolist()) & set(own["vec_id"])) for q, own in got.groupby("query_id"))
+    assert hits >= 0.9 * 120 * 20 and len(got) == 120 * 20
+
+
+def test_ann_of_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [1.0, 3.0]), (2, [0.5, 0.5])]
+    index = ann.build(vectors_of(spark, rows))
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(index, index.rows.where("vec_id = 20")).orderBy("rank").collect()]
+    assert got in ([(1, 1, 2.0), (2, 1, 1.0), (3, 2, 0.5)], [(1, 1, 3.0), (2, 1, 1.0), (3, 2, 0.5)])
+
+
 def test_ann_small_and_empty_tables(spark):
     index = ann.build(vectors_of(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]))
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(index, index.rows.where("vec_id = 0")).orderBy("rank").collect()]
