@@ -8,15 +8,17 @@ Finding the links:
 
 * Blocks. The 64 bits are cut into blocks, more of them than bits may differ, so two
   linked fingerprints agree on all but ``max_bits`` blocks. Each fingerprint goes to one
-  bucket for every choice of agreeing blocks; no link can be missed.
+  bucket for every choice of agreeing blocks; no link can be missed. Keys are counted first:
+  a bucket of one is never written.
+* Pivot table. Every fingerprint that shares a bucket has its distances to PIVOTS fixed references; by the
+  triangle inequality two fingerprints cannot be linked if any of these differs by more than
+  ``max_bits``. Buckets of two are discarded by it before they are written; of the pairs
+  that larger ones lead to, below, only those it leaves are verified bit by bit.
 * Reference fingerprints in the bucket. In each bucket a few members are drawn as
-  references, and the distance of every member to them is computed. Members near a
+  references, and every member is compared with them. Members near a
   reference are linked to it at once: a star, not all pairs. This joins large
-  groups of near copies in linear time.
-* Pivot table. Only pairs of the same bucket that the stars left in different
-  components remain. Every fingerprint carries its distances to PIVOTS fixed
-  references; by the triangle inequality two fingerprints cannot be linked if any of
-  these differs by more than ``max_bits``. Survivors are verified bit by bit.
+  groups of near copies in linear time. Only pairs of the same bucket that the stars left in
+  different components are compared after it.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from .components import components
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHINGLE = 4
 MAX_BITS = 4
-#: Fixed reference fingerprints of the pivot table.
-PIVOTS = 8
+#: Fixed reference fingerprints of the pivot table. Each tells some 42 of 100 unrelated pairs apart.
+PIVOTS = 16
 #: References drawn in each bucket, and the most rounds of drawing them.
 REFERENCES = 3
 ROUNDS = 3
@@ -92,31 +94,48 @@ def _block_masks(n: int, max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _pivot(j: int) -> Column:
-    return F.xxhash64(F.lit(f"pivot {j}"))
+_TABLE = [f"d{j}" for j in range(PIVOTS)]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of ``fps`` (column fp, distinct) within max_bits."""
+def _pivot_distances(fp: str = "fp") -> list[Column]:
+    """A fingerprint's row of the pivot table."""
+    return [distance(F.col(fp), F.xxhash64(F.lit(f"pivot {j}"))).cast("int").alias(d) for j, d in enumerate(_TABLE)]
+
+
+def _may_link(a: str, b: str, max_bits: int) -> Column:
+    """Whether the pivot table leaves a pair: no coordinate differs by more than max_bits."""
+    return F.greatest(*[F.abs(F.col(f"{a}.{d}") - F.col(f"{b}.{d}")) for d in _TABLE]) <= max_bits
+
+
+def _buckets(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Rows (key, fp) of buckets that may hold a link."""
     masks = _block_masks(fps.count(), max_bits)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
     # Two buckets that share a hash are compared as one: more pairs to look at, none lost.
     keyed = keyed.select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    shared = keyed.groupBy("key").agg(
-        F.count("*").alias("n"),
-        *[F.min_by("fp", F.xxhash64("fp", F.lit(s))).alias(f"ref{s}") for s in range(REFERENCES * ROUNDS)],
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = written(keyed.join(shared, "key"), "shared_buckets")
+    spread = met.select("key", *_pivot_distances()).groupBy("key").agg(
+        F.count("*").alias("n"), F.greatest(*[F.max(d) - F.min(d) for d in _TABLE]).alias("apart")
     )
-    buckets = written(keyed.join(shared.where("n > 1"), "key"), "buckets")
+    open_ = spread.where((F.col("n") > 2) | (F.col("apart") <= max_bits)).select("key")
+    return written(met.join(open_, "key", "left_semi"), "buckets")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of ``fps`` (column fp, distinct) within max_bits."""
+    buckets = _buckets(fps, max_bits)
+    member = F.struct("fp", *_pivot_distances())
     stars = None
     for turn in range(ROUNDS):
-        drawn = F.explode(F.array(*[F.col(f"ref{s}") for s in range(turn * REFERENCES, (turn + 1) * REFERENCES)]))
-        near = buckets.select(F.col("fp").alias("u"), drawn.alias("v")).where("u <> v").where(
-            distance(F.col("u"), F.col("v")) <= max_bits
-        )
-        near = near.distinct()
+        drawn = [F.min_by("fp", F.xxhash64("fp", F.lit(s))).alias(f"ref{s}") for s in range(turn * REFERENCES, (turn + 1) * REFERENCES)]
+        refs = buckets.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*[f"ref{s}" for s in range(turn * REFERENCES, (turn + 1) * REFERENCES)]))).alias("ref"))
+        near = buckets.join(refs, "key").where("fp <> ref").select(member.alias("a"), F.struct(F.col("ref").alias("fp"), *_pivot_distances("ref")).alias("b"))
+        near = near.where(_may_link("a", "b", max_bits)).where(distance(F.col("a.fp"), F.col("b.fp")) <= max_bits)
+        near = near.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
         stars = written(near if stars is None else stars.union(near).distinct(), "stars")
         comp = components(stars)
-        labelled = buckets.select("key", "fp").join(comp, F.col("fp") == F.col("node"), "left")
+        labelled = buckets.join(comp, F.col("fp") == F.col("node"), "left")
         labelled = written(labelled.select("key", "fp", F.coalesce("component", "fp").alias("comp")), "labelled")
         by = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
         open_ = by.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
@@ -124,17 +143,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         left = open_.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
         if left <= ENOUGH * labelled.count():
             break
-    table = [distance(F.col("fp"), _pivot(j)).cast("byte").alias(f"d{j}") for j in range(PIVOTS)]
-    rest = labelled.join(open_.select("key"), "key").select("key", "fp", "comp", *table)
+    rest = labelled.join(open_.select("key"), "key").select("key", "fp", "comp", *_pivot_distances())
     a, b = rest.alias("a"), rest.alias("b")
-    apart = F.greatest(*[F.abs(F.col(f"a.d{j}") - F.col(f"b.d{j}")) for j in range(PIVOTS)])
-    found = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.comp") < F.col("b.comp"))
-        & (apart <= max_bits)
-        & (distance(F.col("a.fp"), F.col("b.fp")) <= max_bits),
-    )
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & _may_link("a", "b", max_bits))
+    found = found.where(distance(F.col("a.fp"), F.col("b.fp")) <= max_bits)
     across = found.select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
     return written(stars.union(across), "links")
 
