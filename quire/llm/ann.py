@@ -35,8 +35,8 @@ COVERAGE = 0.95
 SAMPLE_QUERIES = 400
 #: Candidates of a query that are ranked exactly.
 SHORTLIST = 160
-#: Rows of a bucket, and queries, that meet in one group at most, about.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+#: Rows of a bucket (codes of some 24 bytes), and queries, that meet in one group at most, about.
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 512
 SEED = 11
 
 
@@ -232,8 +232,8 @@ def _best_of_bucket(quantizer: Quantizer, rows: pd.DataFrame, asked: pd.DataFram
     ids, names, own = rows["row"].to_numpy(), rows["vec_id"].to_numpy(), rows["list"].to_numpy()
     codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
     out = [none]
-    for a in range(0, len(asked), 128):
-        some = asked.iloc[a : a + 128]
+    for a in range(0, len(asked), 64):
+        some = asked.iloc[a : a + 64]
         q, queries = _stack(some["embedding"]), some["query_id"].to_numpy()
         near = (q @ quantizer.centroids.T).astype(np.float32)[:, own]
         for table, code in zip(quantizer.tables(q), codes.T):

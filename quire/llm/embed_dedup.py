@@ -32,7 +32,7 @@ WINDOW = 48
 RECALL = 0.97
 HASH_BITS = 62
 #: Members that are compared as one block; larger components are cut into such blocks.
-BLOCK = 512
+BLOCK = 256
 SEED = 20_24
 
 
