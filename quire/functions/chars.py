@@ -64,7 +64,7 @@ def encoding_of(content: Column) -> Column:
     sample = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
     shaped = (
         "^(?:[\\x00-\\x7F]|[\\xC2-\\xDF][\\x80-\\xBF]|[\\xE0-\\xEF][\\x80-\\xBF]{2}|[\\xF0-\\xF4][\\x80-\\xBF]{3})*+"
-        "(?:[\\xC2-\\xDF]|[\\xE0-\\xEF][\\x80-\\xBF]?|[\\xF0-\\xF4][\\x80-\\xBF]{0,2})?$"
+        "(?:[\\xC2-\\xDF]|[\\xE0-\\xEF][\\x80-\\xBF]?|[\\xF0-\\xF4][\\x80-\\xBF]{0,2})?\\z"
     )
     return F.when(has_mark(content) | sample.rlike(shaped), F.lit("UTF8")).otherwise(F.lit("LATIN1"))
 
@@ -84,11 +84,18 @@ def text_of(content: Column) -> Column:
     return F.when(encoding_of(content) == "UTF8", utf8_text(bare)).otherwise(latin1_text(bare))
 
 
+#: Bytes of a metadata string before its last character, of UTF-16BE and of others.
+MOST_METADATA = 91, 93
+
+
 def metadata_text(raw: Column) -> Column:
-    """A metadata string: UTF-16BE after its mark, else one byte a character."""
-    return F.when(F.startswith(F.hex(F.substring(raw, 1, 2)), F.lit("FEFF")), F.decode(F.substring(raw, F.lit(3), F.octet_length(raw)), "UTF-16BE")).otherwise(
-        F.decode(raw, "ISO-8859-1")
-    )
+    """A metadata string: UTF-16BE after its mark, without surrogates, else one byte a character; no character begins after MOST_METADATA bytes."""
+    units = F.filter(F.regexp_extract_all(F.substring(F.hex(raw), F.lit(5), F.octet_length(raw) * 2), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: ~u.rlike("^D[89A-F]"))
+    marked = F.startswith(F.hex(F.substring(raw, 1, 2)), F.lit("FEFF"))
+    text = F.when(marked, F.decode(F.unhex(F.array_join(units, "")), "UTF-16BE")).otherwise(F.decode(raw, "ISO-8859-1"))
+    most = F.when(marked, MOST_METADATA[0]).otherwise(MOST_METADATA[1])
+    whole = F.aggregate(F.split(F.left(text, F.lit(MOST_METADATA[1])), ""), F.lit(""), lambda acc, c: F.when(F.octet_length(acc) < most, F.concat(acc, c)).otherwise(acc))
+    return F.nullif(whole, F.lit(""))
 
 
 def code_point_text(cp: Column) -> Column:

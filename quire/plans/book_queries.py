@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,14 @@ def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 MAP = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
 
 
-def _pdfs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as PDF files of a page for each line, whole: as an escaped string if Latin-1 has its characters, else in a font of two bytes with a map to Unicode."""
+LATIN = r"[^\x00-\xFF]"
+
+
+def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Documents as PDF files of a page for each line, whole: as an escaped string if Latin-1 has its characters, else in a font of two bytes with a map to Unicode.
+
+    Pages for which ``scanned`` (doc_id, page from 1) holds show an image instead. Titles are in UTF-16 in every second file, else escaped.
+    """
     rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     n = F.size("ls")
     kids = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat((i * 2 + 5).cast("string"), F.lit(" 0 R"))), " ")
@@ -64,32 +72,39 @@ def _pdfs(spark: SparkSession, d: str) -> DataFrame:
         wide = F.concat(F.lit("/F2 10 Tf 20 100 Td <"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj"))
         return F.when(line.rlike(r"[^\x20-\x7E\xA0-\xFF]"), wide).otherwise(plain)
 
+    def drawn(z: Column) -> Column:
+        text = shown(z["ls"])
+        return text if scanned is None else F.when(scanned(F.col("doc_id"), z["i"]), F.lit("q 400 0 0 200 0 0 cm /I1 Do Q")).otherwise(text)
+
     page = F.array_join(
         F.transform(
             F.arrays_zip("ls", F.sequence(F.lit(1), n).alias("i")),
             lambda z: F.concat(
                 (z["i"] * 2 + 5).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents "), (z["i"] * 2 + 6).cast("string"),
-                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 6).cast("string"), F.lit(" 0 obj << >> stream\nBT "), shown(z["ls"]), F.lit(" ET\nendstream endobj\n"),
+                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 6).cast("string"), F.lit(" 0 obj << >> stream\nBT "), drawn(z), F.lit(" ET\nendstream endobj\n"),
             ),
         ),
         "",
     )
+    number = F.col("doc_id").cast("string")
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("(Livro \\("), number, F.lit("\\))"))).otherwise(F.concat(F.lit("<FEFF"), F.hex(F.encode(F.concat(F.lit("Título "), number), "UTF-16BE")), F.lit(">")))
     text = F.concat(
         F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids ["), kids, F.lit("] >> endobj\n"),
         F.lit("3 0 obj << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> endobj\n"),
         F.lit("4 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [5 0 R] /ToUnicode 6 0 R >> endobj\n"),
         F.lit(f"5 0 obj << /Type /Font /Subtype /CIDFontType2 /DW 500 >> endobj\n6 0 obj << >> stream\n{MAP}\nendstream endobj\n"), page,
+        (n * 2 + 7).cast("string"), F.lit(" 0 obj << /Title "), title, F.lit(" /Author (A \\050B\\051) >> endobj\ntrailer << /Root 1 0 R /Info "), (n * 2 + 7).cast("string"), F.lit(" 0 R >>\n%%EOF\n"),
     )
-    return rows.where(n > 0).select(F.col("doc_id").alias("book"), F.encode(text, "ISO-8859-1").alias("content"))
+    return rows.select(F.col("doc_id").alias("book"), F.encode(text, "ISO-8859-1").alias("content"))
 
 
 def pdf_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = pdf.runs(_pdfs(spark, d))
+    rows = pdf.runs(pdf_files(spark, d))
     return rows.select("book", F.col("unit").cast("int"), "text", "x", "y", "size", "width", "codes", "unmapped")
 
 
 def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
-    books = _pdfs(spark, d)
+    books = pdf_files(spark, d)
     objs = pdf.objects(books)
     text = pdf.contents(objs, pdf.pages(objs)).groupBy("book").agg(F.count("*").alias("pages"), F.sum(pdf.text_operators(F.col("content"))).alias("text_ops"))
     return text.join(books.select("book", pdf.version(F.col("content")).alias("version")), "book")
@@ -97,7 +112,7 @@ def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def pdf_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Documents' PDF files through runs, lines and paragraphs."""
-    rows = written(pdf.runs(_pdfs(spark, d)), "runs")
+    rows = written(pdf.runs(pdf_files(spark, d)), "runs")
     found = written(lines.group_lines(lines.displayed(rows), "book", "unit"), "lines")
     return reflow.reflow(found, "book", "unit").select("book", F.col("unit").cast("int"), "para", "text", F.col("n_lines").cast("int"))
 

@@ -146,7 +146,7 @@ def relayout(spark: SparkSession, d: str) -> DataFrame:
     return layout.screen_of_paragraph(large, F.col("wanted"), "page_id", "wanted")
 
 
-def _touches(spark: SparkSession, d: str) -> DataFrame:
+def touches(spark: SparkSession, d: str) -> DataFrame:
     """Events as touches of books named by user, in order of time."""
     e = table(spark, d, "events")
     seq = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 1000 + F.col("event_id") % 1000
@@ -158,11 +158,11 @@ def _touches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def progress_latest(spark: SparkSession, d: str) -> DataFrame:
-    return progress.latest(_touches(spark, d)).select("name", "size", "unit", "total", "para", "px", "event_id")
+    return progress.latest(touches(spark, d)).select("name", "size", "unit", "total", "para", "px", "event_id")
 
 
 def progress_lru(spark: SparkSession, d: str) -> DataFrame:
-    return progress.recent(_touches(spark, d)).select("name", "size", "event_id")
+    return progress.recent(touches(spark, d)).select("name", "size", "event_id")
 
 
 def _library(spark: SparkSession, d: str) -> DataFrame:
@@ -173,21 +173,21 @@ def _library(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shelf_percent(spark: SparkSession, d: str) -> DataFrame:
-    books = progress.latest(_touches(spark, d)).select("name", "size", "unit", "total")
+    books = progress.latest(touches(spark, d)).select("name", "size", "unit", "total")
     rows = progress.shelf(_library(spark, d), books)
     return rows.select("name", "size", progress.size_text(F.col("size") * 1000).alias("size_text"), "unit", "percent")
 
 
 def resume_point(spark: SparkSession, d: str) -> DataFrame:
-    touches = _touches(spark, d)
-    places = progress.latest(touches.where("event_id % 3 = 0")).select("name", "size", "unit", "para", "px")
-    units = touches.select("name", "size", "unit", (F.col("event_id") % 3).alias("n_screens"))
-    return progress.resume_points(touches.select("name", "size").distinct(), places, units)
+    seen = touches(spark, d)
+    places = progress.latest(seen.where("event_id % 3 = 0")).select("name", "size", "unit", "para", "px")
+    units = seen.select("name", "size", "unit", (F.col("event_id") % 3).alias("n_screens"))
+    return progress.resume_points(seen.select("name", "size").distinct(), places, units)
 
 
 def progress_file(spark: SparkSession, d: str) -> DataFrame:
     """The list as the lines of its file, read back."""
-    top = progress.recent(_touches(spark, d))
+    top = progress.recent(touches(spark, d))
     return progress.parsed(progress.file_lines(top)).select("name", "size", "unit", "total", "para", "px", F.col("place").cast("int"))
 
 
@@ -215,26 +215,12 @@ def trailer_merge(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(newest("root"), newest("info"))
 
 
-def text_layer_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Sources as books, documents as their pages: has any of four sampled pages text?"""
-    pages = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    counts = pages.groupBy("source").agg(F.count("*").alias("units"))
-    # A page's number is how many of its book come before it.
-    from pyspark.sql import Window
-
-    numbered = pages.withColumn("unit", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).join(counts, "source")
-    n = F.col("units")
-    sampled = numbered.where(F.col("unit").isin(0) | (F.col("unit") == F.floor(n / 4)) | (F.col("unit") == F.floor(n / 2)) | (F.col("unit") == F.floor(3 * n / 4)))
-    verdict = F.when(F.sum(F.when(F.col("n") >= 500, 1).otherwise(0)) > 0, F.lit("text")).otherwise(F.lit("images"))
-    return sampled.groupBy("source", "units").agg(F.count("*").alias("sampled"), verdict.alias("verdict"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         line_geometry, run_orientation, run_lines, body_percentiles, gutter_detect, column_split, leading, justified_flag, running_heads, reflow_paragraphs,
         paragraph_flags, reflow_stats, glyph_width, layout_screens, layout_lines, screen_ordinals, relayout, progress_latest, progress_lru, shelf_percent,
-        resume_point, progress_file, library_scan, format_counts, xref_merge, trailer_merge, text_layer_probe,
+        resume_point, progress_file, library_scan, format_counts, xref_merge, trailer_merge,
     )
 }
 
@@ -327,7 +313,4 @@ FROM (SELECT DISTINCT name, size FROM t) b LEFT JOIN third USING (name, size) LE
        CASE user_id % 4 WHEN 0 THEN 'DOC_EPUB' WHEN 1 THEN 'DOC_PDF' WHEN 2 THEN 'DOC_TXT' END AS kind FROM (SELECT DISTINCT user_id FROM events)) GROUP BY ALL""",
     "xref_merge": """SELECT l_orderkey AS num, arg_max(l_partkey, l_linenumber * 10000000000 + l_partkey) AS newest, arg_min(l_partkey, l_linenumber * 10000000000 + l_partkey) AS oldest FROM lineitem GROUP BY ALL""",
     "trailer_merge": """SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 2 = 0) AS root, arg_max(round(value, 6), event_id) FILTER (event_id % 3 = 0) AS info FROM events GROUP BY ALL""",
-    "text_layer_probe": """WITH p AS (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS unit, count(*) OVER (PARTITION BY source) AS units FROM documents)
-SELECT source, units, count(*) AS sampled, CASE WHEN count(*) FILTER (n >= 500) > 0 THEN 'text' ELSE 'images' END AS verdict FROM p
-WHERE unit IN (0, units // 4, units // 2, 3 * units // 4) GROUP BY ALL""",
 }

@@ -174,7 +174,30 @@ QUERIES = {
         txt_units, txt_unit_flags, dehyphenate, first_words, entity_decode, xhtml_tags, xhtml_attrs, xhtml_title, xhtml_paragraphs, xhtml_headings, href_resolve,
     )
 }
+
+
+def units_sql(relation: str) -> str:
+    """Rows (doc_id, unit, "from", "to", clean) of a relation (doc_id, text, latin): its line ends and blank lines are listed once, each cut is looked up in them."""
+    target, slack = txt.UNIT_TARGET, txt.UNIT_SLACK
+    return f"""
+ul AS (SELECT doc_id, latin, string_split(text, chr(10)) AS ls FROM ({relation}) WHERE text <> ''),
+ub AS (SELECT doc_id, i, CASE WHEN latin THEN length(ls[i]) ELSE octet_length(encode(ls[i])) END AS n, regexp_full_match(ls[i], '[\\r \\t]*') AS blank, len(ls) AS k FROM ul, generate_series(1, len(ls)) AS g(i)),
+up AS (SELECT doc_id, i, k, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, lead(blank) OVER (PARTITION BY doc_id ORDER BY i) AS before_blank, sum(n + 1) OVER (PARTITION BY doc_id) - 1 AS total FROM ub),
+uq AS (SELECT *, lead(p) OVER (PARTITION BY doc_id ORDER BY i) + 1 AS e FROM up),
+us AS (SELECT doc_id, max(total) AS total, coalesce(list(p ORDER BY i) FILTER (i < k), []) AS nl, coalesce(list({{'s': p, 'e': e}} ORDER BY i) FILTER (i < k - 1 AND before_blank), []) AS bl FROM uq GROUP BY doc_id),
+ur AS (SELECT doc_id, -1 AS unit, 0::HUGEINT AS "from", 0::HUGEINT AS "to", TRUE AS clean, TRUE AS next_clean FROM us
+       UNION ALL
+       SELECT doc_id, unit + 1, start, CASE WHEN start + {target} >= total THEN total WHEN b IS NOT NULL THEN b.e WHEN l IS NOT NULL THEN l + 1 ELSE least(start + {target + slack}, total) END,
+              next_clean, start + {target} >= total OR b IS NOT NULL
+       FROM (SELECT doc_id, unit, "to" AS start, total, next_clean, list_filter(bl, lambda x: x.s >= "to" + {target} AND x.e <= least("to" + {target + slack}, total))[1] AS b,
+                    list_filter(nl, lambda x: x >= "to" + {target} AND x < least("to" + {target + slack}, total))[1] AS l FROM ur JOIN us USING (doc_id) WHERE "to" < total)),
+units AS (SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST("from" AS BIGINT) AS "from", CAST("to" AS BIGINT) AS "to", clean FROM ur WHERE unit >= 0)"""
+
+
+_DERIVED_UNITS = f"WITH RECURSIVE {units_sql(f'SELECT doc_id, text, FALSE AS latin FROM ({derived_sql()})')}"
 ORACLE = {
+    "txt_units": f"{_DERIVED_UNITS} SELECT * FROM units",
+    "txt_unit_flags": f"""{_DERIVED_UNITS} SELECT *, unit > 0 AND NOT clean AS cont, coalesce(NOT lead(clean) OVER (PARTITION BY doc_id ORDER BY unit), FALSE) AS open FROM units""",
     "utf8_lengths": "SELECT doc_id, CAST(length(text) AS BIGINT) AS code_points, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
     "utf8_invalid_probe": "SELECT doc_id, chr(65533) || chr(65533) || 'A' || chr(65533) AS head, chr(65533) AS tail, CAST(length(text) + 5 AS BIGINT) AS code_points FROM documents",
     "encoding_detect": f"""

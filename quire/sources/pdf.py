@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..functions.chars import metadata_text
 from ..functions.tables import written
 
 OBJECT = "(?s)(?<![0-9])([0-9]{1,7})[ \\t\\r\\n]+([0-9]{1,5})[ \\t\\r\\n]+obj\\b(.*?)endobj"
@@ -114,10 +115,15 @@ def pages(objs: DataFrame) -> DataFrame:
     return written(rows.withColumn("unit", F.row_number().over(own) - 1).select("book", "unit", "num", "body"), "pdf_pages")
 
 
+def _streams(objs: DataFrame, paged: DataFrame) -> DataFrame:
+    """Rows (book, unit, pos, data, status): the streams that a page's contents name; status is null where there is no such stream."""
+    refs = F.coalesce(F.nullif(F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*\\[([^\\]]*)\\]", 1), F.lit("")), F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*([0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R)", 1))
+    return paged.select("book", "unit", F.posexplode(_refs(refs)).alias("pos", "num")).join(objs.select("book", "num", "data", "status"), ["book", "num"], "left").drop("num")
+
+
 def contents(objs: DataFrame, paged: DataFrame) -> DataFrame:
     """Rows (book, unit, content): a page's streams joined by line ends; parts that can't be read are left out."""
-    refs = F.coalesce(F.nullif(F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*\\[([^\\]]*)\\]", 1), F.lit("")), F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*([0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R)", 1))
-    parts = paged.select("book", "unit", F.posexplode(_refs(refs)).alias("pos", "num")).join(objs.where("status = 'OK'").select("book", "num", "data"), ["book", "num"])
+    parts = _streams(objs, paged).where("status = 'OK'")
     joined = parts.groupBy("book", "unit").agg(F.array_sort(F.collect_list(F.struct("pos", F.decode("data", "ISO-8859-1").alias("t")))).alias("ps"))
     return joined.select("book", "unit", F.array_join(F.transform("ps", lambda p: p["t"]), "\n").alias("content"))
 
@@ -147,6 +153,89 @@ def fonts(objs: DataFrame, paged: DataFrame) -> DataFrame:
     return rows.groupBy("book", "unit").agg(F.collect_list(own).alias("fonts"))
 
 
+_ESCAPED = "(?s)\\\\(?:[0-7]{1,3}|\r\n|.)|[^\\\\]+"
+
+
+def _string(text: Column, key: str) -> Column:
+    """The bytes of a string in a dictionary, in parentheses (one level inside them) or hexadecimal; null if there is none."""
+    plain = "(?:[^()\\\\]|\\\\.)"
+    literal = _value(text, key, f"\\(((?:{plain}|\\({plain}*\\))*)\\)")
+
+    def one(part: Column) -> Column:
+        escaped = F.substring(part, F.lit(2), F.length(part))
+        octal = F.char((F.conv(escaped, 8, 10).cast("int")) % 256)
+        named = F.translate(escaped, "nrtbf", "\n\r\t\b\f")
+        meant = F.when(escaped.rlike("^[0-7]"), octal).when(escaped.rlike("^[\r\n]"), F.lit("")).otherwise(named)
+        return F.when(F.startswith(part, F.lit("\\")), meant).otherwise(part)
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(literal, F.lit(_ESCAPED), F.lit(0)), one), "")
+    digits = F.regexp_replace(_value(text, key, "<([0-9A-Fa-f \\t\\r\\n]+)>"), "[ \\t\\r\\n]", "")
+    return F.coalesce(F.encode(whole, "ISO-8859-1"), F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)))
+
+
+def opened(books: DataFrame, objs: DataFrame, paged: DataFrame) -> DataFrame:
+    """Rows (book, version, objects, units, title, author, rebuilt, encrypted, error), one for each of books (book, content).
+
+    rebuilt says that the place named after startxref, within the last 2048 bytes, is no cross-reference; encrypted is no error.
+    """
+    text = F.decode("content", "ISO-8859-1")
+    head = F.instr(F.left(text, F.lit(1024)), "%PDF-") - 1
+    place = F.regexp_extract(F.right(text, F.lit(2048)), "(?s)startxref[ \\t\\r\\n]+([0-9]{1,10})(?!.*startxref)", 1)
+    there = F.substring(text, F.greatest(head, F.lit(0)) + F.coalesce(F.nullif(place, F.lit("")).try_cast("int"), F.lit(2**30)) + 1, F.lit(1000))
+    trailers = F.regexp_extract_all(text, F.lit("/Info[ \\t\\r\\n]+([0-9]{1,7})[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1))
+    rows = books.select(
+        "book", version(F.col("content")).alias("version"), (F.octet_length("content") > 0).alias("filled"), F.try_element_at(trailers, F.lit(-1)).cast("int").alias("info"),
+        (~there.rlike("(?s)^[ \\t\\r\\n]*(?:xref|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+obj(?:(?!endobj|stream).)*/XRef)")).alias("rebuilt"), text.rlike("/Encrypt[ \\t\\r\\n]").alias("encrypted"),
+    )
+    own = [metadata_text(_string(F.col("body"), k)).alias(k.lower()) for k in ("Title", "Author")]
+    rows = rows.join(objs.select("book", F.col("num").alias("info"), *own), ["book", "info"], "left")
+    rows = rows.join(objs.groupBy("book").agg(F.count("*").alias("objects")), "book", "left").join(paged.groupBy("book").agg(F.count("*").alias("units")), "book", "left")
+    error = F.when(~F.coalesce("filled", F.lit(False)), "empty file").when(F.col("version").isNull(), "no %PDF- header").when(F.col("units").isNull(), "no pages")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("objects", "units")]
+    return rows.select("book", "version", *counts, "title", "author", "rebuilt", "encrypted", error.alias("error"))
+
+
+def _counted(objs: DataFrame, paged: DataFrame) -> DataFrame:
+    """Rows (book, unit, streams, ok, images, bytes, ops): what a page's streams hold; pages without any have 0 of all."""
+    state, ok = F.col("status"), F.col("status") == "OK"
+    found = _streams(objs, paged).groupBy("book", "unit").agg(
+        F.count("*").alias("streams"), F.count_if(ok).alias("ok"), F.count_if(state == codecs.IMAGE).alias("images"), F.sum(F.when(ok, F.octet_length("data"))).alias("bytes"),
+        F.sum(F.when(ok, text_operators(F.decode("data", "ISO-8859-1")))).alias("ops"),
+    )
+    rows = paged.select("book", "unit").join(found, ["book", "unit"], "left")
+    return rows.select("book", "unit", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("streams", "ok", "images", "bytes", "ops")])
+
+
+def report(objs: DataFrame, paged: DataFrame) -> DataFrame:
+    """One row a book with pages: its pages, their streams, fonts and text operators, and a verdict.
+
+    A font counts once for each page that names it. Pages without contents are neither pages of text nor of images.
+    """
+    rows = _counted(objs, paged).groupBy("book").agg(
+        F.count("*").alias("pages"), F.count_if(F.col("streams") > 0).alias("with_contents"), F.sum("ok").alias("streams_ok"), F.sum("images").alias("streams_image"),
+        F.sum(F.col("streams") - F.col("ok") - F.col("images")).alias("streams_error"), F.sum("bytes").alias("bytes"),
+        F.count_if(F.col("ops") > 0).alias("text_pages"), F.sum("ops").alias("text_ops"), F.count_if((F.col("streams") > 0) & (F.col("ops") == 0)).alias("image_pages"),
+    )
+    font = fonts(objs, paged).select("book", F.explode("fonts.font").alias("f"))
+    kind = F.regexp_extract("f", "/Subtype[ \\t\\r\\n]*/([A-Za-z0-9]+)", 1)
+    kinds = {"type1": kind.isin("Type1", "MMType1"), "truetype": kind == "TrueType", "type0": kind == "Type0", "other": ~kind.isin("Type1", "MMType1", "TrueType", "Type0"), "to_unicode": F.col("f").contains("/ToUnicode")}
+    by = font.groupBy("book").agg(*[F.count_if(c).alias(f"fonts_{n}") for n, c in kinds.items()])
+    verdict = F.when(F.col("streams_ok") == 0, "unreadable").when(F.col("streams_error") > F.col("streams_ok"), "damaged").when(F.col("text_pages") == 0, "no text layer").otherwise("text")
+    counts = [F.coalesce(f"fonts_{n}", F.lit(0).cast("long")).alias(f"fonts_{n}") for n in kinds]
+    return rows.join(by, "book", "left").select(*rows.columns, *counts, verdict.alias("verdict"))
+
+
+def text_layer(objs: DataFrame, paged: DataFrame) -> DataFrame:
+    """Rows (book, units, sampled, with_text, text_ops, verdict): what the first page and those at each quarter show, if they can be read."""
+    units = paged.groupBy("book").agg(F.count("*").alias("units"))
+    chosen = units.select("book", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.floor(k * F.col("units") / 4).cast("int")))).alias("unit"))
+    probes = paged.join(chosen, ["book", "unit"], "left_semi")
+    seen = _counted(objs, probes).where("ok > 0").groupBy("book").agg(F.count("*").alias("sampled"), F.count_if(F.col("ops") > 0).alias("with_text"), F.sum("ops").alias("text_ops"))
+    verdict = F.when(F.col("sampled").isNull(), "nothing sampled").when(F.col("with_text") == 0, "no text layer").otherwise("text")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("sampled", "with_text", "text_ops")]
+    return units.join(seen, "book", "left").select("book", "units", *counts, verdict.alias("verdict"))
+
+
 # Names of glyphs that text fonts use beyond those of one character.
 GLYPHS = {
     "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")",

@@ -71,7 +71,7 @@ def _cut(data: bytes, target: int, slack: int) -> Iterator[tuple[int, int, bool]
 
 
 def units(docs: DataFrame, key: str, text: str = "text", target: int = UNIT_TARGET, slack: int = UNIT_SLACK) -> DataFrame:
-    """Rows (key, unit, from, to, clean): byte ranges that tile each text, cut at blank lines where there are any near.
+    """Rows (key, unit, from, to, clean): byte ranges that tile each text (a string, or a file's bytes), cut at blank lines where there are any near.
 
     Each cut depends on the one before, so a text is cut by one small loop; texts are dealt over all tasks as they are read.
     """
@@ -82,7 +82,7 @@ def units(docs: DataFrame, key: str, text: str = "text", target: int = UNIT_TARG
             rows = [
                 (k, i, a, b, clean)
                 for k, t in zip(batch[key], batch[text])
-                for i, (a, b, clean) in enumerate(_cut((t or "").encode(), target, slack))
+                for i, (a, b, clean) in enumerate(_cut(t.encode() if isinstance(t, str) else bytes(t or b""), target, slack))
             ]
             yield pd.DataFrame(rows, columns=[key, "unit", "from", "to", "clean"])
 
