@@ -32,6 +32,37 @@ def text_layer_probe(spark: SparkSession, d: str) -> DataFrame:
     return pdf.text_layer(*_pdfs(spark, d))
 
 
+def _revised(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of two revisions, an object for each line: the newer one has every third. It stands first in every fifth file; every third file has bytes before its header."""
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    rows = table(spark, d, "documents").select("doc_id", n.alias("n"))
+
+    def entry(off: Column, gen: int) -> Column:
+        return F.concat(F.lpad(off.cast("string"), 10, "0"), F.lit(f" {gen:05d} n \n"))
+
+    old = F.concat(F.lit("xref\n0 "), (F.col("n") + 1).cast("string"), F.lit("\n0000000000 65535 f \n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: entry(i * 20 + 15, 0)), ""))
+    old = F.concat(old, F.lit("trailer << /Size "), (F.col("n") + 1).cast("string"), F.lit(" /Root 1 0 R /ID [<00> <01>] >>\n"))
+    third = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: i % 3 == 0)
+    new = F.concat(F.lit("xref\n1 1\n0000000000 00001 f \n"), F.array_join(F.transform(third, lambda i: F.concat(i.cast("string"), F.lit(" 1\n"), entry(i * 20 + 17, 1))), ""))
+    rows = rows.select("doc_id", old.alias("old"), new.alias("new"), (F.col("doc_id") % 5 == 0).alias("first"))
+    root = F.concat(F.lit("trailer << /Info 4 0 R /Root "), F.when(F.col("doc_id") % 2 == 0, "2").otherwise("1"), F.lit(" 0 R /Prev "))
+    whole = F.length("new") + F.length(root) + 14  # its place has ten digits
+    rows = rows.withColumn("at", F.when(F.col("first"), whole + 9).otherwise(F.lit(9)))
+    newer = F.concat("new", root, F.lpad(F.col("at").cast("string"), 10, "0"), F.lit(" >>\n"))
+    start = F.when(F.col("first"), F.lit(9)).otherwise(F.length("old") + 9).cast("string")
+    body = F.when(F.col("first"), F.concat(newer, "old")).otherwise(F.concat("old", newer))
+    junk = F.when(F.col("doc_id") % 3 == 0, F.lit("junk\n")).otherwise(F.lit(""))
+    return rows.select(F.col("doc_id").alias("book"), F.encode(F.concat(junk, F.lit("%PDF-1.4\n"), body, F.lit("startxref\n"), start, F.lit("\n%%EOF\n")), "ISO-8859-1").alias("content"))
+
+
+def pdf_cross_references(spark: SparkSession, d: str) -> DataFrame:
+    return pdf.cross_references(pdf.revisions(_revised(spark, d)))
+
+
+def pdf_trailers(spark: SparkSession, d: str) -> DataFrame:
+    return pdf.trailers(pdf.revisions(_revised(spark, d))).where("key <> 'Prev'")
+
+
 EXTENSIONS = ("pdf", "txt", "EPUB", "cbz", "txt")
 
 
@@ -69,7 +100,7 @@ def document_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return document.paragraphs(_books(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (pdf_report, text_layer_probe, document_open, document_card, document_paragraphs)}
+QUERIES = {f.__name__: f for f in (pdf_report, text_layer_probe, pdf_cross_references, pdf_trailers, document_open, document_card, document_paragraphs)}
 _SCANNED = "(doc_id % 7 = 0 OR i % 3 = 0)"
 _PAGES = "(SELECT doc_id, i, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i))"
 _LATIN = "(doc_id % 5 = 4 AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]'))"
@@ -92,6 +123,10 @@ ORACLE = {
        CASE WHEN count(*) FILTER (NOT {_SCANNED}) = 0 THEN 'no text layer' ELSE 'text' END AS verdict FROM {_PAGES} GROUP BY doc_id""",
     "text_layer_probe": f"""SELECT doc_id AS book, max(n) AS units, count(*) AS sampled, count(*) FILTER (NOT {_SCANNED}) AS with_text, count(*) FILTER (NOT {_SCANNED}) AS text_ops,
        CASE WHEN count(*) FILTER (NOT {_SCANNED}) = 0 THEN 'no text layer' ELSE 'text' END AS verdict FROM {_PAGES} WHERE i - 1 IN (0, n // 4, n // 2, 3 * n // 4) GROUP BY doc_id""",
+    "pdf_cross_references": """SELECT doc_id AS book, CAST(i AS INTEGER) AS num, CAST(i * 20 + CASE WHEN i % 3 = 0 THEN 17 ELSE 15 END + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END AS BIGINT) AS off,
+       CAST(CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS gen FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), generate_series(1, n) AS g(i)""",
+    "pdf_trailers": """SELECT doc_id AS book, key, CASE key WHEN 'Size' THEN CAST(len(string_split(coalesce(text, ''), chr(10))) + 1 AS VARCHAR) WHEN 'Info' THEN '4 0 R' WHEN 'ID' THEN '[<00> <01>]'
+       ELSE CASE WHEN doc_id % 2 = 0 THEN '2 0 R' ELSE '1 0 R' END END AS value FROM documents, (VALUES ('Size'), ('Info'), ('ID'), ('Root')) AS k(key)""",
     "document_open": f"WITH RECURSIVE {_OPEN_SQL} SELECT * FROM found",
     "document_card": f"""WITH RECURSIVE {_OPEN_SQL}, {page_queries.TOUCH_SQL},
 c AS (SELECT f.*, 'book ' || book || CASE book % 5 WHEN 0 THEN '.pdf' WHEN 2 THEN '.EPUB' WHEN 3 THEN '.cbz' ELSE '.txt' END AS name, CAST(book * 97 AS BIGINT) AS size, p.unit AS place

@@ -180,7 +180,7 @@ def opened(books: DataFrame, objs: DataFrame, paged: DataFrame) -> DataFrame:
     """
     text = F.decode("content", "ISO-8859-1")
     head = F.instr(F.left(text, F.lit(1024)), "%PDF-") - 1
-    place = F.regexp_extract(F.right(text, F.lit(2048)), "(?s)startxref[ \\t\\r\\n]+([0-9]{1,10})(?!.*startxref)", 1)
+    place = F.regexp_extract(F.right(text, F.lit(2048)), "(?s)startxref[ \\t\\r\\n]+([0-9]+)(?!.*startxref)", 1)
     there = F.substring(text, F.greatest(head, F.lit(0)) + F.coalesce(F.nullif(place, F.lit("")).try_cast("int"), F.lit(2**30)) + 1, F.lit(1000))
     trailers = F.regexp_extract_all(text, F.lit("/Info[ \\t\\r\\n]+([0-9]{1,7})[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1))
     rows = books.select(
@@ -195,6 +195,60 @@ def opened(books: DataFrame, objs: DataFrame, paged: DataFrame) -> DataFrame:
     return rows.select("book", "version", *counts, "title", "author", "rebuilt", "encrypted", error.alias("error"))
 
 
+_ENTRY = "([0-9]{10})[ \\t\\r\\n]+([0-9]{5})[ \\t\\r\\n]+([nf])[ \\t\\r\\n]*"
+_NAME = "[^ \\t\\r\\n/<>()\\[\\]]+"
+
+
+def revisions(books: DataFrame) -> DataFrame:
+    """Rows (book, rev, entries, trailer, shift) of books (book, content): cross-reference tables from the one startxref names, 0, along Prev to the oldest.
+
+    Places count from the header, shift bytes into the file. A table that was passed already ends the chain. Books without a table there have no rows; objects() reads them all the same.
+    """
+    text = F.decode("content", "ISO-8859-1")
+    rows = books.select("book", text.alias("t"), F.greatest(F.instr(F.left(text, F.lit(1024)), "%PDF-") - 1, F.lit(0)).alias("shift"))
+    last = F.regexp_extract(F.right("t", F.lit(2048)), "(?s)startxref[ \\t\\r\\n]+([0-9]+)(?!.*startxref)", 1)
+    rows = rows.select("book", "shift", F.split("t", "(?<![a-z])xref(?=[ \\t\\r\\n])").alias("cut"), F.nullif(last, F.lit("")).try_cast("int").alias("start"))
+
+    def table(i: Column) -> Column:
+        own, before = F.get("cut", i), F.slice("cut", F.lit(1), i)
+        trailer = F.regexp_extract(own, "(?s)^[0-9nf \\t\\r\\n]*trailer[ \\t\\r\\n]*<<((?:(?!<<|>>).|<<[^>]*>>)*+)>>", 1)
+        at = F.aggregate(before, F.lit(0), lambda n, x: n + F.length(x) + 4) - 4 - F.col("shift")
+        return F.struct(at.alias("at"), _value(trailer, "Prev", "([0-9]+)").try_cast("int").alias("prev"), F.regexp_extract(own, "^[0-9nf \\t\\r\\n]*", 0).alias("entries"), trailer.alias("trailer"))
+
+    tables = F.when(F.size("cut") > 1, F.transform(F.sequence(F.lit(1), F.size("cut") - 1), table))
+    rows = rows.where("start is not null").select("book", "shift", "start", tables.alias("ts")).where("ts is not null")
+
+    def at(place: Column) -> Column:
+        return F.get(F.filter("ts", lambda x: x["at"] == place), F.lit(0))
+
+    def further(chain: Column, _: Column) -> Column:
+        prev = at(F.element_at(chain, -1))["prev"]
+        return F.when(prev.isNotNull() & ~F.array_contains(chain, F.coalesce(prev, F.lit(-1))), F.array_append(chain, prev)).otherwise(chain)
+
+    chain = F.aggregate("ts", F.array("start"), further)
+    rows = rows.select("book", "shift", "ts", F.posexplode(chain).alias("rev", "place")).select("book", "rev", "shift", at(F.col("place")).alias("own"))
+    return rows.where("own is not null").select("book", "rev", "own.entries", "own.trailer", "shift")
+
+
+def cross_references(revs: DataFrame) -> DataFrame:
+    """Rows (book, num, off, gen) of revisions(): of each object's number the newest entry in use; a free entry hides no older one."""
+    section = "(?s)(?<![0-9])([0-9]{1,7})[ \\t]+[0-9]{1,7}[ \\t\\r\\n]+((?:" + _ENTRY.replace("(", "(?:") + ")++)"
+    parts = F.arrays_zip(F.regexp_extract_all("entries", F.lit(section), F.lit(1)).alias("first"), F.regexp_extract_all("entries", F.lit(section), F.lit(2)).alias("lines"))
+    rows = revs.select("book", "rev", "shift", F.explode(parts).alias("p")).select("book", "rev", "shift", F.col("p.first").cast("int").alias("first"), F.col("p.lines").alias("lines"))
+    fields = F.arrays_zip(*[F.regexp_extract_all("lines", F.lit(_ENTRY), F.lit(i)).alias(c) for i, c in ((1, "off"), (2, "gen"), (3, "state"))])
+    rows = rows.select("book", "rev", "shift", "first", F.posexplode(fields).alias("i", "e")).where("e.state = 'n'")
+    entry = F.struct((F.col("e.off").cast("long") + F.col("shift")).alias("off"), F.col("e.gen").cast("int").alias("gen"))
+    return rows.groupBy("book", (F.col("first") + F.col("i")).alias("num")).agg(F.min_by(entry, "rev").alias("e")).select("book", "num", "e.off", "e.gen")
+
+
+def trailers(revs: DataFrame) -> DataFrame:
+    """Rows (book, key, value) of revisions(): older trailers give only the keys that newer ones lack."""
+    item = f"(?s)/({_NAME})[ \\t\\r\\n]*(<<.*?>>|<[^>]*>|\\[[^\\]]*\\]|\\((?:[^()\\\\]|\\\\.)*\\)|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R|/?{_NAME})"
+    items = F.arrays_zip(F.regexp_extract_all("trailer", F.lit(item), F.lit(1)).alias("key"), F.regexp_extract_all("trailer", F.lit(item), F.lit(2)).alias("value"))
+    rows = revs.select("book", "rev", F.posexplode(items).alias("pos", "i"))
+    return rows.groupBy("book", F.col("i.key").alias("key")).agg(F.min_by("i.value", F.struct("rev", "pos")).alias("value"))
+
+
 def _counted(objs: DataFrame, paged: DataFrame) -> DataFrame:
     """Rows (book, unit, streams, ok, images, bytes, ops): what a page's streams hold; pages without any have 0 of all."""
     state, ok = F.col("status"), F.col("status") == "OK"

@@ -102,6 +102,23 @@ def test_report_and_sampled_pages(spark):
     }
 
 
+def test_revisions_follow_prev(spark):
+    """Three tables out of their order, one behind a free entry; a chain that comes back on itself; a start that is no table; no start."""
+    head = b"%PDF-1.4\n"
+    newest = b"xref\n0 2\n0000000000 65535 f\n0000000111 00002 n\r\n3 1\n0000000333 00000 f \ntrailer\n<< /Root 1 0 R /Prev %03d >>\n"
+    oldest = b"xref\n2 2\n0000000222 00000 n \n0000000330 00000 n \ntrailer << /Size 9 /Root 7 0 R /Title (a \\) >> b) /D << /E 1 >> >>\n"
+    middle = b"xref\n1 1\n0000000999 00000 n \ntrailer << /Info 5 0 R /Size 4 /Prev %03d >>\n"
+    first = len(newest % 0) + len(head)
+    chain = head + newest % (first + len(oldest)) + oldest + middle % first + b"startxref\n9\n%%EOF"
+    loop = head + newest % 9 + b"startxref\n9"
+    files = [(1, chain), (2, b"12\n" + loop), (3, head + b"xref\nstartxref\n4"), (4, b""), (5, None), (6, head + newest % 999 + b"startxref 9")]
+    revs = pdf.revisions(spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in files], "book int, content binary"))
+    assert sorted((r["book"], r["rev"]) for r in revs.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0), (6, 0)]
+    assert sorted(map(tuple, pdf.cross_references(revs).collect())) == [(1, 1, 111, 2), (1, 2, 222, 0), (1, 3, 330, 0), (2, 1, 114, 2), (6, 1, 111, 2)]
+    got = {(r["book"], r["key"]): r["value"] for r in pdf.trailers(revs).collect()}
+    assert [got.get((1, k)) for k in ("Root", "Size", "Info")] == ["1 0 R", "4", "5 0 R"] and (2, "Size") not in got
+
+
 @pytest.mark.parametrize(("raw", "text"), [(b"a" * 200, "a" * 93), (b"\xe9" * 60, "é" * 47), (b"\xfe\xff" + "ç".encode("utf-16-be") * 60, "ç" * 46), (b"\xfe\xff\xd8\x3d\xde\x00", None), (b"", None)])
 def test_metadata_is_clipped(spark, raw, text):
     assert spark.createDataFrame([(bytearray(raw),)], "b binary").select(chars.metadata_text(F.col("b"))).first()[0] == text
@@ -119,7 +136,7 @@ def test_queries_agree_with_sql(spark, tmp_path):
     con = duckdb.connect()
     for name in ("documents", "events"):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("document_open", "document_card", "pdf_report", "text_layer_probe", "txt_units", "txt_unit_flags"):
+    for name in ("document_open", "document_card", "pdf_report", "text_layer_probe", "pdf_cross_references", "pdf_trailers", "txt_units", "txt_unit_flags"):
         df = QUERIES[name](spark, str(tmp_path))
         cols = sorted(df.columns)
         sql = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLE[name]})").fetchall()
