@@ -11,6 +11,7 @@ sample (SAMPLE rows for each language); the expected piece counts of each step a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ ROUNDS = 4
 #: Longer runs of letters are summed in logarithms, which don't vanish.
 LONGEST = 40
 #: Numbers of a table of sums at most: words of about one length are summed together.
-TABLE = 4_000_000
+TABLE = 1_000_000
+#: Words whose places are listed at once.
+WORDS = 4_000
 #: Added to each expected count: no piece becomes impossible.
 SMOOTHING = 0.05
 VOCABULARY = "piece_bpe_32k.model"
@@ -69,7 +72,7 @@ class Lattice:
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Word, end, length and piece of each place, sorted by end then word."""
-        w, e, n, p = [], [], [], []
+        w, e, n, p = array("q"), array("q"), array("q"), array("q")
         for i, word in enumerate(words):
             for end, (piece, length) in self.automaton.iter(word):
                 w.append(i)
@@ -158,7 +161,7 @@ def by_length(words: list[str], languages: int) -> Iterator[np.ndarray]:
     order = np.argsort(lengths, kind="stable")
     start = 0
     while start < len(order):
-        stop = min(len(order), start + 20_000)
+        stop = min(len(order), start + WORDS)
         if lengths[order[start]] <= LONGEST + 1:
             stop = min(stop, int(np.searchsorted(lengths[order], LONGEST + 1, side="right")))
         sizes = (lengths[order[start:stop]] + 1) * np.arange(1, stop - start + 1) * languages

@@ -50,7 +50,7 @@ class TokenTable:
         return at, self.table
 
 
-def slabs(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slabs(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about most_chars characters each; a longer text is one alone."""
     start = size = 0
     for i, t in enumerate(texts):
