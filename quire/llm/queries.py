@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op2_ann
 from .embed_dedup import op5_embedding_dedup
+from .fim import OP11_SQL, op11_fill_in_middle
 from .langid import op3_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op9_simhash": op9_simhash,
     "op7_mixing": op7_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 ORACLE = {
     "op8_warc": OP8_SQL,
     "op1_line_dedup": OP1_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
