@@ -10,6 +10,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op6_packing
 from .quality import op4_quality
+from .sharding import OP12_SQL, op12_sharding
 from .simhash import op9_simhash
 from .tokenfile import op10_token_files
 from .warc import OP8_SQL, op8_warc
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op7_mixing": op7_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_sharding": op12_sharding,
 }
 ORACLE = {
     "op8_warc": OP8_SQL,
     "op1_line_dedup": OP1_SQL,
     "op7_mixing": OP7_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_sharding": OP12_SQL,
 }
