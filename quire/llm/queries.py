@@ -14,6 +14,7 @@ from .sharding import OP12_SQL, op12_sharding
 from .simhash import op9_simhash
 from .tokenfile import op10_token_files
 from .warc import OP8_SQL, op8_warc
+from .whitening import op13_whitening
 
 QUERIES = {
     "op2_ann": op2_ann,
@@ -28,6 +29,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_sharding": op12_sharding,
+    "op13_whitening": op13_whitening,
 }
 ORACLE = {
     "op8_warc": OP8_SQL,
