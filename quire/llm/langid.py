@@ -29,6 +29,8 @@ SAMPLE = 2000
 ROUNDS = 4
 #: Longer runs of letters are summed in logarithms, which don't vanish.
 LONGEST = 40
+#: So are words whose sum of products is smaller, as it is where the pieces they need are all rare.
+VANISHING = 1e-280
 #: Numbers of a table of sums at most: words of about one length are summed together.
 TABLE = 1_000_000
 #: Words whose places are listed at once.
@@ -116,7 +118,14 @@ class Lattice:
             lengths = np.array([len(x) for x in own])
             logs = lengths.max() > LONGEST + 1
             alpha = self.forward(own, log_table if logs else table, logs=logs)[lengths, np.arange(len(own))]
-            out[some] = alpha if logs else np.log(alpha)
+            if not logs:
+                low = np.flatnonzero((alpha < VANISHING).any(axis=1))
+                with np.errstate(divide="ignore"):
+                    alpha = np.log(alpha)
+                for few in by_length([own[i] for i in low], table.shape[1]):
+                    few = low[few]
+                    alpha[few] = self.forward([own[i] for i in few], log_table, logs=True)[lengths[few], np.arange(len(few))]
+            out[some] = alpha
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
@@ -126,14 +135,20 @@ class Lattice:
             total += self._expected([words[i] for i in some], counts[some], probability)
         return total
 
-    def _expected(self, words: list[str], counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    def _expected(self, words: list[str], counts: np.ndarray, probability: np.ndarray, logs: bool = False) -> np.ndarray:
         arcs = w, e, n, p = self.arcs(words)
         lengths = np.array([len(x) for x in words])
-        logs = lengths.max() > LONGEST + 1
+        logs = logs or lengths.max() > LONGEST + 1
         times, add, none, one = (np.add, np.logaddexp, -np.inf, 0) if logs else (np.multiply, np.add, 0, 1)
-        table = np.log(probability) if logs else probability
+        with np.errstate(divide="ignore"):
+            table = np.log(probability) if logs else probability
         alpha = self.forward(words, table[:, None], arcs, logs)[:, :, 0]
         total = alpha[lengths, np.arange(len(words))]
+        low = np.flatnonzero(total < VANISHING)
+        if not logs and len(low):
+            high = np.flatnonzero(total >= VANISHING)
+            found = self._expected([words[i] for i in low], counts[low], probability, logs=True)
+            return found + (self._expected([words[i] for i in high], counts[high], probability) if len(high) else 0)
         beta = np.full_like(alpha, none)
         beta[lengths, np.arange(len(words))] = one
         begin = e - n
@@ -149,7 +164,7 @@ class Lattice:
             rows = bw[a:b][starts]
             beta[at, rows] = add(beta[at, rows], add.reduceat(value, starts))
         if logs:
-            share = np.exp(alpha[begin, w] + table[p] + beta[e, w] - total[w])
+            share = np.exp(alpha[begin, w] + table[p] + beta[e, w] - np.where(np.isfinite(total), total, 0)[w])
         else:
             share = alpha[begin, w] * probability[p] * beta[e, w] / total[w]
         return np.bincount(p, share * counts[w], self.unknown + 1)

@@ -297,6 +297,31 @@ def test_numerals_are_no_letters(spark):
     assert [got[i] for i in (100, 101, 102)] == [("und", 0.0)] * 3 and got[103][0] == "en"
 
 
+@pytest.mark.parametrize("rare", [1e-12, 1e-30, 1e-300])
+def test_rare_pieces_do_not_vanish(rare):
+    """Runs of letters whose products underflow: totals, expected counts and scores stay finite and right."""
+    import numpy as np
+    import pandas as pd
+
+    graph = langid.lattice(langid.default_vocabulary())
+    table = np.full((len(graph.pieces) + 1, 2), rare)
+    known = {p: i for i, p in enumerate(graph.pieces)}
+    table[known[langid.START + "the"], 0] = 0.5
+    words = [langid.START + "ж" * 40, langid.START + "the", langid.START + "the" + "ж" * 37, langid.START + "ж" * 3]
+    totals = graph.log_totals(words, table)
+    assert np.isfinite(totals).all() and totals[1, 0] == pytest.approx(np.log(0.5), rel=1e-3)
+    whole = [graph.forward([w], np.log(table), logs=True)[len(w), 0] for w in words]  # [word][language]
+    assert np.allclose(totals, whole, rtol=1e-9)
+    counts = np.array([1.0, 3.0, 2.0, 5.0])
+    found = graph.expected(words, counts, table[:, 0])
+    assert np.isfinite(found).all() and found[known[langid.START + "the"]] == pytest.approx(5.0, rel=1e-3)
+    letters = sum(c * (len(w) - 1 if "the" not in w else len(w) - 4) for c, w in zip(counts, words))
+    assert found[known.get("ж", graph.unknown)] == pytest.approx(letters, rel=0.3)
+    model = langid.Model(["a", "b"], table, langid.default_vocabulary())
+    scored = next(model.score([pd.DataFrame({"text": [w[1:] for w in words] + ["the " + "ж" * 40 + " the"]})]))
+    assert scored["score"].between(0, 1).all() and scored["lang_pred"].tolist()[1] == "a"
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(ENGLISH) for _ in range(40)) + "."
