@@ -158,8 +158,8 @@ _ESCAPED = "(?s)\\\\(?:[0-7]{1,3}|\r\n|.)|[^\\\\]+"
 
 def _string(text: Column, key: str) -> Column:
     """The bytes of a string in a dictionary, in parentheses (one level inside them) or hexadecimal; null if there is none."""
-    plain = "(?:[^()\\\\]|\\\\.)"
-    literal = _value(text, key, f"\\(((?:{plain}|\\({plain}*\\))*)\\)")
+    plain = "(?:[^()\\\\]++|\\\\.)"  # loops without a way back: others recurse once for each character
+    literal = _value(text, key, f"\\(((?:{plain}|\\({plain}*+\\))*+)\\)")
 
     def one(part: Column) -> Column:
         escaped = F.substring(part, F.lit(2), F.length(part))
@@ -243,7 +243,7 @@ def cross_references(revs: DataFrame) -> DataFrame:
 
 def trailers(revs: DataFrame) -> DataFrame:
     """Rows (book, key, value) of revisions(): older trailers give only the keys that newer ones lack."""
-    item = f"(?s)/({_NAME})[ \\t\\r\\n]*(<<.*?>>|<[^>]*>|\\[[^\\]]*\\]|\\((?:[^()\\\\]|\\\\.)*\\)|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R|/?{_NAME})"
+    item = f"(?s)/({_NAME})[ \\t\\r\\n]*(<<.*?>>|<[^>]*>|\\[[^\\]]*\\]|\\((?:[^()\\\\]++|\\\\.)*+\\)|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R|/?{_NAME})"
     items = F.arrays_zip(F.regexp_extract_all("trailer", F.lit(item), F.lit(1)).alias("key"), F.regexp_extract_all("trailer", F.lit(item), F.lit(2)).alias("value"))
     rows = revs.select("book", "rev", F.posexplode(items).alias("pos", "i"))
     return rows.groupBy("book", F.col("i.key").alias("key")).agg(F.min_by("i.value", F.struct("rev", "pos")).alias("value"))

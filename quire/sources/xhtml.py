@@ -23,16 +23,24 @@ BLOCK = f"(?i)</?{PREFIX}(?:{'|'.join(BLOCKS)}){REST}"
 NBSP = "&(?:nbsp|#0*160|#[xX]0*[aA]0);"
 
 
+def _closed(s: Column) -> Column:
+    """Without a last tag that never ends: after this, a search for the end of a tag always finds one and never passes text twice."""
+    tail = F.substring_index(s, ">", -1)
+    return F.concat(F.left(s, F.length(s) - F.length(tail)), F.substring_index(tail, "<", 1))
+
+
 def marked_text(html: Column) -> Column:
     """Text with U+0001 for a break and U+0002 for one that opens a heading, white space collapsed, entities not yet decoded."""
-    s = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), "\u0001\u0002", ""), UNREAD, "")
+    s = _closed(F.regexp_replace(_closed(F.translate(F.coalesce(html, F.lit("")), "\u0001\u0002", "")), UNREAD, ""))
     s = F.regexp_replace(s, HEADING, "\u0002")
     s = F.regexp_replace(s, BLOCK, "\u0001")
-    s = F.regexp_replace(F.regexp_replace(s, "<[^>]*>", ""), "<[^>]*\\z", "")
+    s = F.regexp_replace(_closed(s), "<[^>]*>", "")
     s = F.regexp_replace(s, NBSP, " ")
     s = F.regexp_replace(s, "[ \\t\\r\\n]+", " ")
-    s = F.regexp_replace(s, "[\u0001\u0002 ]*\u0002[\u0001\u0002 ]*", "\u0002")
-    return F.regexp_replace(s, " ?(?:\u0001 ?)+", "\u0001")
+    # Spaces beside marks go, then runs of marks become one; each pattern passes a run once, however long it is.
+    s = F.regexp_replace(s, "(?<=[\u0001\u0002]) | (?=[\u0001\u0002])", "")
+    s = F.regexp_replace(s, "(?<!\u0001)\u0001*+\u0002[\u0001\u0002]*+", "\u0002")
+    return F.regexp_replace(s, "\u0001+", "\u0001")
 
 
 def paragraphs(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
