@@ -3,17 +3,16 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder all executors share, spark.checkpoint.dir.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share, spark.checkpoint.dir.
 
     Where it is unset, a session of one machine (tests) gets a folder of its own; on a cluster that would lose rows, so it is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
@@ -21,6 +20,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="quire-"))
         folder = _own_folder[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table at a fresh path."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import chars
+from ..functions.tables import fresh_path
 from ..operators import progress
-from ..sources import document, epub, pdf
+from ..sources import document, epub, pdf, shelf
 from . import page_queries
 from .book_queries import LATIN, pdf_files
 from .common import table
@@ -100,7 +102,27 @@ def document_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return document.paragraphs(_books(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (pdf_report, text_layer_probe, pdf_cross_references, pdf_trailers, document_open, document_card, document_paragraphs)}
+def _shelf(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each of _books(), a folder inside it for each thousand."""
+    folder = fresh_path(spark, "shelf")
+    name = F.concat(F.floor(F.col("book") / 1000).cast("string"), F.lit("/"), F.col("name"))
+    shelf.write(_books(spark, d).select(name.alias("name"), "content"), folder)
+    return folder
+
+
+def shelf_heads(spark: SparkSession, d: str) -> DataFrame:
+    """What the first bytes say of text and PDF files that aren't empty; no others are opened, and of these no more is read."""
+    rows = shelf.read(spark, _shelf(spark, d), "name", "size", "fmt", "head", formats="txt,pdf", least_bytes=1)
+    text = F.col("fmt") == "txt"
+    return rows.select("name", "fmt", F.when(text, F.col("size")).alias("size"), F.when(text, chars.encoding_of(F.col("head"))).alias("encoding"), F.when(~text, pdf.version(F.col("head"))).alias("version"))
+
+
+def shelf_open(spark: SparkSession, d: str) -> DataFrame:
+    """document_open over files, by their names: each format's files are read by themselves."""
+    return document.opened(document.folder(spark, _shelf(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (shelf_heads, shelf_open, pdf_report, text_layer_probe, pdf_cross_references, pdf_trailers, document_open, document_card, document_paragraphs)}
 _SCANNED = "(doc_id % 7 = 0 OR i % 3 = 0)"
 _PAGES = "(SELECT doc_id, i, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i))"
 _LATIN = "(doc_id % 5 = 4 AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]'))"
@@ -127,6 +149,11 @@ ORACLE = {
        CAST(CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS gen FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), generate_series(1, n) AS g(i)""",
     "pdf_trailers": """SELECT doc_id AS book, key, CASE key WHEN 'Size' THEN CAST(len(string_split(coalesce(text, ''), chr(10))) + 1 AS VARCHAR) WHEN 'Info' THEN '4 0 R' WHEN 'ID' THEN '[<00> <01>]'
        ELSE CASE WHEN doc_id % 2 = 0 THEN '2 0 R' ELSE '1 0 R' END END AS value FROM documents, (VALUES ('Size'), ('Info'), ('ID'), ('Root')) AS k(key)""",
+    "shelf_heads": f"""SELECT CAST(doc_id // 1000 AS VARCHAR) || '/book ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS name, CASE WHEN doc_id % 5 = 0 THEN 'pdf' ELSE 'txt' END AS fmt,
+       CASE WHEN doc_id % 5 <> 0 THEN CAST(CASE WHEN {_LATIN} THEN length(text) ELSE octet_length(encode(text)) END AS BIGINT) END AS size,
+       CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN {_LATIN} AND length(left(text, 8192)) < octet_length(encode(left(text, 8192))) THEN 'LATIN1' ELSE 'UTF8' END END AS encoding,
+       CASE WHEN doc_id % 5 = 0 THEN '1.4' END AS version FROM documents WHERE doc_id % 5 IN (0, 1, 4) AND (text <> '' OR (doc_id % 5 = 0 AND text = ''))""",
+    "shelf_open": f"""WITH RECURSIVE {_OPEN_SQL} SELECT * REPLACE (CAST(book // 1000 AS VARCHAR) || '/book ' || book || CASE book % 5 WHEN 0 THEN '.pdf' WHEN 2 THEN '.EPUB' WHEN 3 THEN '.cbz' ELSE '.txt' END AS book) FROM found""",
     "document_open": f"WITH RECURSIVE {_OPEN_SQL} SELECT * FROM found",
     "document_card": f"""WITH RECURSIVE {_OPEN_SQL}, {page_queries.TOUCH_SQL},
 c AS (SELECT f.*, 'book ' || book || CASE book % 5 WHEN 0 THEN '.pdf' WHEN 2 THEN '.EPUB' WHEN 3 THEN '.cbz' ELSE '.txt' END AS name, CAST(book * 97 AS BIGINT) AS size, p.unit AS place

@@ -3,16 +3,19 @@
 Each format keeps its own relations; these are their unions by name. What can't be opened is a row with an error.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chars
 from ..functions.tables import written
 from ..operators import lines, reflow
-from . import epub, library, pdf, txt
+from . import epub, library, pdf, shelf, txt
 
 #: Body size and leading of plain text, which has none of its own.
 TXT_BODY, TXT_LEADING = 10.0, 12.0
+OTHERS = "DOC_OTHER"
 ENCODINGS = {"UTF8": "UTF-8", "LATIN1": "Latin-1"}
 COLUMNS = ("book", "kind", "title", "author", "version", "encoding", "units", "objects", "rebuilt", "encrypted", "error")
 
@@ -22,8 +25,21 @@ def kind() -> Column:
     return library.kind_of(library.format_of(F.col("name")))
 
 
-def _of(books: DataFrame, wanted: str) -> DataFrame:
-    return books.where(kind() == wanted).select("book", "content")
+def _of(books: DataFrame | Callable[[str], DataFrame], wanted: str) -> DataFrame:
+    """The books of one format; OTHERS are those of none that is known."""
+    if callable(books):
+        return books(wanted)
+    return books.where(kind().isNull() if wanted == OTHERS else kind() == wanted).select("book", "content")
+
+
+def folder(spark: SparkSession, path: str) -> Callable[[str], DataFrame]:
+    """The files of a folder as books, by their names: for each format a scan that opens no file of another."""
+
+    def books(wanted: str) -> DataFrame:
+        rows = shelf.read(spark, path, "name", "content", formats=wanted.removeprefix("DOC_").lower())
+        return rows.select(F.col("name").alias("book"), "content")
+
+    return books
 
 
 def _text_units(books: DataFrame) -> DataFrame:
@@ -43,8 +59,8 @@ def _epub_units(rows: DataFrame) -> DataFrame:
     return epub.units(epub.chapters(rows)).withColumn("unit", F.row_number().over(own) - 1)
 
 
-def opened(books: DataFrame) -> DataFrame:
-    """Rows of COLUMNS, one for each of ``books`` (book, name, content; book distinct): what its format says of it, or its error.
+def opened(books: DataFrame | Callable[[str], DataFrame]) -> DataFrame:
+    """Rows of COLUMNS, one for each of ``books`` (book, name, content; book distinct), or of those of a folder(): what its format says of it, or its error.
 
     Null content is an empty file. What a format doesn't have is null, 0 or false. Other columns are not read; no books give no rows.
     """
@@ -76,12 +92,12 @@ def opened(books: DataFrame) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("units", "objects")]
     zips = zips.select("book", F.lit("DOC_EPUB").alias("kind"), "title", "author", *counts, error.alias("error"))
 
-    others = books.where(kind().isNull()).select("book", F.lit(0).cast("long").alias("units"), F.lit("unknown format").alias("error"))
+    others = _of(books, OTHERS).select("book", F.lit(0).cast("long").alias("units"), F.lit("unknown format").alias("error"))
     rows = found.unionByName(texts, True).unionByName(zips, True).unionByName(others, True).select(*COLUMNS)
     return rows.fillna({"objects": 0, "rebuilt": False, "encrypted": False})
 
 
-def paragraphs(books: DataFrame) -> DataFrame:
+def paragraphs(books: DataFrame | Callable[[str], DataFrame]) -> DataFrame:
     """Rows (book, kind, unit, para, text, n_lines, heading, center, body, leading, cont, open) of ``books`` (book, name, content), whatever their format.
 
     Books that can't be opened and units without text have no rows. n_lines and center are null where a format doesn't have them.
