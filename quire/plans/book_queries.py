@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..functions.tables import written
 from ..operators import lines, reflow
-from ..sources import epub, pdf
+from ..sources import epub, pdf, pdf_forms
 from .common import table
 from .text_queries import PARAS_SQL
 
@@ -58,10 +58,10 @@ MAP = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <000
 LATIN = r"[^\x00-\xFF]"
 
 
-def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], Column] | None = None, nested: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Documents as PDF files of a page for each line, whole: as an escaped string if Latin-1 has its characters, else in a font of two bytes with a map to Unicode.
 
-    Pages for which ``scanned`` (doc_id, page from 1) holds show an image instead. Titles are in UTF-16 in every second file, else escaped.
+    Pages for which ``scanned`` (doc_id, page from 1) holds show an image instead; those for which ``nested`` holds call a form that calls another, turned, with the line. Titles are in UTF-16 in every second file, else escaped.
     """
     rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     n = F.size("ls")
@@ -76,12 +76,28 @@ def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], C
         text = shown(z["ls"])
         return text if scanned is None else F.when(scanned(F.col("doc_id"), z["i"]), F.lit("q 400 0 0 200 0 0 cm /I1 Do Q")).otherwise(text)
 
+    def forms(z: Column) -> tuple[Column, Column]:
+        """What a page's resources name and the objects behind it: the outer form has resources, the inner one uses them."""
+        if nested is None:
+            return F.lit(""), F.lit("")
+        is_nested, first = nested(F.col("doc_id"), z["i"]), n * 2 + 8 + z["i"] * 2
+        outer, inner = first.cast("string"), (first + 1).cast("string")
+        made = F.concat(
+            outer, F.lit(" 0 obj << /Type /XObject /Subtype /Form /Matrix [1 0 0 1 5 7] /Resources << /XObject << /X2 "), inner,
+            F.lit(" 0 R >> /Font << /F1 3 0 R /F2 4 0 R >> >> >> stream\nq .5 0 0 .5 3 4 cm /X2 Do Q\nendstream endobj\n"), inner,
+            F.lit(" 0 obj << /Type /XObject /Subtype /Form /Matrix [0 1 -1 0 0 0] >> stream\nBT "), shown(z["ls"]), F.lit(" ET\nendstream endobj\n"),
+        )
+        return F.when(is_nested, F.concat(F.lit(" /XObject << /X1 "), outer, F.lit(" 0 R >>"))).otherwise(""), F.when(is_nested, made).otherwise("")
+
+    def content(z: Column) -> Column:
+        return drawn(z) if nested is None else F.when(nested(F.col("doc_id"), z["i"]), F.lit("ET q 2 0 0 2 10 20 cm /X1 Do Q BT")).otherwise(drawn(z))
+
     page = F.array_join(
         F.transform(
             F.arrays_zip("ls", F.sequence(F.lit(1), n).alias("i")),
             lambda z: F.concat(
-                (z["i"] * 2 + 5).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents "), (z["i"] * 2 + 6).cast("string"),
-                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 6).cast("string"), F.lit(" 0 obj << >> stream\nBT "), drawn(z), F.lit(" ET\nendstream endobj\n"),
+                (z["i"] * 2 + 5).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R /F2 4 0 R >>"), forms(z)[0], F.lit(" >> /Contents "), (z["i"] * 2 + 6).cast("string"),
+                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 6).cast("string"), F.lit(" 0 obj << >> stream\nBT "), content(z), F.lit(" ET\nendstream endobj\n"), forms(z)[1],
             ),
         ),
         "",
@@ -103,6 +119,23 @@ def pdf_runs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("book", F.col("unit").cast("int"), "text", "x", "y", "size", "width", "codes", "unmapped")
 
 
+def _nested(doc_id: Column, page: Column) -> Column:
+    return (doc_id + page) % 3 == 0
+
+
+def pdf_form_runs(spark: SparkSession, d: str) -> DataFrame:
+    """pdf_runs where every third page has its line in a form inside a form: half the size and turned, then twice the size, moved at each step."""
+    rows = pdf.runs(pdf_files(spark, d, nested=_nested))
+    return rows.select("book", F.col("unit").cast("int"), "seq", "text", "x", "y", "size", "width", "dx", "dy", "codes", "unmapped")
+
+
+def pdf_form_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The same files: which forms each page calls, how deep, and what text they show."""
+    objs = pdf.objects(pdf_files(spark, d, nested=_nested))
+    paged = pdf.pages(objs)
+    return pdf_forms.called(objs, paged, pdf_forms.forms(objs)).select("book", F.col("unit").cast("int"), "num", "depth", "n", "ops")
+
+
 def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     books = pdf_files(spark, d)
     objs = pdf.objects(books)
@@ -117,7 +150,7 @@ def pdf_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return reflow.reflow(found, "book", "unit").select("book", F.col("unit").cast("int"), "para", "text", F.col("n_lines").cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (spine_order, epub_titles, epub_paragraphs, epub_unit_plan, codec_roundtrip, pdf_runs, pdf_pages, pdf_paragraphs)}
+QUERIES = {f.__name__: f for f in (spine_order, epub_titles, epub_paragraphs, epub_unit_plan, codec_roundtrip, pdf_runs, pdf_form_runs, pdf_form_calls, pdf_pages, pdf_paragraphs)}
 _LS = "(SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i)"
 # Characters beyond two bytes are two codes that the map doesn't know.
 _PDF_LINES = f"""(SELECT doc_id, i, regexp_replace(ls[i], '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g') AS t, length(ls[i]) AS n FROM {_LS})"""
@@ -130,6 +163,11 @@ JOIN (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER B
     "codec_roundtrip": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'FlateDecode' WHEN 1 THEN 'ASCIIHexDecode' WHEN 2 THEN 'ASCII85Decode' ELSE 'RunLengthDecode' END AS name, 'OK' AS status, text FROM documents""",
     "pdf_runs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, t AS text, 20.0::DOUBLE AS x, 100.0::DOUBLE AS y, 10.0::DOUBLE AS size, (2 * n - length(t)) * 5.0::DOUBLE AS width,
        CAST(2 * n - length(t) AS INTEGER) AS codes, CAST(2 * (n - length(t)) AS INTEGER) AS unmapped FROM {_PDF_LINES} WHERE t <> ''""",
+    "pdf_form_runs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, 0 AS seq, t AS text, CASE WHEN f THEN -74.0::DOUBLE ELSE 20.0::DOUBLE END AS x, CASE WHEN f THEN 62.0::DOUBLE ELSE 100.0::DOUBLE END AS y,
+       10.0::DOUBLE AS size, w AS width, CASE WHEN f THEN 0.0::DOUBLE ELSE w END AS dx, CASE WHEN f THEN w ELSE 0.0::DOUBLE END AS dy, CAST(2 * n - length(t) AS INTEGER) AS codes, CAST(2 * (n - length(t)) AS INTEGER) AS unmapped
+FROM (SELECT *, (doc_id + i) % 3 = 0 AS f, (2 * n - length(t)) * 5.0::DOUBLE AS w FROM {_PDF_LINES}) WHERE t <> ''""",
+    "pdf_form_calls": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, CAST(len(ls) * 2 + 8 + i * 2 + depth AS INTEGER) AS num, depth, 1::BIGINT AS n, CAST(depth AS BIGINT) AS ops
+FROM {_LS}, (VALUES (0), (1)) AS v(depth) WHERE (doc_id + i) % 3 = 0""",
     "pdf_pages": f"SELECT doc_id AS book, count(*) AS pages, count(*) AS text_ops, '1.4' AS version FROM {_LS} GROUP BY doc_id",
     "pdf_paragraphs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, 0 AS para, p AS text, 1 AS n_lines
 FROM (SELECT doc_id, i, trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM {_PDF_LINES}) WHERE p <> ''""",

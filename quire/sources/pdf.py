@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..functions.chars import metadata_text
 from ..functions.tables import written
+from . import pdf_forms
 
 OBJECT = "(?s)(?<![0-9])([0-9]{1,7})[ \\t\\r\\n]+([0-9]{1,5})[ \\t\\r\\n]+obj\\b(.*?)endobj"
 STREAM = "(?s)stream(?:\\r\\n|\\n|\\r)(.*?)(?:\\r\\n|\\n|\\r)?endstream"
 #: Levels of a page tree that are followed.
 DEEPEST = 64
-RUNS = "array<struct<text:string,x:double,y:double,size:double,width:double,dx:double,dy:double,codes:int,unmapped:int>>"
+#: Runs, and calls of XObjects with the state they begin in (STATE), numbered together in the order of the stream; ux, uy: where one unit upwards leads.
+SHOWN = (
+    "struct<runs:array<struct<at:int,text:string,x:double,y:double,fs:double,ux:double,uy:double,dx:double,dy:double,codes:int,unmapped:int>>,"
+    "calls:array<struct<at:int,name:string,m:array<double>,state:array<double>>>>"
+)
+#: Font size, spacing of characters and of words, scale, leading and rise: what a form takes over from its caller besides the matrix.
+STATE = {"fs": 0.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "ts": 0.0}
 
 
 def version(content: Column) -> Column:
@@ -134,23 +141,27 @@ def text_operators(content: Column) -> Column:
     return F.regexp_count(bare, F.lit("(?:\\)|\\]|[ \\t\\r\\n])[ \\t\\r\\n]*(?:Tj|TJ|'|\")(?![A-Za-z0-9])"))
 
 
-def fonts(objs: DataFrame, paged: DataFrame) -> DataFrame:
-    """Rows (book, unit, fonts): by name what each font of a page is: its own text, its descendant's, its encoding's and its map to Unicode."""
-    body = paged.select("book", "unit", "body", _ref(F.col("body"), "Resources").alias("r")).join(objs.select("book", F.col("num").alias("r"), F.col("body").alias("rb")), ["book", "r"], "left")
-    body = body.select("book", "unit", F.concat_ws(" ", "body", "rb").alias("body"))
-    body = body.withColumn("f", _ref(F.col("body"), "Font")).join(objs.select("book", F.col("num").alias("f"), F.col("body").alias("fb")), ["book", "f"], "left")
-    listed = F.concat_ws(" ", F.regexp_extract("body", "(?s)/Font[ \\t\\r\\n]*<<(.*?)>>", 1), "fb")
+def named(objs: DataFrame, holders: DataFrame, key: str, kind: str) -> DataFrame:
+    """Rows (book, key, name, num): what the resources of ``holders`` (book, key, body) name, of one kind: Font or XObject."""
+    body = holders.select("book", key, "body", _ref(F.col("body"), "Resources").alias("r")).join(objs.select("book", F.col("num").alias("r"), F.col("body").alias("rb")), ["book", "r"], "left")
+    body = body.select("book", key, F.concat_ws(" ", "body", "rb").alias("body"))
+    body = body.withColumn("f", _ref(F.col("body"), kind)).join(objs.select("book", F.col("num").alias("f"), F.col("body").alias("fb")), ["book", "f"], "left")
+    listed = F.concat_ws(" ", F.regexp_extract("body", f"(?s)/{kind}[ \\t\\r\\n]*<<(.*?)>>", 1), "fb")
     names = F.arrays_zip(
         F.regexp_extract_all(listed, F.lit("/([^ /<>\\t\\r\\n]+)[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1)).alias("name"),
         F.regexp_extract_all(listed, F.lit("/[^ /<>\\t\\r\\n]+[ \\t\\r\\n]+([0-9]+)[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1)).alias("num"),
     )
-    rows = body.select("book", "unit", F.explode(names).alias("n")).select("book", "unit", F.col("n.name").alias("name"), F.col("n.num").cast("int").alias("num"))
-    rows = rows.join(objs.select("book", "num", F.col("body").alias("font")), ["book", "num"])
-    for name, key in (("descendant", _value(F.col("font"), "DescendantFonts", "\\[[ \\t\\r\\n]*([0-9]+)").cast("int")), ("encoding", _ref(F.col("font"), "Encoding")), ("unicode", _ref(F.col("font"), "ToUnicode"))):
+    return body.select("book", key, F.explode(names).alias("n")).select("book", key, F.col("n.name").alias("name"), F.col("n.num").cast("int").alias("num"))
+
+
+def fonts(objs: DataFrame, holders: DataFrame, key: str = "unit") -> DataFrame:
+    """Rows (book, key, fonts): by name what each font of a page, or of another holder, is: its own text, its descendant's, its encoding's and its map to Unicode."""
+    rows = named(objs, holders, key, "Font").join(objs.select("book", "num", F.col("body").alias("font")), ["book", "num"])
+    for name, ref in (("descendant", _value(F.col("font"), "DescendantFonts", "\\[[ \\t\\r\\n]*([0-9]+)").cast("int")), ("encoding", _ref(F.col("font"), "Encoding")), ("unicode", _ref(F.col("font"), "ToUnicode"))):
         text = F.coalesce(F.decode("data", "ISO-8859-1"), F.col("body"))
-        rows = rows.withColumn("k", key).join(objs.select("book", F.col("num").alias("k"), text.alias(name)), ["book", "k"], "left").drop("k")
+        rows = rows.withColumn("k", ref).join(objs.select("book", F.col("num").alias("k"), text.alias(name)), ["book", "k"], "left").drop("k")
     own = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "font", "descendant", "encoding", "unicode")])
-    return rows.groupBy("book", "unit").agg(F.collect_list(own).alias("fonts"))
+    return rows.groupBy("book", key).agg(F.collect_list(own).alias("fonts"))
 
 
 _ESCAPED = "(?s)\\\\(?:[0-7]{1,3}|\r\n|.)|[^\\\\]+"
@@ -250,13 +261,17 @@ def trailers(revs: DataFrame) -> DataFrame:
 
 
 def _counted(objs: DataFrame, paged: DataFrame) -> DataFrame:
-    """Rows (book, unit, streams, ok, images, bytes, ops): what a page's streams hold; pages without any have 0 of all."""
+    """Rows (book, unit, streams, ok, images, bytes, ops): what a page's streams hold; pages without any have 0 of all. ops counts those of forms, each time they are called."""
     state, ok = F.col("status"), F.col("status") == "OK"
     found = _streams(objs, paged).groupBy("book", "unit").agg(
         F.count("*").alias("streams"), F.count_if(ok).alias("ok"), F.count_if(state == codecs.IMAGE).alias("images"), F.sum(F.when(ok, F.octet_length("data"))).alias("bytes"),
         F.sum(F.when(ok, text_operators(F.decode("data", "ISO-8859-1")))).alias("ops"),
     )
     rows = paged.select("book", "unit").join(found, ["book", "unit"], "left")
+    own = pdf_forms.forms(objs)
+    if not own.isEmpty():
+        called = pdf_forms.called(objs, paged, own).groupBy("book", "unit").agg(F.sum("ops").alias("more"))
+        rows = rows.join(called, ["book", "unit"], "left").withColumn("ops", F.coalesce("ops", F.lit(0)) + F.coalesce("more", F.lit(0)))
     return rows.select("book", "unit", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("streams", "ok", "images", "bytes", "ops")])
 
 
@@ -400,16 +415,17 @@ def _times(a: tuple, b: tuple) -> tuple:
 _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def interpret(content: str, listed: list) -> list[dict]:
-    """Text runs of one page's content; text without a known font is passed over."""
+def interpret(content: str, listed: list, begun: list[float] | None = None) -> dict:
+    """Text runs and calls of one stream of a page or form; text without a known font is passed over."""
     known = {f["name"]: f for f in listed}
     loaded: dict[str, Font] = {}
-    state = {"ctm": _ONE, "font": None, "fs": 0.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "ts": 0.0}
+    state = {"ctm": _ONE, "font": None, **(STATE if begun is None else dict(zip(STATE, begun)))}
     stack: list[dict] = []
     tm = line = _ONE
     args: list = []
     array: list | None = None
     runs: list[dict] = []
+    calls: list[dict] = []
 
     def show(data: bytes) -> None:
         nonlocal tm
@@ -430,8 +446,8 @@ def interpret(content: str, listed: list) -> list[dict]:
         end = _times(size, _times(tm, state["ctm"]))
         dx, dy = end[4] - begin[4], end[5] - begin[5]
         if any(text):
-            scale = math.hypot(m[2], m[3]) or 1.0
-            runs.append({"text": "".join(text), "x": begin[4], "y": begin[5], "size": state["fs"] * scale, "width": math.hypot(dx, dy), "dx": dx, "dy": dy, "codes": len(codes), "unmapped": unmapped})
+            at = len(runs) + len(calls)
+            runs.append({"at": at, "text": "".join(text), "x": begin[4], "y": begin[5], "fs": state["fs"], "ux": m[2], "uy": m[3], "dx": dx, "dy": dy, "codes": len(codes), "unmapped": unmapped})
 
     def advance(x: float, y: float) -> None:
         nonlocal tm, line
@@ -488,6 +504,8 @@ def interpret(content: str, listed: list) -> list[dict]:
                     state["tw"], state["tc"] = nums[-2], nums[-1]
                 advance(0.0, -state["tl"])
                 show(strings[-1])
+            elif token == "Do" and args and isinstance(args[-1], str):
+                calls.append({"at": len(runs) + len(calls), "name": args[-1], "m": list(state["ctm"]), "state": [state[k] for k in STATE]})
             elif token == "TJ" and args and isinstance(args[-1], list):
                 for item in args[-1]:
                     if isinstance(item, bytes):
@@ -495,12 +513,21 @@ def interpret(content: str, listed: list) -> list[dict]:
                     else:
                         tm = _times((1.0, 0.0, 0.0, 1.0, -item / 1000 * state["fs"] * state["th"], 0.0), tm)
             args = []
-    return runs
+    return {"runs": runs, "calls": calls}
+
+
+def _interpret(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for content, listed, *more in batches:
+        begun = more[0] if more else [None] * len(content)
+        yield pd.DataFrame([interpret(c or "", list(f) if f is not None else [], b) for c, f, b in zip(content, listed, begun)], columns=["runs", "calls"])
 
 
-def _interpret(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for content, listed in batches:
-        yield pd.Series([interpret(c or "", list(f) if f is not None else []) for c, f in zip(content, listed)])
+def placed(run: Column) -> list[Column]:
+    """A run's columns as its page has them, its fields being those of SHOWN after all matrices."""
+    scale = F.hypot(run["ux"], run["uy"])
+    size = run["fs"] * F.when(scale == 0, 1.0).otherwise(scale)
+    plain = lambda *names: [run[n].alias(n) for n in names]
+    return [*plain("text", "x", "y"), size.alias("size"), F.hypot(run["dx"], run["dy"]).alias("width"), *plain("dx", "dy", "codes", "unmapped")]
 
 
 def runs(books: DataFrame) -> DataFrame:
@@ -510,8 +537,13 @@ def runs(books: DataFrame) -> DataFrame:
     box = F.transform(F.regexp_extract_all(F.regexp_extract("body", "(?s)/MediaBox[ \\t\\r\\n]*\\[([^\\]]*)\\]", 1), F.lit("-?[0-9.]+"), F.lit(0)), lambda x: x.cast("double"))
     whole = F.when(F.size(box) == 4, box).otherwise(F.array(*[F.lit(x) for x in (0.0, 0.0, 612.0, 792.0)]))
     sized = paged.select("book", "unit", whole.alias("b"), F.coalesce(_value(F.col("body"), "Rotate", "(-?[0-9]+)").cast("int"), F.lit(0)).alias("rotate"))
-    rows = contents(objs, paged).join(fonts(objs, paged), ["book", "unit"], "left").join(sized, ["book", "unit"])
-    made = rows.withColumn("rs", F.pandas_udf(_interpret, RUNS)("content", "fonts"))
+    rows = contents(objs, paged).join(fonts(objs, paged), ["book", "unit"], "left")
+    shown = rows.select("book", "unit", F.pandas_udf(_interpret, SHOWN)("content", "fonts").alias("s"))
+    own = pdf_forms.forms(objs)
+    if own.isEmpty():
+        made = shown.select("book", "unit", F.posexplode("s.runs").alias("seq", "r")).select("book", "unit", "seq", *placed(F.col("r")))
+    else:
+        made = pdf_forms.runs(objs, paged, own, shown)
     corner = [F.least(F.col("b")[i], F.col("b")[i + 2]).alias(f"mb_{c}0") for i, c in ((0, "x"), (1, "y"))]
     far = [F.greatest(F.col("b")[i], F.col("b")[i + 2]).alias(f"mb_{c}1") for i, c in ((0, "x"), (1, "y"))]
-    return made.select("book", "unit", F.posexplode("rs").alias("seq", "r"), *corner, *far, "rotate").select("book", "unit", "seq", "r.*", "mb_x0", "mb_y0", "mb_x1", "mb_y1", "rotate")
+    return made.join(sized, ["book", "unit"]).select(*made.columns, *corner, *far, "rotate")
