@@ -58,10 +58,11 @@ MAP = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <000
 LATIN = r"[^\x00-\xFF]"
 
 
-def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], Column] | None = None, nested: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], Column] | None = None, nested: Callable[[Column, Column], Column] | None = None, chained: bool = False) -> DataFrame:
     """Documents as PDF files of a page for each line, whole: as an escaped string if Latin-1 has its characters, else in a font of two bytes with a map to Unicode.
 
-    Pages for which ``scanned`` (doc_id, page from 1) holds show an image instead; those for which ``nested`` holds call a form that calls another, turned, with the line. Titles are in UTF-16 in every second file, else escaped.
+    Pages for which ``scanned`` (doc_id, page from 1) holds show an image instead; those for which ``nested`` holds call a form that calls another, turned, with the line.
+    If ``chained``, contents are in hexadecimal, and they, their filter and their length stand behind one to five references. Titles are in UTF-16 in every second file, else escaped.
     """
     rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     n = F.size("ls")
@@ -92,12 +93,25 @@ def pdf_files(spark: SparkSession, d: str, scanned: Callable[[Column, Column], C
     def content(z: Column) -> Column:
         return drawn(z) if nested is None else F.when(nested(F.col("doc_id"), z["i"]), F.lit("ET q 2 0 0 2 10 20 cm /X1 Do Q BT")).otherwise(drawn(z))
 
+    def stream(z: Column) -> tuple[Column, Column]:
+        """What a page says of its contents, and their objects."""
+        num, whole = (z["i"] * 2 + 6).cast("string"), F.concat(F.lit("BT "), content(z), F.lit(" ET"))
+        if not chained:
+            return num, F.concat(num, F.lit(" 0 obj << >> stream\n"), whole, F.lit("\nendstream endobj\n"))
+        last, far = (F.col("doc_id") + z["i"]) % 5 + 1, F.lpad(num, 6, "0")  # numbers of seven digits are no page's
+        digits = F.concat(F.hex(F.encode(whole, "ISO-8859-1")), F.lit(">"))
+        behind = F.transform(F.sequence(F.lit(1), last.cast("int")), lambda k: F.concat((10 - k).cast("string"), far, F.lit(" 0 obj "), F.when(k == last, num).otherwise(F.concat((9 - k).cast("string"), far)), F.lit(" 0 R endobj\n")))
+        return F.concat(F.lit("9"), far), F.concat(
+            F.array_join(behind, ""), num, F.lit(" 0 obj << /Filter 4"), far, F.lit(" 0 R /Length 3"), far, F.lit(" 0 R >> stream\n"), digits, F.lit("\nendstream endobj\n4"), far,
+            F.lit(" 0 obj [/ASCIIHexDecode] endobj\n3"), far, F.lit(" 0 obj 2"), far, F.lit(" 0 R endobj\n2"), far, F.lit(" 0 obj "), F.length(digits).cast("string"), F.lit(" endobj\n"),
+        )
+
     page = F.array_join(
         F.transform(
             F.arrays_zip("ls", F.sequence(F.lit(1), n).alias("i")),
             lambda z: F.concat(
-                (z["i"] * 2 + 5).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R /F2 4 0 R >>"), forms(z)[0], F.lit(" >> /Contents "), (z["i"] * 2 + 6).cast("string"),
-                F.lit(" 0 R >> endobj\n"), (z["i"] * 2 + 6).cast("string"), F.lit(" 0 obj << >> stream\nBT "), content(z), F.lit(" ET\nendstream endobj\n"), forms(z)[1],
+                (z["i"] * 2 + 5).cast("string"), F.lit(" 0 obj << /Type /Page /MediaBox [0 0 400 200] /Resources << /Font << /F1 3 0 R /F2 4 0 R >>"), forms(z)[0], F.lit(" >> /Contents "), stream(z)[0],
+                F.lit(" 0 R >> endobj\n"), stream(z)[1], forms(z)[1],
             ),
         ),
         "",
@@ -129,6 +143,12 @@ def pdf_form_runs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("book", F.col("unit").cast("int"), "seq", "text", "x", "y", "size", "width", "dx", "dy", "codes", "unmapped")
 
 
+def pdf_chained_runs(spark: SparkSession, d: str) -> DataFrame:
+    """pdf_runs where contents, filters and lengths are behind chains of references."""
+    rows = pdf.runs(pdf_files(spark, d, chained=True))
+    return rows.select("book", F.col("unit").cast("int"), "text", "x", "y", "size", "width", "codes", "unmapped")
+
+
 def pdf_form_calls(spark: SparkSession, d: str) -> DataFrame:
     """The same files: which forms each page calls, how deep, and what text they show."""
     objs = pdf.objects(pdf_files(spark, d, nested=_nested))
@@ -150,10 +170,12 @@ def pdf_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return reflow.reflow(found, "book", "unit").select("book", F.col("unit").cast("int"), "para", "text", F.col("n_lines").cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (spine_order, epub_titles, epub_paragraphs, epub_unit_plan, codec_roundtrip, pdf_runs, pdf_form_runs, pdf_form_calls, pdf_pages, pdf_paragraphs)}
+QUERIES = {f.__name__: f for f in (spine_order, epub_titles, epub_paragraphs, epub_unit_plan, codec_roundtrip, pdf_runs, pdf_form_runs, pdf_chained_runs, pdf_form_calls, pdf_pages, pdf_paragraphs)}
 _LS = "(SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i)"
 # Characters beyond two bytes are two codes that the map doesn't know.
 _PDF_LINES = f"""(SELECT doc_id, i, regexp_replace(ls[i], '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g') AS t, length(ls[i]) AS n FROM {_LS})"""
+_PDF_RUNS = f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, t AS text, 20.0::DOUBLE AS x, 100.0::DOUBLE AS y, 10.0::DOUBLE AS size, (2 * n - length(t)) * 5.0::DOUBLE AS width,
+       CAST(2 * n - length(t) AS INTEGER) AS codes, CAST(2 * (n - length(t)) AS INTEGER) AS unmapped FROM {_PDF_LINES} WHERE t <> ''"""
 ORACLE = {
     "spine_order": """SELECT page_id // 10 AS book, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id DESC) - 1 AS INTEGER) AS chapter, 'OEBPS/text/c' || page_id || '.xhtml' AS name,
        CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages""",
@@ -161,14 +183,14 @@ ORACLE = {
     "epub_paragraphs": f"""SELECT p.page_id // 10 AS book, chapter, para, text, heading FROM ({PARAS_SQL}) p
 JOIN (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id DESC) - 1 AS INTEGER) AS chapter FROM pages) c USING (page_id)""",
     "codec_roundtrip": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'FlateDecode' WHEN 1 THEN 'ASCIIHexDecode' WHEN 2 THEN 'ASCII85Decode' ELSE 'RunLengthDecode' END AS name, 'OK' AS status, text FROM documents""",
-    "pdf_runs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, t AS text, 20.0::DOUBLE AS x, 100.0::DOUBLE AS y, 10.0::DOUBLE AS size, (2 * n - length(t)) * 5.0::DOUBLE AS width,
-       CAST(2 * n - length(t) AS INTEGER) AS codes, CAST(2 * (n - length(t)) AS INTEGER) AS unmapped FROM {_PDF_LINES} WHERE t <> ''""",
+    "pdf_runs": _PDF_RUNS,
     "pdf_form_runs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, 0 AS seq, t AS text, CASE WHEN f THEN -74.0::DOUBLE ELSE 20.0::DOUBLE END AS x, CASE WHEN f THEN 62.0::DOUBLE ELSE 100.0::DOUBLE END AS y,
        10.0::DOUBLE AS size, w AS width, CASE WHEN f THEN 0.0::DOUBLE ELSE w END AS dx, CASE WHEN f THEN w ELSE 0.0::DOUBLE END AS dy, CAST(2 * n - length(t) AS INTEGER) AS codes, CAST(2 * (n - length(t)) AS INTEGER) AS unmapped
 FROM (SELECT *, (doc_id + i) % 3 = 0 AS f, (2 * n - length(t)) * 5.0::DOUBLE AS w FROM {_PDF_LINES}) WHERE t <> ''""",
     "pdf_form_calls": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, CAST(len(ls) * 2 + 8 + i * 2 + depth AS INTEGER) AS num, depth, 1::BIGINT AS n, CAST(depth AS BIGINT) AS ops
 FROM {_LS}, (VALUES (0), (1)) AS v(depth) WHERE (doc_id + i) % 3 = 0""",
     "pdf_pages": f"SELECT doc_id AS book, count(*) AS pages, count(*) AS text_ops, '1.4' AS version FROM {_LS} GROUP BY doc_id",
+    "pdf_chained_runs": _PDF_RUNS,
     "pdf_paragraphs": f"""SELECT doc_id AS book, CAST(i - 1 AS INTEGER) AS unit, 0 AS para, p AS text, 1 AS n_lines
 FROM (SELECT doc_id, i, trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM {_PDF_LINES}) WHERE p <> ''""",
 }

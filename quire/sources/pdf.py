@@ -60,25 +60,110 @@ def _parms(head: Column) -> Column:
     return F.transform(each, lambda p: F.struct(*[number(p, k, d) for k, d in codecs.PARAMETERS.items()]))
 
 
+LINK = "^[ \\t\\r\\n]*([0-9]{1,7})[ \\t\\r\\n]+[0-9]{1,5}[ \\t\\r\\n]+R[ \\t\\r\\n]*$"
+#: References that are followed from a dictionary to a value.
+MOST_HOPS = 32
+
+
+def links(objs: DataFrame) -> DataFrame:
+    """Rows (book, num, to) of objects (book, num, body) that are nothing but a reference: the number at the end of the chain, null for one that is too long or a circle.
+
+    Each round joins the chains with themselves and doubles their reach, so that five rounds reach MOST_HOPS.
+    """
+    one = objs.select("book", "num", F.nullif(F.regexp_extract("body", LINK, 1), F.lit("")).cast("int").alias("to")).where("to is not null")
+    now = written(one.withColumn("hops", F.lit(1)), "pdf_links")
+    if now.isEmpty():
+        return now.drop("hops")
+    for _ in range(MOST_HOPS.bit_length() - 1):
+        further = now.select("book", F.col("num").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        joined = now.join(further, ["book", "to"], "left")
+        if joined.where("next is not null").isEmpty():
+            break
+        now = written(joined.select("book", "num", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "pdf_links")
+    # The dictionary's own reference is a hop as well; an end that is itself a reference lies beyond the most.
+    ends = now.join(one.select("book", F.col("num").alias("to"), F.lit(True).alias("on")), ["book", "to"], "left")
+    return ends.select("book", "num", F.when(F.col("on").isNull() & (F.col("hops") < MOST_HOPS), F.col("to")).alias("to"))
+
+
+def _followed(objs: DataFrame) -> DataFrame:
+    """``objs`` with every reference object replaced by what it leads to, under its own number; pages, which are counted, stay where they are."""
+    found = links(objs)
+    if found.isEmpty():
+        return objs
+    counted = F.col("body").rlike("/Type[ \\t\\r\\n]*/(?:Pages?|Catalog)\\b")
+    rest = [c for c in objs.columns if c not in ("book", "num")]
+    ends = found.where("to is not null").join(objs.withColumnRenamed("num", "to").where(~counted), ["book", "to"]).select("book", "num", *rest)
+    return written(objs.join(ends, ["book", "num"], "left_anti").unionByName(ends), "pdf_followed")
+
+
+def _array(rows: DataFrame, objs: DataFrame, key: str) -> DataFrame:
+    """``rows`` (book, body and others) and ``listed``: what stands in the brackets of an array in the dictionary, or in those of the object that it names; null if there is none."""
+    inline = F.regexp_extract("body", f"(?s)/{key}[ \\t\\r\\n]*(\\[[^\\]]*\\])", 1)
+    named = objs.where("data is null").select("book", F.col("num").alias("at"), F.nullif(F.regexp_extract("body", "(?s)^[ \\t\\r\\n]*(\\[[^\\]]*\\])", 1), F.lit("")).alias("there")).where("there is not null")
+    rows = rows.withColumns({"inline": F.nullif(inline, F.lit("")), "at": _ref(F.col("body"), key)}).join(named, ["book", "at"], "left")
+    return rows.withColumn("listed", F.coalesce("inline", "there")).drop("inline", "there", "at")
+
+
 def objects(books: DataFrame) -> DataFrame:
-    """Rows (book, num, body, data, status) of books (book, content): the last object of each number, its stream decoded. A written table."""
+    """Rows (book, num, body, data, status) of books (book, content): the last object of each number, its stream decoded. A written table.
+
+    Filter, DecodeParms and Length may stand behind references. A stream has the Length that is said if endstream follows there, so that it may hold
+    that word itself; else the first endstream ends it. Objects that are only references are what they lead to.
+    """
     text = F.decode("content", "ISO-8859-1")
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(OBJECT), F.lit(1)).alias("num"), F.regexp_extract_all(text, F.lit(OBJECT), F.lit(3)).alias("body"))
     rows = books.select("book", F.posexplode(parts).alias("pos", "o")).select("book", F.col("o.num").cast("int").alias("num"), "pos", F.col("o.body").alias("body"))
     rows = rows.groupBy("book", "num").agg(F.max_by("body", "pos").alias("body"))
-    raw = F.regexp_extract("body", STREAM, 1)
-    head = F.regexp_replace("body", "(?s)stream[\\r\\n].*", "")
-    filters = F.regexp_extract_all(F.regexp_extract(head, "(?s)/Filter[ \\t\\r\\n]*(\\[[^\\]]*\\]|/[A-Za-z0-9]+)", 1), F.lit("/([A-Za-z0-9]+)"), F.lit(1))
     has = F.col("body").rlike("(?s)stream[\\r\\n].*endstream")
-    rows = rows.select("book", "num", head.alias("body"), F.when(has, F.encode(raw, "ISO-8859-1")).alias("raw"), filters.alias("filters"), _parms(head).alias("parms"))
-    plain = rows.withColumn("d", codecs.decoded(F.col("raw"), F.col("filters"), F.col("parms"))).select(
-        "book", "num", "body", F.when(F.col("raw").isNotNull(), F.col("d.data")).alias("data"), F.when(F.col("raw").isNotNull(), F.col("d.status")).alias("status")
-    )
-    plain = written(plain, "pdf_objects")
+    head = F.regexp_replace("body", "(?s)stream[\\r\\n].*", "")
+    rows = written(rows.select("book", "num", head.alias("body"), F.when(has, F.encode(F.regexp_extract("body", STREAM, 1), "ISO-8859-1")).alias("raw")), "pdf_parts")
+    streams = _described(rows, _followed(rows.where("raw is null").select("book", "num", "body")))
+    streams = _measured(streams, books)
+    filters = F.regexp_extract_all("filter", F.lit("/([A-Za-z0-9]+)"), F.lit(1))
+    decoded = streams.withColumn("d", codecs.decoded(F.col("raw"), filters, _parms(F.col("parms")))).select("book", "num", "body", F.col("d.data").alias("data"), F.col("d.status").alias("status"))
+    nothing = [F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("status")]
+    plain = written(decoded.unionByName(rows.where("raw is null").select("book", "num", "body", *nothing)), "pdf_objects")
     packed = plain.where(F.col("body").rlike("/Type[ ]*/ObjStm"))
-    if packed.isEmpty():
-        return plain
-    return written(plain.unionByName(_unpacked(packed).join(plain.select("book", "num"), ["book", "num"], "left_anti")), "pdf_objects")
+    if not packed.isEmpty():
+        plain = written(plain.unionByName(_unpacked(packed).join(plain.select("book", "num"), ["book", "num"], "left_anti")), "pdf_objects")
+    return _followed(plain)
+
+
+def _described(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """The streams among ``rows`` (book, num, body, raw) with filter, parms (as they would stand in the dictionary) and length, each from there or from the object of ``small`` that it names."""
+    keys = {"filter": "Filter", "parms": "(?:DecodeParms|DP)", "length": "Length"}
+    direct = {
+        "filter": F.regexp_extract("body", "(?s)/Filter[ \\t\\r\\n]*(\\[[^\\]]*\\]|/[A-Za-z0-9]+)", 1), "parms": F.col("body"),
+        "length": F.regexp_extract("body", "(?s)/Length[ \\t\\r\\n]+([0-9]{1,9})(?![0-9])(?![ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R)", 1),
+    }
+    streams = rows.where("raw is not null")
+    refs = {name: _ref(F.col("body"), key) for name, key in keys.items()}
+    held = streams.select("book", "num", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.alias("at")) for n, r in refs.items()])).alias("r")).select("book", "num", "r.*").where("at is not null")
+    held = held.join(small.select("book", F.col("num").alias("at"), F.col("body").alias("there")), ["book", "at"])
+    # A row for each stream that refers to anything: its three values side by side.
+    wide = held.groupBy("book", "num").agg(*[F.max(F.when(F.col("name") == n, F.col("there"))).alias(f"{n}_there") for n in keys])
+    given = {
+        "filter": F.coalesce("filter_there", direct["filter"]), "parms": F.coalesce(F.concat(F.lit("/DecodeParms "), F.col("parms_there")), direct["parms"]),
+        "length": F.coalesce("length_there", direct["length"]),
+    }
+    found = streams.join(wide, ["book", "num"], "left").select("book", "num", "body", "raw", *[c.alias(n) for n, c in given.items()])
+    return found.withColumn("length", F.nullif(F.trim("length"), F.lit("")).try_cast("int"))
+
+
+def _measured(streams: DataFrame, books: DataFrame) -> DataFrame:
+    """``streams`` with raw as long as length says, where endstream follows in the file; the few that are longer than up to their first endstream are cut from it again."""
+    shorter = (F.col("length") < F.octet_length("raw")) & F.decode(F.substring("raw", F.col("length") + 1, F.octet_length("raw")), "ISO-8859-1").rlike("^[ \\t\\r\\n]*\\z")
+    streams = streams.withColumn("raw", F.when(shorter, F.substring("raw", F.lit(1), F.col("length"))).otherwise(F.col("raw")))
+    longer = streams.where(F.col("length") > F.octet_length("raw") + 2).select("book", "num", "body", "length")
+    text = F.decode("content", "ISO-8859-1")
+    rows = longer.join(books.select("book", text.alias("t")), "book")
+    # The text of the dictionary, as it stands in the file after the last mark of its number.
+    mark = F.concat(F.lit("(?s)^.*(?<![0-9])"), F.col("num").cast("string"), F.lit("[ \\t\\r\\n]+[0-9]{1,5}[ \\t\\r\\n]+obj\\b"))
+    before = F.length(F.call_function("regexp_extract", F.col("t"), mark, F.lit(0))) + F.length("body")
+    start = before + F.length(F.regexp_extract(F.substring("t", before + 1, F.lit(8)), "^stream(?:\\r\\n|\\n|\\r)", 0))
+    ends = F.substring("t", start + F.col("length") + 1, F.lit(16)).rlike("^[ \\t\\r\\n]*endstream")
+    whole = rows.where(ends).select("book", "num", F.encode(F.substring("t", start + 1, F.col("length")), "ISO-8859-1").alias("whole"))
+    return streams.join(whole, ["book", "num"], "left").withColumn("raw", F.coalesce("whole", "raw")).drop("whole")
 
 
 def _unpacked(packed: DataFrame) -> DataFrame:
@@ -104,7 +189,10 @@ def pages(objs: DataFrame) -> DataFrame:
     """Rows (book, unit, num, body) in the order of the page tree, from 0; pages that the tree doesn't reach come after, by number."""
     kind = F.regexp_extract("body", "/Type[ \\t\\r\\n]*/(Pages?)\\b", 1)
     nodes = objs.where(kind != "").select("book", "num", "body", kind.alias("kind"))
-    kids = nodes.where("kind = 'Pages'").select("book", F.col("num").alias("up"), F.posexplode(_refs(F.regexp_extract("body", "(?s)/Kids[ \\t\\r\\n]*\\[([^\\]]*)\\]", 1))).alias("pos", "num"))
+    kids = _array(nodes.where("kind = 'Pages'"), objs, "Kids").select("book", F.col("num").alias("up"), F.posexplode(_refs(F.col("listed"))).alias("pos", "num"))
+    chains = links(objs)  # those to pages
+    if not chains.isEmpty():
+        kids = kids.join(chains, ["book", "num"], "left").select("book", "up", "pos", F.coalesce("to", "num").alias("num"))
     root = objs.where(F.col("body").rlike("/Type[ \\t\\r\\n]*/Catalog\\b")).groupBy("book").agg(F.max_by(_ref(F.col("body"), "Pages"), "num").alias("num"))
     level = root.select("book", "num", F.array().cast("array<int>").alias("path"))
     reached = level
@@ -124,8 +212,8 @@ def pages(objs: DataFrame) -> DataFrame:
 
 def _streams(objs: DataFrame, paged: DataFrame) -> DataFrame:
     """Rows (book, unit, pos, data, status): the streams that a page's contents name; status is null where there is no such stream."""
-    refs = F.coalesce(F.nullif(F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*\\[([^\\]]*)\\]", 1), F.lit("")), F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*([0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R)", 1))
-    return paged.select("book", "unit", F.posexplode(_refs(refs)).alias("pos", "num")).join(objs.select("book", "num", "data", "status"), ["book", "num"], "left").drop("num")
+    refs = F.coalesce("listed", F.regexp_extract("body", "(?s)/Contents[ \\t\\r\\n]*([0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R)", 1))
+    return _array(paged, objs, "Contents").select("book", "unit", F.posexplode(_refs(refs)).alias("pos", "num")).join(objs.select("book", "num", "data", "status"), ["book", "num"], "left").drop("num")
 
 
 def contents(objs: DataFrame, paged: DataFrame) -> DataFrame:
