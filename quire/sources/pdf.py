@@ -284,7 +284,7 @@ def opened(books: DataFrame, objs: DataFrame, paged: DataFrame) -> DataFrame:
     trailers = F.regexp_extract_all(text, F.lit("/Info[ \\t\\r\\n]+([0-9]{1,7})[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1))
     rows = books.select(
         "book", version(F.col("content")).alias("version"), (F.octet_length("content") > 0).alias("filled"), F.try_element_at(trailers, F.lit(-1)).cast("int").alias("info"),
-        (~there.rlike("(?s)^[ \\t\\r\\n]*(?:xref|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+obj(?:(?!endobj|stream).)*/XRef)")).alias("rebuilt"), text.rlike("/Encrypt[ \\t\\r\\n]").alias("encrypted"),
+        ((F.octet_length("content") > 0) & ~there.rlike("(?s)^[ \\t\\r\\n]*(?:xref|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+obj(?:(?!endobj|stream).)*/XRef)")).alias("rebuilt"), text.rlike("/Encrypt[ \\t\\r\\n]").alias("encrypted"),
     )
     own = [metadata_text(_string(F.col("body"), k)).alias(k.lower()) for k in ("Title", "Author")]
     rows = rows.join(objs.select("book", F.col("num").alias("info"), *own), ["book", "info"], "left")
