@@ -12,12 +12,14 @@ The writer puts each file aside first. Only when all tasks have succeeded are th
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -51,21 +53,21 @@ def format_of(name: str) -> str | None:
     return found[1].lower() if found else None
 
 
-@dataclass(frozen=True)
-class File:
-    path: str
+class File(NamedTuple):
     name: str
     size: int
-    fmt: str | None
 
 
-def listed(folder: str) -> list[File]:
-    """Files under a folder by their names within it; hidden ones, and those still being written, begin with a dot or underscore."""
+def listed(folder: str) -> Iterator[File]:
+    """Files under a folder by their names within it, folder by folder; hidden ones, and those still being written, begin with a dot or underscore."""
     where, root = file_system(folder)
     root = root.rstrip("/")
-    found = where.get_file_info(fs.FileSelector(root, recursive=True))
-    names = [(f, f.path[len(root) + 1 :]) for f in found if f.type == fs.FileType.File]
-    return sorted((File(f.path, n, f.size, format_of(n)) for f, n in names if not re.search(r"(^|/)[._]", n)), key=lambda f: f.name)
+    waiting = [root]
+    while waiting:
+        found = sorted(where.get_file_info(fs.FileSelector(waiting.pop())), key=lambda f: f.base_name)
+        found = [f for f in found if f.base_name[0] not in "._"]
+        yield from (File(f.path[len(root) + 1 :], f.size) for f in found if f.type == fs.FileType.File)
+        waiting += [f.path for f in reversed(found) if f.type == fs.FileType.Directory]
 
 
 @dataclass
@@ -81,7 +83,7 @@ class Reader(ds.DataSourceReader):
         self.prefix, self.least, self.most = options.get("prefix", ""), int(options.get("least_bytes", 0)), int(options.get("most_bytes", 1 << 62))
 
     def _chosen(self, file: File) -> bool:
-        return (self.formats is None or (file.fmt or OTHER) in self.formats) and file.name.startswith(self.prefix) and self.least <= file.size <= self.most
+        return (self.formats is None or (format_of(file.name) or OTHER) in self.formats) and file.name.startswith(self.prefix) and self.least <= file.size <= self.most
 
     def _cost(self, file: File) -> int:
         read = file.size if "content" in self.columns else min(file.size, HEAD * ("head" in self.columns) + TAIL * ("tail" in self.columns))
@@ -100,21 +102,21 @@ class Reader(ds.DataSourceReader):
         return [Files(g) for g in groups] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        where, _ = file_system(self.folder)
+        where, root = file_system(self.folder)
         schema = pa.schema([(c, COLUMNS[c]) for c in self.columns])
         rows, held = [], 0
         for file in partition.files:
-            rows.append(self._row(where, file))
+            rows.append(self._row(where, root, file))
             held += self._cost(file)
             if held > BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def _row(self, where: fs.FileSystem, file: File) -> dict:
-        row = {"name": file.name, "size": file.size, "fmt": file.fmt}
+    def _row(self, where: fs.FileSystem, root: str, file: File) -> dict:
+        row = {"name": file.name, "size": file.size, "fmt": format_of(file.name)}
         if {"head", "tail", "content"} & set(self.columns):
-            with where.open_input_file(file.path) as f:
+            with where.open_input_file(posixpath.join(root, file.name)) as f:
                 if "content" in self.columns:
                     row["content"] = f.read()
                 if "head" in self.columns:
@@ -128,10 +130,9 @@ class Reader(ds.DataSourceReader):
 
 @dataclass
 class Staged(ds.WriterCommitMessage):
-    """Where a task put files aside, and their names."""
+    """Where a task put files aside."""
 
     folder: str
-    names: list[str]
 
 
 class Writer(ds.DataSourceArrowWriter):
@@ -141,30 +142,37 @@ class Writer(ds.DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         where, root = file_system(self.folder)
         own = posixpath.join(root, self.staging, uuid.uuid4().hex)  # another attempt has another
-        names = []
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
                 if not name or name.startswith("/") or ".." in name.split("/") or re.search(r"(^|/)[._]", name):
                     raise ValueError(f"not a name for a file of a shelf: {name!r}")
                 where.create_dir(posixpath.dirname(posixpath.join(own, name)), recursive=True)
+                if where.get_file_info(posixpath.join(own, name)).type != fs.FileType.NotFound:
+                    raise ValueError(f"two books have the name {name}")
                 with where.open_output_stream(posixpath.join(own, name)) as out:
                     out.write(content or b"")
-                names.append(name)
-        return Staged(own, names)
+        return Staged(own)
 
     def commit(self, messages: list[Staged | None]) -> None:
+        """Moves task by task, so that the driver lists one task's files at a time; of all names it keeps a hash."""
         where, root = file_system(self.folder)
-        moves = [(posixpath.join(m.folder, n), n) for m in messages if m for n in m.names]
-        if len({n for _, n in moves}) < len(moves):
-            self.abort(messages)
-            raise ValueError("two books have the same name")
-        where.create_dir(root, recursive=True)
-        old = {f.name: f.path for f in listed(self.folder)} if self.overwrite else {}
-        for name in {posixpath.dirname(n) for _, n in moves} - {""}:
-            where.create_dir(posixpath.join(root, name), recursive=True)
+        tasks = [m.folder for m in messages if m and where.get_file_info(m.folder).type == fs.FileType.Directory]
+        names: set[int] = set()
+        for name in (f.name for t in tasks for f in listed(t)):
+            before = len(names)
+            names.add(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big"))
+            if len(names) == before:
+                self.abort(messages)
+                raise ValueError(f"two books have the name {name}")
+        old = [f.name for f in listed(self.folder)] if self.overwrite and where.get_file_info(root).type == fs.FileType.Directory else []
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda m: where.move(m[0], posixpath.join(root, m[1])), moves))
-            list(pool.map(where.delete_file, [p for n, p in old.items() if n not in {n for _, n in moves}]))
+            for t in tasks:
+                own = [f.name for f in listed(t)]
+                for name in {posixpath.dirname(n) for n in own}:
+                    where.create_dir(posixpath.join(root, name), recursive=True)
+                list(pool.map(lambda n: where.move(posixpath.join(t, n), posixpath.join(root, n)), own))  # noqa: B023
+            gone = (n for n in old if int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "big") not in names)
+            list(pool.map(lambda n: where.delete_file(posixpath.join(root, n)), gone))
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
