@@ -2,10 +2,12 @@
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -28,4 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that written() returned, once nothing reads it any more; other tables are left alone."""
+    path = _paths.pop(table, None)
+    if path is not None:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

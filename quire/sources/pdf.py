@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.chars import metadata_text
-from ..functions.tables import written
+from ..functions.tables import discard, written
 from . import pdf_forms
 
 OBJECT = "(?s)(?<![0-9])([0-9]{1,7})[ \\t\\r\\n]+([0-9]{1,5})[ \\t\\r\\n]+obj\\b(.*?)endobj"
@@ -100,7 +100,10 @@ def _array(rows: DataFrame, objs: DataFrame, key: str) -> DataFrame:
     """``rows`` (book, body and others) and ``listed``: what stands in the brackets of an array in the dictionary, or in those of the object that it names; null if there is none."""
     inline = F.regexp_extract("body", f"(?s)/{key}[ \\t\\r\\n]*(\\[[^\\]]*\\])", 1)
     named = objs.where("data is null").select("book", F.col("num").alias("at"), F.nullif(F.regexp_extract("body", "(?s)^[ \\t\\r\\n]*(\\[[^\\]]*\\])", 1), F.lit("")).alias("there")).where("there is not null")
-    rows = rows.withColumns({"inline": F.nullif(inline, F.lit("")), "at": _ref(F.col("body"), key)}).join(named, ["book", "at"], "left")
+    rows = rows.withColumns({"inline": F.nullif(inline, F.lit("")), "at": _ref(F.col("body"), key)})
+    if rows.where("inline is null and at is not null").isEmpty() or named.isEmpty():
+        return rows.withColumnRenamed("inline", "listed").drop("at")
+    rows = rows.join(named, ["book", "at"], "left")
     return rows.withColumn("listed", F.coalesce("inline", "there")).drop("inline", "there", "at")
 
 
@@ -123,10 +126,15 @@ def objects(books: DataFrame) -> DataFrame:
     decoded = streams.withColumn("d", codecs.decoded(F.col("raw"), filters, _parms(F.col("parms")))).select("book", "num", "body", F.col("d.data").alias("data"), F.col("d.status").alias("status"))
     nothing = [F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("status")]
     plain = written(decoded.unionByName(rows.where("raw is null").select("book", "num", "body", *nothing)), "pdf_objects")
+    discard(rows)
     packed = plain.where(F.col("body").rlike("/Type[ ]*/ObjStm"))
     if not packed.isEmpty():
-        plain = written(plain.unionByName(_unpacked(packed).join(plain.select("book", "num"), ["book", "num"], "left_anti")), "pdf_objects")
-    return _followed(plain)
+        rows, plain = plain, written(plain.unionByName(_unpacked(packed).join(plain.select("book", "num"), ["book", "num"], "left_anti")), "pdf_objects")
+        discard(rows)
+    followed = _followed(plain)
+    if followed is not plain:
+        discard(plain)
+    return followed
 
 
 def _described(rows: DataFrame, small: DataFrame) -> DataFrame:
@@ -139,6 +147,8 @@ def _described(rows: DataFrame, small: DataFrame) -> DataFrame:
     streams = rows.where("raw is not null")
     refs = {name: _ref(F.col("body"), key) for name, key in keys.items()}
     held = streams.select("book", "num", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.alias("at")) for n, r in refs.items()])).alias("r")).select("book", "num", "r.*").where("at is not null")
+    if held.isEmpty():  # as in most files: streams needn't move
+        return streams.select("book", "num", "body", "raw", *[c.alias(n) for n, c in direct.items()]).withColumn("length", F.nullif("length", F.lit("")).try_cast("int"))
     held = held.join(small.select("book", F.col("num").alias("at"), F.col("body").alias("there")), ["book", "at"])
     # A row for each stream that refers to anything: its three values side by side.
     wide = held.groupBy("book", "num").agg(*[F.max(F.when(F.col("name") == n, F.col("there"))).alias(f"{n}_there") for n in keys])
@@ -155,6 +165,8 @@ def _measured(streams: DataFrame, books: DataFrame) -> DataFrame:
     shorter = (F.col("length") < F.octet_length("raw")) & F.decode(F.substring("raw", F.col("length") + 1, F.octet_length("raw")), "ISO-8859-1").rlike("^[ \\t\\r\\n]*\\z")
     streams = streams.withColumn("raw", F.when(shorter, F.substring("raw", F.lit(1), F.col("length"))).otherwise(F.col("raw")))
     longer = streams.where(F.col("length") > F.octet_length("raw") + 2).select("book", "num", "body", "length")
+    if longer.isEmpty():
+        return streams
     text = F.decode("content", "ISO-8859-1")
     rows = longer.join(books.select("book", text.alias("t")), "book")
     # The text of the dictionary, as it stands in the file after the last mark of its number.
