@@ -1,7 +1,7 @@
 """PDF files as relations: objects, pages, fonts and text runs (SRC-19 to SRC-33, FNT-*, CS-*).
 
-A file's objects are found by their ``N G obj`` marks, the last of a number wins, as in a file whose cross-reference
-table has to be rebuilt: so damaged files need no path of their own. Object streams are unpacked to more rows, pages are
+A file's objects are found by their ``N G obj`` marks. Its cross-references, where they lead to the root, say which of them are in force
+(pdf_xref); else the last of a number wins, as in a file whose table has to be rebuilt. Object streams are unpacked to more rows, pages are
 joined to their contents and fonts, and only the operators of one page's content run through a loop.
 """
 
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..functions.chars import metadata_text
 from ..functions.tables import discard, written
-from . import pdf_forms
+from . import pdf_forms, pdf_xref
+from .pdf_syntax import OBJECT, _parms, _ref, _refs, _value
+from .pdf_xref import cross_references, revisions, trailers  # noqa: F401
 
-OBJECT = "(?s)(?<![0-9])([0-9]{1,7})[ \\t\\r\\n]+([0-9]{1,5})[ \\t\\r\\n]+obj\\b(.*?)endobj"
 STREAM = "(?s)stream(?:\\r\\n|\\n|\\r)(.*?)(?:\\r\\n|\\n|\\r)?endstream"
 #: Levels of a page tree that are followed.
 DEEPEST = 64
@@ -36,30 +37,6 @@ def version(content: Column) -> Column:
     return F.nullif(F.regexp_extract(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-([0-9]+\\.[0-9]+)", 1), F.lit(""))
 
 
-def _value(text: Column, key: str, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, f"(?s)/{key}[ \\t\\r\\n]*{pattern}", 1), F.lit(""))
-
-
-def _ref(text: Column, key: str) -> Column:
-    return _value(text, key, "([0-9]+)[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R").cast("int")
-
-
-def _refs(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R"), F.lit(1)), lambda x: x.cast("int"))
-
-
-def _parms(head: Column) -> Column:
-    """The parameters of a stream's filters, an array of structs of codecs.PARAMETERS; ``null`` stands for a filter without any."""
-    given = F.regexp_extract(head, "(?s)/(?:DecodeParms|DP)[ \\t\\r\\n]*(\\[[^\\]]*\\]|<<.*?>>)", 1)
-    each = F.regexp_extract_all(given, F.lit("(?s)(<<.*?>>|null)"), F.lit(1))
-
-    def number(p: Column, key: str, default: int) -> Column:
-        n = F.coalesce(_value(p, key, "([0-9]{1,9})").cast("int"), F.lit(default))
-        return (n if key == "EarlyChange" else F.greatest(n, F.lit(1))).alias(key)
-
-    return F.transform(each, lambda p: F.struct(*[number(p, k, d) for k, d in codecs.PARAMETERS.items()]))
-
-
 LINK = "^[ \\t\\r\\n]*([0-9]{1,7})[ \\t\\r\\n]+[0-9]{1,5}[ \\t\\r\\n]+R[ \\t\\r\\n]*$"
 #: References that are followed from a dictionary to a value.
 MOST_HOPS = 32
@@ -108,15 +85,12 @@ def _array(rows: DataFrame, objs: DataFrame, key: str) -> DataFrame:
 
 
 def objects(books: DataFrame) -> DataFrame:
-    """Rows (book, num, body, data, status) of books (book, content): the last object of each number, its stream decoded. A written table.
+    """Rows (book, num, body, data, status) of books (book, content): the object of each number that is in force, its stream decoded. A written table.
 
     Filter, DecodeParms and Length may stand behind references. A stream has the Length that is said if endstream follows there, so that it may hold
     that word itself; else the first endstream ends it. Objects that are only references are what they lead to.
     """
-    text = F.decode("content", "ISO-8859-1")
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(OBJECT), F.lit(1)).alias("num"), F.regexp_extract_all(text, F.lit(OBJECT), F.lit(3)).alias("body"))
-    rows = books.select("book", F.posexplode(parts).alias("pos", "o")).select("book", F.col("o.num").cast("int").alias("num"), "pos", F.col("o.body").alias("body"))
-    rows = rows.groupBy("book", "num").agg(F.max_by("body", "pos").alias("body"))
+    rows, force = _chosen(books)
     has = F.col("body").rlike("(?s)stream[\\r\\n].*endstream")
     head = F.regexp_replace("body", "(?s)stream[\\r\\n].*", "")
     rows = written(rows.select("book", "num", head.alias("body"), F.when(has, F.encode(F.regexp_extract("body", STREAM, 1), "ISO-8859-1")).alias("raw")), "pdf_parts")
@@ -129,7 +103,7 @@ def objects(books: DataFrame) -> DataFrame:
     discard(rows)
     packed = plain.where(F.col("body").rlike("/Type[ ]*/ObjStm"))
     if not packed.isEmpty():
-        rows, plain = plain, written(plain.unionByName(_unpacked(packed).join(plain.select("book", "num"), ["book", "num"], "left_anti")), "pdf_objects")
+        rows, plain = plain, written(plain.unionByName(_unpacked(packed, force).join(plain.select("book", "num"), ["book", "num"], "left_anti")), "pdf_objects")
         discard(rows)
     followed = _followed(plain)
     if followed is not plain:
@@ -178,8 +152,25 @@ def _measured(streams: DataFrame, books: DataFrame) -> DataFrame:
     return streams.join(whole, ["book", "num"], "left").withColumn("raw", F.coalesce("whole", "raw")).drop("whole")
 
 
-def _unpacked(packed: DataFrame) -> DataFrame:
-    """Objects inside object streams: N pairs of number and offset, then the objects from First."""
+def _chosen(books: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (book, num, body): the object of each number that its file's cross-references keep in force, in files without any that can be used the last one; and those of pdf_xref.in_force()."""
+    announced = books.where(F.decode(F.substring("content", F.greatest(F.octet_length("content") - 2047, F.lit(1)), F.lit(2048)), "ISO-8859-1").rlike("startxref[ \\t\\r\\n]+[0-9]"))
+    revs = written(revisions(announced), "pdf_revisions")
+    if revs.isEmpty():
+        text = F.decode("content", "ISO-8859-1")
+        parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(OBJECT), F.lit(1)).alias("num"), F.regexp_extract_all(text, F.lit(OBJECT), F.lit(3)).alias("body"))
+        rows = books.select("book", F.posexplode(parts).alias("pos", "o")).select("book", F.col("o.num").cast("int").alias("num"), "pos", F.col("o.body").alias("body"))
+        return rows.groupBy("book", "num").agg(F.max_by("body", "pos").alias("body")), None
+    marks = written(pdf_xref.placed(books), "pdf_marks")
+    force = written(pdf_xref.in_force(revs, marks), "pdf_in_force")
+    # Of a file whose tables are used every number is decided: one mark, or none.
+    decided = marks.select("book", "num").distinct().join(force.select("book").distinct(), "book", "left_semi").join(force.where("pos is not null").select("book", "num", F.col("pos").alias("live")), ["book", "num"], "left")
+    rows = marks.join(decided.select("book", "num", F.coalesce("live", F.lit(-1)).alias("live")), ["book", "num"], "left").where("live is null or live = pos")
+    return rows.groupBy("book", "num").agg(F.max_by("body", "pos").alias("body")), force
+
+
+def _unpacked(packed: DataFrame, force: DataFrame | None = None) -> DataFrame:
+    """Objects inside object streams: N pairs of number and offset, then the objects from First. Of files in ``force`` only those that stand there."""
     text, first = F.decode("data", "ISO-8859-1"), _value(F.col("body"), "First", "([0-9]+)").cast("int")
     rows = packed.select("book", text.alias("t"), first.alias("first"), F.col("num").alias("stream"))
     numbers = F.transform(F.regexp_extract_all(F.left("t", F.col("first")), F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
@@ -193,6 +184,9 @@ def _unpacked(packed: DataFrame) -> DataFrame:
     rows = rows.where(F.size("ns") > 1).select("book", "stream", "t", "first", F.explode(entries).alias("e"))
     body = F.substring("t", F.col("first") + F.col("e.at") + 1, F.col("e.end") - F.col("e.at"))
     rows = rows.select("book", "stream", F.col("e.num").alias("num"), body.alias("body"))
+    if force is not None:
+        held = force.where("stream is not null").select("book", "num", "stream", F.lit(True).alias("held"))
+        rows = rows.join(force.select("book", F.lit(True).alias("decided")).distinct(), "book", "left").join(held, ["book", "num", "stream"], "left").where("decided is null or held")
     last = rows.groupBy("book", "num").agg(F.max_by("body", "stream").alias("body"))
     return last.select("book", "num", "body", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("status"))
 
@@ -306,60 +300,6 @@ def opened(books: DataFrame, objs: DataFrame, paged: DataFrame) -> DataFrame:
     return rows.select("book", "version", *counts, "title", "author", "rebuilt", "encrypted", error.alias("error"))
 
 
-_ENTRY = "([0-9]{10})[ \\t\\r\\n]+([0-9]{5})[ \\t\\r\\n]+([nf])[ \\t\\r\\n]*"
-_NAME = "[^ \\t\\r\\n/<>()\\[\\]]+"
-
-
-def revisions(books: DataFrame) -> DataFrame:
-    """Rows (book, rev, entries, trailer, shift) of books (book, content): cross-reference tables from the one startxref names, 0, along Prev to the oldest.
-
-    Places count from the header, shift bytes into the file. A table that was passed already ends the chain. Books without a table there have no rows; objects() reads them all the same.
-    """
-    text = F.decode("content", "ISO-8859-1")
-    rows = books.select("book", text.alias("t"), F.greatest(F.instr(F.left(text, F.lit(1024)), "%PDF-") - 1, F.lit(0)).alias("shift"))
-    last = F.regexp_extract(F.right("t", F.lit(2048)), "(?s)startxref[ \\t\\r\\n]+([0-9]+)(?!.*startxref)", 1)
-    rows = rows.select("book", "shift", F.split("t", "(?<![a-z])xref(?=[ \\t\\r\\n])").alias("cut"), F.nullif(last, F.lit("")).try_cast("int").alias("start"))
-
-    def table(i: Column) -> Column:
-        own, before = F.get("cut", i), F.slice("cut", F.lit(1), i)
-        trailer = F.regexp_extract(own, "(?s)^[0-9nf \\t\\r\\n]*trailer[ \\t\\r\\n]*<<((?:(?!<<|>>).|<<[^>]*>>)*+)>>", 1)
-        at = F.aggregate(before, F.lit(0), lambda n, x: n + F.length(x) + 4) - 4 - F.col("shift")
-        return F.struct(at.alias("at"), _value(trailer, "Prev", "([0-9]+)").try_cast("int").alias("prev"), F.regexp_extract(own, "^[0-9nf \\t\\r\\n]*", 0).alias("entries"), trailer.alias("trailer"))
-
-    tables = F.when(F.size("cut") > 1, F.transform(F.sequence(F.lit(1), F.size("cut") - 1), table))
-    rows = rows.where("start is not null").select("book", "shift", "start", tables.alias("ts")).where("ts is not null")
-
-    def at(place: Column) -> Column:
-        return F.get(F.filter("ts", lambda x: x["at"] == place), F.lit(0))
-
-    def further(chain: Column, _: Column) -> Column:
-        prev = at(F.element_at(chain, -1))["prev"]
-        return F.when(prev.isNotNull() & ~F.array_contains(chain, F.coalesce(prev, F.lit(-1))), F.array_append(chain, prev)).otherwise(chain)
-
-    chain = F.aggregate("ts", F.array("start"), further)
-    rows = rows.select("book", "shift", "ts", F.posexplode(chain).alias("rev", "place")).select("book", "rev", "shift", at(F.col("place")).alias("own"))
-    return rows.where("own is not null").select("book", "rev", "own.entries", "own.trailer", "shift")
-
-
-def cross_references(revs: DataFrame) -> DataFrame:
-    """Rows (book, num, off, gen) of revisions(): of each object's number the newest entry in use; a free entry hides no older one."""
-    section = "(?s)(?<![0-9])([0-9]{1,7})[ \\t]+[0-9]{1,7}[ \\t\\r\\n]+((?:" + _ENTRY.replace("(", "(?:") + ")++)"
-    parts = F.arrays_zip(F.regexp_extract_all("entries", F.lit(section), F.lit(1)).alias("first"), F.regexp_extract_all("entries", F.lit(section), F.lit(2)).alias("lines"))
-    rows = revs.select("book", "rev", "shift", F.explode(parts).alias("p")).select("book", "rev", "shift", F.col("p.first").cast("int").alias("first"), F.col("p.lines").alias("lines"))
-    fields = F.arrays_zip(*[F.regexp_extract_all("lines", F.lit(_ENTRY), F.lit(i)).alias(c) for i, c in ((1, "off"), (2, "gen"), (3, "state"))])
-    rows = rows.select("book", "rev", "shift", "first", F.posexplode(fields).alias("i", "e")).where("e.state = 'n'")
-    entry = F.struct((F.col("e.off").cast("long") + F.col("shift")).alias("off"), F.col("e.gen").cast("int").alias("gen"))
-    return rows.groupBy("book", (F.col("first") + F.col("i")).alias("num")).agg(F.min_by(entry, "rev").alias("e")).select("book", "num", "e.off", "e.gen")
-
-
-def trailers(revs: DataFrame) -> DataFrame:
-    """Rows (book, key, value) of revisions(): older trailers give only the keys that newer ones lack."""
-    item = f"(?s)/({_NAME})[ \\t\\r\\n]*(<<.*?>>|<[^>]*>|\\[[^\\]]*\\]|\\((?:[^()\\\\]++|\\\\.)*+\\)|[0-9]+[ \\t\\r\\n]+[0-9]+[ \\t\\r\\n]+R|/?{_NAME})"
-    items = F.arrays_zip(F.regexp_extract_all("trailer", F.lit(item), F.lit(1)).alias("key"), F.regexp_extract_all("trailer", F.lit(item), F.lit(2)).alias("value"))
-    rows = revs.select("book", "rev", F.posexplode(items).alias("pos", "i"))
-    return rows.groupBy("book", F.col("i.key").alias("key")).agg(F.min_by("i.value", F.struct("rev", "pos")).alias("value"))
-
-
 def _counted(objs: DataFrame, paged: DataFrame) -> DataFrame:
     """Rows (book, unit, streams, ok, images, bytes, ops): what a page's streams hold; pages without any have 0 of all. ops counts those of forms, each time they are called."""
     state, ok = F.col("status"), F.col("status") == "OK"
