@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chars
 from ..functions.tables import fresh_path
 from ..operators import progress
-from ..sources import document, epub, pdf, shelf
+from ..sources import document, epub, pdf, pdf_xref, shelf
 from . import page_queries
 from .book_queries import LATIN, pdf_files
 from .common import table
@@ -65,6 +65,68 @@ def pdf_trailers(spark: SparkSession, d: str) -> DataFrame:
     return pdf.trailers(pdf.revisions(_revised(spark, d))).where("key <> 'Prev'")
 
 
+def _referenced(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files whose tables point at their objects, one for each line (null text: one empty line): its MD5, in a newer revision that of every third line and ``new``.
+
+    By doc_id % 3 tables only, streams only, or a table with a stream for newer readers; in the last two, even lines are in an object stream. Behind the tables stands an object without an entry
+    for each fourth line. Every seventh file's startxref points at nothing.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", F.transform(F.split(text, "\n"), lambda x: F.md5(x)).alias("ls"), F.transform(F.split(text, "\n"), lambda x: F.md5(F.concat(x, F.lit("new")))).alias("ns"), (F.col("doc_id") % 3).alias("kind"))
+    n, kind = F.size("ls"), F.col("kind")
+    plain = F.filter(F.sequence(F.lit(1), n), lambda i: (kind == 0) | (i % 2 == 1))
+    packed = F.filter(F.sequence(F.lit(1), n), lambda i: (kind != 0) & (i % 2 == 0))
+    rows = rows.withColumns({"plain": plain, "packed": packed, "third": F.filter(F.sequence(F.lit(1), n), lambda i: i % 3 == 0), "fourth": F.filter(F.sequence(F.lit(1), n), lambda i: i % 4 == 0)})
+    string = lambda c: c.cast("string")
+    each = lambda name, f: F.array_join(F.transform(name, f), "")
+    digits = lambda c, k: F.lpad(F.hex(c), k, "0")
+    obj = lambda i, body: F.concat(F.lpad(string(i), 7, "0"), F.lit(" 0 obj "), body, F.lit(" endobj\n"))
+    one = lambda i, digest: obj(i, F.concat(F.lit("("), digest, F.lit(")")))
+    line = lambda name, i: F.get(name, i - 1)
+
+    olds, news = each("plain", lambda i: one(i, line("ls", i))), each("third", lambda i: one(i, line("ns", i)))
+    names = F.concat(each("packed", lambda i: F.concat(string(i), F.lit(" "), string((i / 2).cast("int") * 35 - 35), F.lit(" "))))
+    inner = F.concat(names, each("packed", lambda i: F.concat(F.lit("("), line("ls", i), F.lit(") "))))
+    holder = obj(n + 2, F.concat(F.lit("<< /Type /ObjStm /N "), string(F.size("packed")), F.lit(" /First "), string(F.length(names)), F.lit(" >> stream\n"), inner, F.lit("\nendstream")))
+    start = F.concat(F.lit("%PDF-1.5\n"), olds, obj(n + 1, F.lit("<< /Type /Catalog >>")), news, F.when(kind == 0, "").otherwise(holder))
+    rows = rows.select("*", start.alias("body"), (F.size("plain") * 56 + 9).alias("root"), (F.size("plain") * 56 + 51).alias("newer"))
+    held = F.col("newer") + F.size("third") * 56
+
+    lines = lambda name, off: each(name, lambda i: F.concat(string(i), F.lit(" 1\n"), F.lpad(string(off(i)), 10, "0"), F.lit(" 00000 n \n")))
+    old_off = lambda i: F.when(kind == 0, i - 1).otherwise(((i - 1) / 2).cast("int")) * 56 + 9
+    new_off = lambda i: F.col("newer") + ((i / 3).cast("int") - 1) * 56
+    last = F.concat(string(n + 1), F.lit(" 1\n"), F.lpad(string(F.col("root")), 10, "0"), F.lit(" 00000 n \n"))
+    root = F.concat(F.lit(" /Root "), string(n + 1), F.lit(" 0 R"))
+    tables = lambda found, more: F.concat(F.lit("xref\n"), found, F.lit("trailer <<"), root, more, F.lit(" >>\n"))
+    records = lambda name, record: each(name, lambda i: F.concat(*record(i)))
+    at = lambda off: (F.lit("01"), digits(off, 8), F.lit("00000000"))
+    inside = lambda i: (F.lit("02"), digits(n + 2, 8), digits((i / 2).cast("int") - 1, 8))
+    streams = lambda num, index, data, more: obj(num, F.concat(F.lit("<< /Type /XRef /W [1 4 4] /Filter /ASCIIHexDecode /Index ["), index, F.lit("]"), root, more, F.lit(" >> stream\n"), data, F.lit(">\nendstream")))
+    singles = lambda name: each(name, lambda i: F.concat(string(i), F.lit(" 1 ")))
+    even = F.concat(singles("packed"), string(n + 2), F.lit(" 1"))
+    of_packed = F.concat(records("packed", inside), *at(held))
+
+    inner_stream = streams(n + 3, even, of_packed, F.lit(""))  # that of a hybrid
+    whole_stream = streams(n + 3, F.concat(singles("plain"), string(n + 1), F.lit(" 1 "), even), F.concat(records("plain", lambda i: at(old_off(i))), *at(F.col("root")), of_packed), F.lit(""))
+    place = F.length("body")
+    first = F.when(kind == 0, tables(F.concat(lines("plain", old_off), last), F.lit(""))).when(kind == 1, whole_stream)
+    first = first.otherwise(F.concat(inner_stream, tables(F.concat(lines("plain", old_off), last), F.concat(F.lit(" /XRefStm "), string(place)))))
+    rows = rows.withColumns({"first": first, "prev": place + F.when(kind == 2, F.length(inner_stream)).otherwise(0)})
+    prev = F.concat(F.lit(" /Prev "), string(F.col("prev")))
+    second = F.when(kind == 1, streams(n + 4, singles("third"), records("third", lambda i: at(new_off(i))), prev)).otherwise(tables(lines("third", new_off), prev))
+    dead = each("fourth", lambda i: one(i, F.md5(F.lit("dead"))))
+    named = F.when(F.col("doc_id") % 7 == 6, F.lit("0")).otherwise(string(F.length("body") + F.length("first")))
+    return rows.select(F.col("doc_id").alias("book"), F.encode(F.concat("body", "first", second, dead, F.lit("startxref\n"), named, F.lit("\n%%EOF\n")), "ISO-8859-1").alias("content"))
+
+
+def pdf_live_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Each object that holds a digest, and where its file's cross-references say that it is."""
+    books = _referenced(spark, d)
+    found = pdf_xref.entries(pdf.revisions(books)).select("book", "num", "off", "stream", "place")
+    objs = pdf.objects(books).select("book", "num", F.nullif(F.regexp_extract("body", "^ ?\\(([0-9a-f]{32})\\)", 1), F.lit("")).alias("digest")).where("digest is not null")
+    return objs.join(found, ["book", "num"], "left")
+
+
 EXTENSIONS = ("pdf", "txt", "EPUB", "cbz", "txt")
 
 
@@ -122,7 +184,7 @@ def shelf_open(spark: SparkSession, d: str) -> DataFrame:
     return document.opened(document.folder(spark, _shelf(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (shelf_heads, shelf_open, pdf_report, text_layer_probe, pdf_cross_references, pdf_trailers, document_open, document_card, document_paragraphs)}
+QUERIES = {f.__name__: f for f in (shelf_heads, shelf_open, pdf_report, text_layer_probe, pdf_cross_references, pdf_trailers, pdf_live_objects, document_open, document_card, document_paragraphs)}
 _SCANNED = "(doc_id % 7 = 0 OR i % 3 = 0)"
 _PAGES = "(SELECT doc_id, i, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i))"
 _LATIN = "(doc_id % 5 = 4 AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]'))"
@@ -149,6 +211,11 @@ ORACLE = {
        CAST(CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS gen FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), generate_series(1, n) AS g(i)""",
     "pdf_trailers": """SELECT doc_id AS book, key, CASE key WHEN 'Size' THEN CAST(len(string_split(coalesce(text, ''), chr(10))) + 1 AS VARCHAR) WHEN 'Info' THEN '4 0 R' WHEN 'ID' THEN '[<00> <01>]'
        ELSE CASE WHEN doc_id % 2 = 0 THEN '2 0 R' ELSE '1 0 R' END END AS value FROM documents, (VALUES ('Size'), ('Info'), ('ID'), ('Root')) AS k(key)""",
+    "pdf_live_objects": """SELECT doc_id AS book, CAST(i AS INTEGER) AS num,
+       CAST(CASE WHEN doc_id % 7 = 6 THEN NULL WHEN i % 3 = 0 THEN (CASE WHEN doc_id % 3 = 0 THEN n ELSE (n + 1) // 2 END) * 56 + 51 + (i // 3 - 1) * 56 WHEN doc_id % 3 = 0 THEN (i - 1) * 56 + 9 WHEN i % 2 = 1 THEN (i - 1) // 2 * 56 + 9 END AS BIGINT) AS off,
+       CAST(CASE WHEN doc_id % 7 <> 6 AND doc_id % 3 <> 0 AND i % 3 <> 0 AND i % 2 = 0 THEN n + 2 END AS INTEGER) AS stream, CAST(CASE WHEN doc_id % 7 <> 6 AND doc_id % 3 <> 0 AND i % 3 <> 0 AND i % 2 = 0 THEN i // 2 - 1 END AS INTEGER) AS place,
+       md5(CASE WHEN doc_id % 7 = 6 AND i % 4 = 0 THEN 'dead' WHEN i % 3 = 0 THEN ls[i] || 'new' ELSE ls[i] END) AS digest
+       FROM (SELECT doc_id, ls, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), generate_series(1, n) AS g(i)""",
     "shelf_heads": f"""SELECT CAST(doc_id // 1000 AS VARCHAR) || '/book ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS name, CASE WHEN doc_id % 5 = 0 THEN 'pdf' ELSE 'txt' END AS fmt,
        CASE WHEN doc_id % 5 <> 0 THEN CAST(CASE WHEN {_LATIN} THEN length(text) ELSE octet_length(encode(text)) END AS BIGINT) END AS size,
        CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN {_LATIN} AND length(left(text, 8192)) < octet_length(encode(left(text, 8192))) THEN 'LATIN1' ELSE 'UTF8' END END AS encoding,

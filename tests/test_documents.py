@@ -136,7 +136,7 @@ def test_queries_agree_with_sql(spark, tmp_path):
     con = duckdb.connect()
     for name in ("documents", "events"):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("shelf_heads", "shelf_open", "document_open", "document_card", "pdf_report", "text_layer_probe", "pdf_cross_references", "pdf_trailers", "txt_units", "txt_unit_flags"):
+    for name in ("shelf_heads", "shelf_open", "document_open", "document_card", "pdf_report", "text_layer_probe", "pdf_cross_references", "pdf_trailers", "pdf_live_objects", "txt_units", "txt_unit_flags"):
         df = QUERIES[name](spark, str(tmp_path))
         cols = sorted(df.columns)
         sql = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLE[name]})").fetchall()
