@@ -72,7 +72,7 @@ def run_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def body_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rows = page_lines(spark, d)
-    return reflow.body_sizes(rows, "doc_id").join(rows.groupBy("doc_id").agg(reflow.percentile(F.col("x_end"), 0.9).alias("p90"), reflow.percentile(F.col("x"), 0.25).alias("p25")), "doc_id")
+    return rows.groupBy("doc_id").agg(reflow.body_size().alias("body"), reflow.percentile(F.col("x_end"), 0.9).alias("p90"), reflow.percentile(F.col("x"), 0.25).alias("p25"))
 
 
 def gutter_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +96,7 @@ def justified_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_heads(spark: SparkSession, d: str) -> DataFrame:
-    columns = reflow.in_columns(page_lines(spark, d), "doc_id")
-    rows = reflow.without_running_heads(columns, reflow.measures(columns, "doc_id"), "doc_id")
+    rows = reflow.without_running_heads(page_lines(spark, d), "doc_id")
     return rows.where("dropped").select("doc_id", "line_no", "col", "text")
 
 
