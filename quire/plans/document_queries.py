@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars
-from ..functions.tables import fresh_path
+from ..functions.tables import fresh_path, written
 from ..operators import progress
 from ..sources import document, epub, pdf, pdf_xref, shelf
 from . import page_queries
@@ -121,7 +121,7 @@ def _referenced(spark: SparkSession, d: str) -> DataFrame:
 
 def pdf_live_objects(spark: SparkSession, d: str) -> DataFrame:
     """Each object that holds a digest, and where its file's cross-references say that it is."""
-    books = _referenced(spark, d)
+    books = written(_referenced(spark, d), "referenced")
     found = pdf_xref.entries(pdf.revisions(books)).select("book", "num", "off", "stream", "place")
     objs = pdf.objects(books).select("book", "num", F.nullif(F.regexp_extract("body", "^ ?\\(([0-9a-f]{32})\\)", 1), F.lit("")).alias("digest")).where("digest is not null")
     return objs.join(found, ["book", "num"], "left")
