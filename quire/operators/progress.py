@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import published
+
 #: Books that the list holds.
 MOST_BOOKS = 128
 LEAST_PX, MOST_PX = 12, 34
 HEADER = "#ereader1"
+#: Touches of a book in so much of their order are looked through together.
+SPAN = 1 << 20
 FIELDS = ("size", "unit", "total", "para", "px")
 
 
@@ -64,8 +68,8 @@ def file_lines(progress: DataFrame, theme: int = 0) -> DataFrame:
 
 
 def save(progress: DataFrame, path: str, theme: int = 0) -> None:
-    """Writes the file by Spark's commit protocol: a reader sees the old one or the new one."""
-    file_lines(progress, theme).coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
+    """The progress file at ``path``, a single file; a reader sees the old one or the new one, and a write that fails leaves the old one (SNK-02)."""
+    published(file_lines(progress, theme), path)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -84,6 +88,31 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.where(F.octet_length("name").between(1, 127))
 
 
+def theme_of(lines: DataFrame, place: str = "place") -> int:
+    """The number of the last theme line of progress lines (value, place), 0 without one."""
+    found = lines.where(F.col("value").rlike("(?s)^theme\t.")).agg(F.max_by("value", place).alias("value"))
+    number = F.coalesce(F.regexp_extract("value", "^theme\t *(-?[0-9]{1,9})", 1).try_cast("int"), F.lit(0))
+    return found.select(number).first()[0]
+
+
+def saves(touches: DataFrame, seq: str = "seq", span: int = SPAN) -> DataFrame:
+    """The touches after which the list is saved: a book's first, and those that move it to another unit; not those within a unit (STA-02, STA-08).
+
+    Touches of a book are in order of ``seq``, an integer. Blocks of ``span`` of it are looked through by themselves, a book's blocks then joined by what each
+    leaves: so a book that has most touches is spread over tasks. Rows without name, size, unit or seq are passed over; of touches at one seq the smaller unit comes first.
+    """
+    rows = touches.where(" and ".join(f"`{c}` is not null" for c in ("name", "size", "unit", seq)))
+    rows = rows.withColumn("_block", F.floor(F.col(seq) / span))
+    inside = Window.partitionBy("name", "size", "_block").orderBy(seq, "unit")
+    left = rows.groupBy("name", "size", "_block").agg(F.max_by("unit", F.struct(seq, "unit")).alias("_left"))
+    left = left.select("name", "size", "_block", F.lag("_left").over(Window.partitionBy("name", "size").orderBy("_block")).alias("_left"))
+    before = F.lag("unit").over(inside)
+    seen = rows.withColumns({"_before": before, "_first": F.row_number().over(inside) == 1})
+    moved = seen.where(F.col("_first") | (F.col("_before") != F.col("unit"))).join(left, ["name", "size", "_block"])
+    moved = moved.where(~F.col("_first") | F.col("_left").isNull() | (F.col("_left") != F.col("unit")))
+    return moved.select(*touches.columns)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The books of a saved file; seq falls with their place, so that the first is the last touched."""
     rows = parsed(spark.read.text(path).withColumn("place", F.monotonically_increasing_id()))

@@ -145,6 +145,10 @@ def relayout(spark: SparkSession, d: str) -> DataFrame:
     return layout.screen_of_paragraph(large, F.col("wanted"), "page_id", "wanted")
 
 
+#: A day in the unit of touches' ``at``.
+DAY = 86_400 * 10**9
+
+
 def touches(spark: SparkSession, d: str) -> DataFrame:
     """Events as touches of books named by user, in order of time."""
     e = table(spark, d, "events")
@@ -160,6 +164,11 @@ def progress_latest(spark: SparkSession, d: str) -> DataFrame:
     return progress.latest(touches(spark, d)).select("name", "size", "unit", "total", "para", "px", "event_id")
 
 
+def progress_saves(spark: SparkSession, d: str) -> DataFrame:
+    rows = touches(spark, d).withColumn("unit", F.col("event_id") % 3)
+    return progress.saves(rows, "at", DAY).select("name", "size", "unit", "total", "para", "px", "event_id")
+
+
 def progress_lru(spark: SparkSession, d: str) -> DataFrame:
     return progress.recent(touches(spark, d)).select("name", "size", "event_id")
 
@@ -218,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_geometry, run_orientation, run_lines, body_percentiles, gutter_detect, column_split, leading, justified_flag, running_heads, reflow_paragraphs,
-        paragraph_flags, reflow_stats, glyph_width, layout_screens, layout_lines, screen_ordinals, relayout, progress_latest, progress_lru, shelf_percent,
+        paragraph_flags, reflow_stats, glyph_width, layout_screens, layout_lines, screen_ordinals, relayout, progress_latest, progress_saves, progress_lru, shelf_percent,
         resume_point, progress_file, library_scan, format_counts, xref_merge, trailer_merge,
     )
 }
@@ -296,6 +305,8 @@ ORACLE = {
     "glyph_width": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, round({_named} + {_caps} * {layout.CAPITAL} + (length(l) - {_known} - {_caps}) * {layout.OTHER}, 6)::DOUBLE AS em
 FROM (SELECT doc_id, i, ls[i] AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i))""",
     "progress_latest": f"WITH {TOUCH_SQL} SELECT name, size, unit, total, para, px, event_id FROM latest",
+    "progress_saves": f"""WITH {TOUCH_SQL}, moves AS (SELECT * REPLACE (event_id % 3 AS unit) FROM t)
+SELECT name, size, unit, total, para, px, event_id FROM moves QUALIFY lag(unit) OVER (PARTITION BY name, size ORDER BY seen, unit) IS DISTINCT FROM unit""",
     "progress_lru": f"WITH {TOUCH_SQL} SELECT name, size, event_id FROM latest ORDER BY seen DESC, event_id DESC LIMIT 128",
     "shelf_percent": f"""WITH {TOUCH_SQL},
 lib AS (SELECT 'book ' || user_id || '.' || CASE user_id % 4 WHEN 0 THEN 'epub' WHEN 1 THEN 'PDF' WHEN 2 THEN 'Txt' ELSE 'cbz' END AS name, user_id * 97 AS size FROM (SELECT DISTINCT user_id FROM events))

@@ -1,6 +1,7 @@
 """Lines, paragraphs, screens, text files, books and progress on hand-made inputs."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -323,6 +324,58 @@ def test_progress_file(spark, tmp_path):
     assert [(r["name"], r["size"], r["unit"], r["px"]) for r in progress.parsed(lines_).orderBy("place").collect()][0] == ("name", 0, 0, 9)
 
 
+def test_a_failed_save_leaves_the_old_file(spark, tmp_path):
+    path = f"file://{tmp_path}/progress"
+    progress.save(spark.createDataFrame([("a", 1, 2, 3, 4, 18, 1)], TOUCH), path, theme=3)
+    old = (tmp_path / "progress").read_text()
+    broken = spark.createDataFrame([("b", 1, 2, 3, 4, 18, 1)], TOUCH).withColumn("unit", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        progress.save(broken, path)
+    assert (tmp_path / "progress").read_text() == old and [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["progress"]
+    progress.save(spark.createDataFrame([], TOUCH), path, theme=1)
+    assert (tmp_path / "progress").read_text() == "#ereader1\ntheme\t1\n"
+
+
+def test_theme_is_read_back(spark):
+    of = lambda *rows: progress.theme_of(spark.createDataFrame(list(enumerate(rows)), "place int, value string"))
+    assert (of("#ereader1", "theme\t2", "b\t1"), of("theme\t1", "theme\t-4x"), of("theme\tx"), of("theme\t"), of("b")) == (2, -4, 0, 0, 0)
+
+
+def test_saves_follow_units(spark):
+    rng = random.Random(5)
+    rows = [(f"b{min(rng.randrange(6), 2)}", 1, rng.randrange(3), 9, k % 5, 18, rng.randrange(-300, 300)) for k in range(400)]
+    rows = list({(r[0], r[6]): r for r in rows}.values()) + [(None, 1, 1, 1, 1, 1, 1), ("b0", 1, None, 1, 1, 1, 1), ("b0", 1, 1, 1, 1, 1, None)]
+    want, last = [], {}
+    for r in sorted((r for r in rows if None not in r), key=lambda r: r[6]):
+        if last.get(r[0]) != r[2]:
+            want.append(r)
+        last[r[0]] = r[2]
+    for span in (1, 7, 64, 10_000):  # every touch alone, books over many blocks, all in two
+        assert sorted(map(tuple, progress.saves(spark.createDataFrame(rows, TOUCH), span=span).collect())) == sorted(want)
+    twice = spark.createDataFrame([("b", 1, 1, 1, 1, 1, 1)] * 2, TOUCH)
+    assert progress.saves(twice).count() == 1 and progress.saves(twice.limit(0)).count() == 0
+    assert progress.saves(twice.withColumn("_note", F.lit(1))).columns == [*twice.columns, "_note"]
+
+
+def test_kept_progress_is_written_when_a_unit_changes(spark, tmp_path):
+    source, path, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "progress", "cp"))
+    progress.save(spark.createDataFrame([("old", 7, 1, 2, 0, 18, 1), ("b1", 1, 0, 9, 0, 18, 0)], TOUCH), path, theme=4)
+
+    def batch(*rows) -> list[str]:
+        """The file's lines after one more batch; each call starts the query again."""
+        spark.createDataFrame(list(rows), TOUCH).coalesce(1).write.mode("append").parquet(source)
+        stream.keep(spark.readStream.schema(TOUCH).parquet(source), path, checkpoint, most=3).awaitTermination(120)
+        return (tmp_path / "progress").read_text().splitlines()[1:]
+
+    first = batch(("b1", 1, 3, 9, 0, 18, 10), ("b2", 1, 0, 9, 5, 18, 12), ("b1", 1, 4, 9, 1, 18, 11), (None, 1, 1, 1, 1, 1, 99), ("b3", 1, None, 1, 1, 1, 99))
+    assert first == ["theme\t4", "b\t1\t0\t9\t5\t18\tb2", "b\t1\t4\t9\t1\t18\tb1", "b\t7\t1\t2\t0\t18\told"]
+    written = (tmp_path / "progress").stat().st_ino
+    assert batch(("b2", 1, 0, 9, 7, 18, 20), ("b1", 1, 2, 9, 0, 18, 5)) == first  # the paragraph only; an older touch
+    assert (tmp_path / "progress").stat().st_ino == written
+    assert batch(("b2", 1, 1, 9, 0, 18, 21), ("b4", 2, 0, None, None, None, 22)) == ["theme\t4", "b\t2\t0\t0\t0\t0\tb4", "b\t1\t1\t9\t0\t18\tb2", "b\t1\t4\t9\t1\t18\tb1"]
+    assert (tmp_path / "progress").stat().st_ino != written
+
+
 def test_shelf_and_resume(spark):
     books = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, size long")
     at = spark.createDataFrame([("a", 1, 99, 100, 4, 99), ("b", 2, 7, 0, 0, 20)], "name string, size long, unit long, total long, para long, px long")
