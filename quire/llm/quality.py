@@ -176,12 +176,14 @@ def _with_length(docs: DataFrame) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine for rows of ``labels`` (doc_id, quality) that aren't held out; rows without a quality or a document take no part.
 
-    A doc_id that is labelled more than once counts with its largest quality.
+    A doc_id that is labelled more than once counts with its largest quality, one that ``docs`` repeats once, with its smallest text: no more than
+    ``sample`` rows are fitted on, or leave the executors.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text", _with_length(docs)).join(F.broadcast(drawn), "doc_id")  # SAMPLE rows at most
+    rows = docs.select("doc_id", F.struct("text", _with_length(docs)).alias("d")).join(F.broadcast(drawn), "doc_id")  # SAMPLE rows at most
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("d").alias("d")).select("doc_id", "quality", "d.*")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, x in feature_rows(batches):
