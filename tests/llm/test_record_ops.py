@@ -328,6 +328,19 @@ def test_ann_visits_few_lists_of_clustered_vectors(spark):
     assert hits >= 0.9 * 120 * 20 and len(got) == 120 * 20
 
 
+def test_ann_finds_the_first_of_many_copies(spark):
+    rng = np.random.default_rng(9)
+    x = np.float32(rng.normal(size=(1500, 16)))
+    x[300:900] = x[0]  # more copies than candidates, stored from the largest vec_id down
+    index = ann.build(vectors_of(spark, [(i, x[i].tolist()) for i in reversed(range(1500))]))
+    got = ann.search(index, index.rows.where("vec_id % 20 = 0")).toPandas()
+    hits, x = 0, x.astype(float)
+    for q, own in got.groupby("query_id"):
+        s = np.round(np.where(np.arange(1500) == q, -np.inf, x @ x[q]), 9)
+        hits += len(set(np.lexsort((np.arange(1500), -s))[:20].tolist()) & set(own["vec_id"]))
+    assert len(got) == 75 * 20 and hits >= 0.95 * len(got)
+
+
 def test_ann_of_repeated_ids(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [1.0, 3.0]), (2, [0.5, 0.5])]
     index = ann.build(vectors_of(spark, rows))
