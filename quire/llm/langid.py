@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import then_free, written
 from .tokentable import TokenTable, slabs, sums_by_text
 
 #: Labelled rows to fit on, for each language.
@@ -320,7 +320,7 @@ def of_known_language(docs: DataFrame, model: Model | None, least: float = 0.0)
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for said in model.score(pd.DataFrame({"text": t}) for t in texts):
+        for said in then_free(model.score(pd.DataFrame({"text": t}) for t in texts)):
             yield (said["lang_pred"] != UNKNOWN) & (said["score"] >= least)
 
     return docs.where(known("text"))

@@ -80,3 +80,19 @@ def test_run_packs_what_the_stages_keep(spark, tmp_path):
         assert sum(r["length"] for r in parts) % len(ids) == 0 and {r["doc_tokens"] for r in parts} == {len(ids)}
         if sum(len(x) for x in once.values()) == 4 * len(ids):
             assert b"".join(once[s] for s in sorted(once)) == np.array(ids, "<u4").tobytes()
+
+
+def test_fingerprints_are_majority_bits_and_keys_reach_the_similarity():
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    a = rng.integers(-(2**63), 2**63, 450)
+    sets = [a[:400], a[50:450], rng.permutation(a[:400]), rng.integers(-(2**63), 2**63, 400), a[:1], a[:1]]  # the first two have 350 of 450
+    found = next(near_copies._fingerprints(iter([pd.Series(sets)])))
+    bits = np.stack([np.unpackbits(x.view(np.uint8)) for x in found])
+    assert bits.shape[1] == near_copies.BITS and (bits[0] == bits[2]).all() and (bits[4] == bits[5]).all()
+    assert 0.1 < (bits[0] != bits[1]).mean() < 0.22 and 0.4 < (bits[0] != bits[3]).mean() < 0.6 and 0.4 < bits[0].mean() < 0.6
+    number = near_copies._number_of_keys(20, 0.8)
+    assert near_copies._met(0.1515, 20, number) > 0.994 > near_copies._met(0.1515, 20, number - 20)
+    keys = next(near_copies._keys(20, number)(iter([found])))
+    assert (keys[0] == keys[2]).all() and len(set(keys[0])) == number and set(keys[0]) & set(keys[1])
