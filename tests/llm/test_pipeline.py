@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from quire.llm import near_copies, packing, tokens
@@ -94,5 +95,16 @@ def test_fingerprints_are_majority_bits_and_keys_reach_the_similarity():
     assert 0.1 < (bits[0] != bits[1]).mean() < 0.22 and 0.4 < (bits[0] != bits[3]).mean() < 0.6 and 0.4 < bits[0].mean() < 0.6
     number = near_copies._number_of_keys(20, 0.8)
     assert near_copies._met(0.1515, 20, number) > 0.994 > near_copies._met(0.1515, 20, number - 20)
-    keys = next(near_copies._keys(20, number)(iter([found])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(found))), pa.array(found.tolist())], names=["node", "fp"])
+    keys = pa.Table.from_batches(near_copies._keys(20, number)(iter([batch]))).column("key").to_numpy().reshape(len(found), number)
     assert (keys[0] == keys[2]).all() and len(set(keys[0])) == number and set(keys[0]) & set(keys[1])
+
+
+def test_packing_workers_hold_little_between_tasks():
+    coder = tokens.Encoder(tokens.tokenizer_path(packing.VOCABULARY), tokens.WORD_LEVEL)
+    words = [f"{a}{b}{c}" for a in "bdfgl" for b in "aeiou" for c in "lmnrst"]
+    before = [x.tolist() for x in coder.encode([" ".join(words), "lal"])]
+    coder.encode(["lal"])
+    coder.keep(10)
+    assert len(coder.pieces.index) == 10 and "lal" in coder.pieces.index and not coder.words.index
+    assert [x.tolist() for x in coder.encode([" ".join(words), "lal"])] == before
