@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +109,53 @@ def test_packing_workers_hold_little_between_tasks():
     coder.keep(10)
     assert len(coder.pieces.index) == 10 and "lal" in coder.pieces.index and not coder.words.index
     assert [x.tolist() for x in coder.encode([" ".join(words), "lal"])] == before
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles."""
+    jvm = spark.sparkContext._jvm
+    return sum(
+        stage.shuffleWriteBytes()
+        for stage in jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        )
+    )
+
+
+def test_texts_without_near_copies_stay_in_their_place(spark, tmp_path):
+    """One pair of near copies and many texts that share keys with others: neither the texts nor their shingles are shuffled or written."""
+    rng, text = random.Random(8), []
+    for _ in range(120):
+        text.append(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)))
+    text.append(text[5] + " end")
+    rows, size = [(d, t, "x", "s", len(t)) for d, t in enumerate(text)], sum(map(len, text))
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "docs"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet") if p.is_file())
+    docs, before, there, own = spark.read.parquet(str(tmp_path / "docs")), shuffled(spark), files(), near_copies.KEY_BITS
+    near_copies.KEY_BITS = 4  # many share a key
+    try:
+        kept = near_copies.one_of_each(docs).select("doc_id").collect()
+        moved = shuffled(spark) - before
+    finally:
+        near_copies.KEY_BITS = own
+    assert {r["doc_id"] for r in kept} == set(range(120))
+    assert moved < 0.3 * size and files() - there < 0.3 * size
+
+
+def test_words_and_shingles_are_those_of_the_text():
+    import pandas as pd
+
+    known = near_copies._Words()
+    assert len(known.of("")) == len(known.of(" \t\x0b ")) == 0 and len(known.of("One word")) == 1
+    assert known.of("A\tb\x0cÄ  A\x1fB\r\n").tolist() == [known[w.encode()] for w in ("a", "b", "Ä", "a\x1fb")]
+    near_copies.SLAB, own = 7, near_copies.SLAB
+    try:
+        cut = known.of("the house and  extraordinarily gardens ")
+    finally:
+        near_copies.SLAB = own
+    assert cut.tolist() == known.of("the house and extraordinarily gardens").tolist() and len(cut) == 5
+    texts = pd.Series(["a b c d e f", "A B  c d e\tf a b c d e", "b a c d e f", "a b", "b a", None, " "])
+    got = [set(x.tolist()) for x in next(near_copies._hashes(5)(iter([texts])))]
+    assert [len(x) for x in got] == [2, 6, 2, 1, 1, 0, 0] and got[0] < got[1] and got[3] != got[4]
+    assert len(got[0] & got[2]) == 0 and all(len(x) == len(set(map(tuple, [[h] for h in x]))) for x in got)
