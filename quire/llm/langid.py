@@ -11,7 +11,6 @@ sample (SAMPLE rows for each language); the expected piece counts of each step a
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +42,8 @@ UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 HAS_LETTER = r"\p{L}"
 START = "▁"
+#: Slots of the table of a vocabulary's prefixes, as a power of two, and the odd number that spreads them.
+SLOTS, SPREAD = 19, np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_vocabulary() -> str:
@@ -56,40 +57,80 @@ def held_out() -> Column:
 
 
 class Lattice:
-    """All places of vocabulary pieces in words, and sums over the paths they make."""
+    """All places of vocabulary pieces in words, and sums over the paths they make.
+
+    The pieces' prefixes are numbered, 0 the empty one. A table with open addressing leads from a prefix and the kind of the next character to the longer prefix, for whole arrays of places at once.
+    """
 
     def __init__(self, vocabulary: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         kept = (i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
         self.pieces = sorted({p.lower() for p in map(model.id_to_piece, kept)})
         self.unknown = len(self.pieces)  # a character that no piece has
-        self.automaton = ahocorasick.Automaton()
+        self.longest = max(map(len, self.pieces))
+        alphabet = {c: k for k, c in enumerate(sorted({c for p in self.pieces for c in p}), 1)}
+        #: Kind 0: in no piece.
+        self.kinds = np.zeros(0x110000, np.uint16)
+        self.kinds[[ord(c) for c in alphabet]] = list(alphabet.values())
+        longer: dict[tuple[int, int], int] = {}
+        ends = {}
         for i, p in enumerate(self.pieces):
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
-        self.single = {p for p in self.pieces if len(p) == 1}
+            at = 0
+            for c in p:
+                at = longer.setdefault((at, alphabet[c]), len(longer) + 1)
+            ends[at] = i
+        self.piece = np.full(len(longer) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+        self.keys, self.targets = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.int64)
+        key, target = np.array([at << 16 | c for at, c in longer], np.int64), np.array(list(longer.values()), np.int64)
+        slot = self._slots(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.targets[slot[free]] = key[free], target[free]
+            left = self.keys[slot] != key
+            key, target, slot = key[left], target[left], (slot[left] + 1) % (1 << SLOTS)
+
+    @staticmethod
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * SPREAD) >> np.uint64(64 - SLOTS)).view(np.int64)
+
+    def _longer(self, prefix: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The prefixes longer by a character of these kinds; 0 where no piece has one."""
+        key = prefix << 16 | kind
+        slot = self._slots(key)
+        there = self.keys[slot]
+        other = np.flatnonzero((there != key) & (there >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) % (1 << SLOTS)
+            there = self.keys[slot[other]]
+            other = other[(there != key[other]) & (there >= 0)]
+        return np.where(self.keys[slot] == key, self.targets[slot], 0)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Word, end, length and piece of each place, sorted by end then word."""
-        w, e, n, p = array("q"), array("q"), array("q"), array("q")
-        for i, word in enumerate(words):
-            for end, (piece, length) in self.automaton.iter(word):
-                w.append(i)
-                e.append(end + 1)
-                n.append(length)
-                p.append(piece)
-            for end, c in enumerate(word):
-                if c not in self.single:
-                    w.append(i)
-                    e.append(end + 1)
-                    n.append(1)
-                    p.append(self.unknown)
-        w, e, n, p = (np.array(x, np.int64) for x in (w, e, n, p))
-        order = np.lexsort((w, e))
-        return w[order], e[order], n[order], p[order]
+        count, lengths = len(words), np.array([len(x) for x in words], np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # The words stand side by side, place after place; below them are rows of no kind.
+        own = np.repeat(np.arange(count), lengths) + (np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) * count
+        grid = np.zeros((lengths.max() + self.longest) * count, np.int64)
+        grid[own] = self.kinds[chars]
+        at = np.sort(own)
+        prefix, found = np.zeros(len(at), np.int64), []
+        for n in range(1, self.longest + 1):
+            prefix = self._longer(prefix, grid[at + (n - 1) * count])
+            piece = self.piece[prefix]
+            if n == 1:
+                piece[piece < 0] = self.unknown
+            hit = piece >= 0
+            found.append((at[hit] + n * count, np.full(np.count_nonzero(hit), n), piece[hit]))
+            some = prefix > 0
+            at, prefix = at[some], prefix[some]
+        place, n, p = map(np.concatenate, zip(*found))
+        order = np.argsort(place, kind="stable")
+        e, w = np.divmod(place[order], count)
+        return w, e, n[order], p[order]
 
     def forward(self, words: list[str], table: np.ndarray, arcs=None, logs: bool = False) -> np.ndarray:
         """alpha[word, end, language]: the probability of all segmentations up to there. table: [piece, language]. Both as logarithms, if ``logs``."""
@@ -197,6 +238,8 @@ def lattice(vocabulary: str) -> Lattice:
 
 def parts(token: str) -> list[str]:
     """The runs of letters of a token, each with the mark of a word's start."""
+    if token.isascii() and token.isalpha():
+        return [START + token]
     return [START + run for run in LETTERS.findall(token)]
 
 

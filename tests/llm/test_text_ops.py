@@ -291,6 +291,35 @@ def test_runs_of_letters_are_summed_whole():
     assert letters == pytest.approx(2 * len(words[0]) + 3 * len(words[1]), rel=1e-9) and (uses >= plain - 1e-12).all()
 
 
+def test_places_of_pieces_are_found_for_many_words_at_once():
+    """All places, by brute force, and far fewer calls than places."""
+    import sys
+
+    rng, graph = random.Random(9), langid.lattice(langid.default_vocabulary())
+    known = {p: i for i, p in enumerate(graph.pieces)}
+    words = [langid.START + "".join(rng.choices("etaoinsrhäжж中", k=rng.randint(1, 14))) for _ in range(2000)]
+    words += [langid.START, "a", langid.START + "😀é", langid.START + "la" * 300, words[0]]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        arcs = graph.arcs(words)
+    finally:
+        sys.setprofile(None)
+    want = []
+    for i, word in enumerate(words):
+        for end in range(1, len(word) + 1):
+            want += [(i, end, n, known[word[end - n : end]]) for n in range(1, min(end, 20) + 1) if word[end - n : end] in known]
+            want += [(i, end, 1, graph.unknown)] * (word[end - 1] not in known)
+    got = list(zip(*(x.tolist() for x in arcs)))
+    assert sorted(got) == sorted(want) and [x[1::-1] for x in got] == sorted(x[1::-1] for x in got)
+    assert calls < len(got) / 10
+
+
 def test_numerals_are_no_letters(spark):
     docs = documents(spark, [(i, "the house ends", "en", "s") for i in range(20)] + [(100, "²½ 12"), (101, "① ②"), (102, "Ⅷ"), (103, "x²")])
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.learned(docs)).collect()}
