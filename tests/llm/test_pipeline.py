@@ -159,3 +159,12 @@ def test_words_and_shingles_are_those_of_the_text():
     got = [set(x.tolist()) for x in next(near_copies._hashes(5)(iter([texts])))]
     assert [len(x) for x in got] == [2, 6, 2, 1, 1, 0, 0] and got[0] < got[1] and got[3] != got[4]
     assert len(got[0] & got[2]) == 0 and all(len(x) == len(set(map(tuple, [[h] for h in x]))) for x in got)
+
+
+def test_buckets_of_two_or_three_far_apart_are_dropped(spark):
+    low, high = 0b111, -1 << 32  # 3 bits from 0; 32 bits from 0
+    far = 0x0F0F0F0F0F0F0F0F  # 32 bits from 0 and from high
+    firsts = {1: [0, far], 2: [0, low], 3: [0, high, far], 4: [0, low, high], 5: [high, 0, low], 6: [far, high, far ^ 1], 7: [0, 0, high], 8: [0, high, far, ~far], 9: [5]}
+    rows = [(10 * k + i, x, k) for k, xs in firsts.items() for i, x in enumerate(xs)]
+    kept = near_copies._open(spark.createDataFrame(rows, "node long, first long, key long")).collect()
+    assert {r["key"] for r in kept} == {2, 4, 5, 6, 7, 8} and len(kept) == sum(len(firsts[k]) for k in (2, 4, 5, 6, 7, 8))
