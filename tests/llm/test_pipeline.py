@@ -168,3 +168,52 @@ def test_buckets_of_two_or_three_far_apart_are_dropped(spark):
     rows = [(10 * k + i, x, k) for k, xs in firsts.items() for i, x in enumerate(xs)]
     kept = near_copies._open(spark.createDataFrame(rows, "node long, first long, key long")).collect()
     assert {r["key"] for r in kept} == {2, 4, 5, 6, 7, 8} and len(kept) == sum(len(firsts[k]) for k in (2, 4, 5, 6, 7, 8))
+
+
+def drawn_prints(rng, base, count, odds):
+    """``count`` fingerprints whose bits differ from ``base`` with ``odds``."""
+    return np.packbits(base ^ (rng.random((count, near_copies.BITS)) < odds), axis=1).view(np.int64)
+
+
+def test_chance_buckets_leave_few_rows(spark, monkeypatch):
+    """Unrelated texts that share a key by chance don't go on as rows, however many there are."""
+    rng, rows, own = np.random.default_rng(9), {}, near_copies.written
+    prints = drawn_prints(rng, np.zeros(near_copies.BITS, bool), 1000, 0.5)
+    frame = spark.createDataFrame([(k, 100, x.tolist()) for k, x in enumerate(prints)], "node long, n int, fp array<bigint>")
+
+    def counted(df, name):
+        out = own(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "KEY_BITS", 12)
+    monkeypatch.setattr(near_copies, "written", counted)
+    assert near_copies.links(frame, spark.createDataFrame([], "node long, text string")).count() == 0
+    assert rows["buckets"] < 100 and rows["labelled"] < 100
+
+
+def test_each_pair_that_shares_a_key_is_compared_once(spark, monkeypatch):
+    """A group of which no pair turns out linked: the pairs with the references and the others are all there, none twice."""
+    rng, seen = np.random.default_rng(10), []
+    prints = np.concatenate([drawn_prints(rng, rng.random(near_copies.BITS) < 0.5, 60, 0.08), drawn_prints(rng, rng.random(near_copies.BITS) < 0.5, 60, 0.08)])
+    sizes = rng.integers(70, 110, len(prints))
+    frame = spark.createDataFrame([(k, int(n), x.tolist()) for k, (n, x) in enumerate(zip(sizes, prints))], "node long, n int, fp array<bigint>")
+
+    def compared(pairs, texts, shingle, least):
+        seen.append({(r["u"], r["v"]) for r in pairs.collect()})
+        return spark.createDataFrame([], "u long, v long")
+
+    monkeypatch.setattr(near_copies, "KEY_BITS", 12)
+    monkeypatch.setattr(near_copies, "_verified", compared)
+    near_copies.links(frame, spark.createDataFrame([], "node long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(prints))), pa.array(prints.tolist())], names=["node", "fp"])
+    keys = pa.Table.from_batches(near_copies._keys(12, near_copies._number_of_keys(12, 0.8))(iter([batch]))).column("key").to_numpy().reshape(len(prints), -1)
+    bits = np.unpackbits(prints.view(np.uint8), axis=1)
+    want = {
+        (u, v)
+        for v in range(len(prints))
+        for u in range(v)
+        if (keys[u] == keys[v]).any() and min(sizes[u], sizes[v]) >= 0.8 * max(sizes[u], sizes[v]) and (bits[u] != bits[v]).sum() <= near_copies.FAR
+    }
+    stars, across = seen
+    assert stars | across == want and not stars & across and len(across) > 100 and len(want) > 1500
