@@ -23,11 +23,13 @@ def utf8_invalid_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encoding_detect(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as files, every second one in Latin-1 if all its characters are there. A null text has neither encoding nor length."""
+    """Documents as files, every second one in Latin-1 if all its characters are there: told by all of a file's bytes. A null text has neither encoding nor length."""
     docs = table(spark, d, "documents")
     utf8 = (F.col("doc_id") % 2 == 0) | F.col("text").rlike("[^\\x00-\\xFF]")
     content = F.when(utf8, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    return docs.select("doc_id", chars.encoding_of(content).alias("encoding"), F.length(chars.text_of(content)).cast("long").alias("code_points"))
+    rows = docs.select("doc_id", content.alias("content"), chars.encoding_of(content, whole=True, sample=None).alias("encoding"))
+    mark = chars.has_mark(F.col("content")).cast("long")  # text_of() drops it, but it is a code point of the document
+    return rows.select("doc_id", "encoding", (F.length(chars.text_of(F.col("content"), F.col("encoding"))) + mark).alias("code_points"))
 
 
 def cp1252_decode(spark: SparkSession, d: str) -> DataFrame:
