@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..functions.tables import written
 from ..operators import lines, reflow
-from ..sources import epub, pdf, pdf_forms
+from ..sources import epub, pdf, pdf_forms, xhtml
 from .common import table
 from .text_queries import PARAS_SQL
 
@@ -33,8 +33,9 @@ def epub_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def epub_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    parts = epub.units(epub.chapters(epub.members(_books(spark, d))))
-    return epub.paragraphs(parts).select("book", "chapter", "para", "text", "heading")
+    """Paragraphs numbered through whole chapters, however many units a reader cuts these into."""
+    chaps = written(epub.chapters(epub.members(_books(spark, d))), "chapters")
+    return xhtml.paragraphs(chaps, "book", "chapter")
 
 
 def epub_unit_plan(spark: SparkSession, d: str) -> DataFrame:

@@ -44,3 +44,10 @@ def test_encodings_of_files(agrees):
 ])
 def test_sequences_at_the_end_of_a_sample(spark, data, whole, want):
     assert spark.createDataFrame([(data,)], "c binary").select(chars.encoding_of(F.col("c"), whole).alias("e")).first()["e"] == want
+
+
+def test_paragraphs_of_chapters_of_several_units(agrees):
+    long = "<html><body>" + "".join(f"<p>One <b>word {i}</b> of many in a line</p><h2>Head {i}</h2>" for i in range(1500)) + "</body></html>"
+    bold = "<p>" + "".join(f"<i>word {i}</i> " for i in range(6000)) + "</p><p>last</p>"
+    pages = [(i, h) for i, h in enumerate([long, bold, None, "<p>short</p>", "", "<script>" + "x<b>" * 20_000 + "</script><p>after</p>"] * 2)]
+    agrees(["epub_paragraphs"], pages=(pages, "page_id long, html string"))
