@@ -174,9 +174,10 @@ def _shelf(spark: SparkSession, d: str) -> str:
 
 def shelf_heads(spark: SparkSession, d: str) -> DataFrame:
     """What the first bytes say of text and PDF files that aren't empty; no others are opened, and of these no more is read."""
-    rows = shelf.read(spark, _shelf(spark, d), "name", "size", "fmt", "head", formats="txt,pdf", least_bytes=1)
+    head = chars.SAMPLE + chars.LONGEST
+    rows = shelf.read(spark, _shelf(spark, d), "name", "size", "fmt", "head", formats="txt,pdf", least_bytes=1, head_bytes=head)
     text = F.col("fmt") == "txt"
-    return rows.select("name", "fmt", F.when(text, F.col("size")).alias("size"), F.when(text, chars.encoding_of(F.col("head"))).alias("encoding"), F.when(~text, pdf.version(F.col("head"))).alias("version"))
+    return rows.select("name", "fmt", F.when(text, F.col("size")).alias("size"), F.when(text, chars.encoding_of(F.col("head"), whole=F.col("size") <= head)).alias("encoding"), F.when(~text, pdf.version(F.col("head"))).alias("version"))
 
 
 def shelf_open(spark: SparkSession, d: str) -> DataFrame:

@@ -78,7 +78,7 @@ class Files(ds.InputPartition):
 class Reader(ds.DataSourceReader):
     def __init__(self, folder: str, columns: list[str], options: dict[str, str]):
         self.folder, self.columns = folder, columns
-        self.partition = int(options.get("partition_bytes", PARTITION))
+        self.partition, self.head = int(options.get("partition_bytes", PARTITION)), int(options.get("head_bytes", HEAD))
         self.formats = set(options["formats"].split(",")) if "formats" in options else None
         self.prefix, self.least, self.most = options.get("prefix", ""), int(options.get("least_bytes", 0)), int(options.get("most_bytes", 1 << 62))
 
@@ -86,7 +86,7 @@ class Reader(ds.DataSourceReader):
         return (self.formats is None or (format_of(file.name) or OTHER) in self.formats) and file.name.startswith(self.prefix) and self.least <= file.size <= self.most
 
     def _cost(self, file: File) -> int:
-        read = file.size if "content" in self.columns else min(file.size, HEAD * ("head" in self.columns) + TAIL * ("tail" in self.columns))
+        read = file.size if "content" in self.columns else min(file.size, self.head * ("head" in self.columns) + TAIL * ("tail" in self.columns))
         return read + OPENING * bool({"head", "tail", "content"} & set(self.columns))
 
     def partitions(self) -> list[Files]:
@@ -121,7 +121,7 @@ class Reader(ds.DataSourceReader):
                     row["content"] = f.read()
                 if "head" in self.columns:
                     f.seek(0)
-                    row["head"] = f.read(HEAD)
+                    row["head"] = f.read(self.head)
                 if "tail" in self.columns:
                     f.seek(max(0, file.size - TAIL))
                     row["tail"] = f.read(TAIL)
@@ -185,7 +185,7 @@ class Writer(ds.DataSourceArrowWriter):
 
 class Shelf(ds.DataSource):
     """Options: path, the folder; of its files only those of ``formats`` (of pdf, txt, epub and other, by commas), whose names begin with ``prefix``,
-    and of ``least_bytes`` to ``most_bytes``; partition_bytes, what a task reads."""
+    and of ``least_bytes`` to ``most_bytes``; partition_bytes, what a task reads; head_bytes, how long a head is."""
 
     @classmethod
     def name(cls) -> str:
