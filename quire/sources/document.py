@@ -44,7 +44,7 @@ def folder(spark: SparkSession, path: str) -> Callable[[str], DataFrame]:
 
 def _text_units(books: DataFrame) -> DataFrame:
     """Rows (book, unit, text, cont, open) of text files; each unit is decoded by the encoding of its whole file."""
-    files = _of(books, "DOC_TXT").select("book", "content", chars.encoding_of(F.col("content")).alias("encoding"))
+    files = _of(books, "DOC_TXT").select("book", "content", chars.encoding_of(F.col("content"), whole=True).alias("encoding"))
     cut = txt.unit_flags(txt.units(files, "book", "content"), "book").join(files, "book")
     part = F.substring(F.col("content"), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
     part = F.when((F.col("unit") == 0) & chars.has_mark(F.col("content")), F.substring(part, F.lit(4), F.octet_length(part))).otherwise(part)
@@ -73,7 +73,7 @@ def opened(books: DataFrame | Callable[[str], DataFrame]) -> DataFrame:
     cut = txt.units(texts, "book", "content").groupBy("book").agg(F.count("*").alias("units"))
     empty = F.coalesce(F.octet_length("content"), F.lit(0)) == 0
     texts = texts.join(cut, "book", "left").select(
-        "book", F.lit("DOC_TXT").alias("kind"), F.when(~empty, names[chars.encoding_of(F.col("content"))]).alias("encoding"), F.coalesce("units", F.lit(0).cast("long")).alias("units"),
+        "book", F.lit("DOC_TXT").alias("kind"), F.when(~empty, names[chars.encoding_of(F.col("content"), whole=True)]).alias("encoding"), F.coalesce("units", F.lit(0).cast("long")).alias("units"),
         F.when(empty, "empty file").alias("error"),
     )
 

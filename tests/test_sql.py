@@ -38,6 +38,13 @@ def test_encodings_of_files(agrees):
     agrees(["encoding_detect"], documents=(docs, "doc_id long, text string"))
 
 
+def test_encodings_by_the_first_bytes(agrees):
+    docs = [(i, ACCENTS[i % len(ACCENTS)]) for i in range(5 * len(ACCENTS))]
+    events = [(i, i % 45, datetime(2024, 1, 1), "click", float(i)) for i in range(60)]
+    tables = {"documents": (docs, "doc_id long, text string"), "events": (events, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")}
+    agrees(["shelf_heads", "shelf_open", "document_open", "document_card"], **tables)
+
+
 @pytest.mark.parametrize(("data", "whole", "want"), [
     (b"a" * 8191 + b"\xe9b", False, "LATIN1"), (b"a" * 8191 + b"\xe2\x80\x94", False, "UTF8"), (b"a" * 8191 + b"\xe2\x80", False, "UTF8"), (b"a" * 8191 + b"\xe2\x80", True, "LATIN1"),
     (b"a" * 8192 + b"\xe9", True, "UTF8"), (b"caf\xe9", False, "UTF8"), (b"caf\xe9", True, "LATIN1"), (None, True, None), (b"", True, "UTF8"),
