@@ -114,7 +114,8 @@ def _buckets(fps: DataFrame, max_bits: int) -> DataFrame:
     # Two buckets that share a hash are compared as one: more pairs to look at, none lost.
     keyed = keyed.select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = written(keyed.join(shared, "key"), "shared_buckets")
+    # Spark sizes these keys as if there were one a fingerprint, so that it would broadcast many times what it may.
+    met = written(keyed.join(shared.hint("merge"), "key"), "shared_buckets")
     spread = met.select("key", *_pivot_distances()).groupBy("key").agg(
         F.count("*").alias("n"), F.greatest(*[F.max(d) - F.min(d) for d in _TABLE]).alias("apart")
     )

@@ -148,6 +148,20 @@ def test_simhash_is_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for d, _, c in want if d is not None} | {None}
 
 
+def test_simhash_keys_are_not_broadcast(spark, monkeypatch):
+    """The keys that fingerprints share are many for each, and Spark thinks that there is one."""
+    plans = {}
+
+    def spied(df, name, real=simhash.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "written", spied)
+    fps = simhash.written(spark.range(100).select((F.col("id") * 2).alias("fp")), "fps")
+    assert simhash._buckets(fps, 4).count() > 1000
+    assert "SortMergeJoin" in plans["shared_buckets"] and "Broadcast" not in plans["shared_buckets"]
+
+
 def test_simhash_links_a_large_group_of_near_fingerprints(spark):
     rng = random.Random(5)
     centre = rng.getrandbits(63)
