@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-RUN = "struct<text:string,x:double,y:double,size:double,width:double,dx:double,dy:double>"
-LINE = "array<struct<line_no:int,text:string,y:double,x:double,x_end:double,size:double,gap_x:double,gap_w:double,gap_off:int>>"
+LINE = "line_no int, text string, y double, x double, x_end double, size double, gap_x double, gap_w double, gap_off int"
+#: Runs that are taken from a batch, and lines that make one, at a time.
+BATCH = 4096
 
 
 def normal_rotation(rotate: Column) -> Column:
@@ -76,12 +79,36 @@ def _fold(runs: list) -> list[dict]:
     return kept
 
 
-def _fold_pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(_fold)
+def _folded(keys: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of runs that come page by page and in order; of a task's pages one is held at a time."""
 
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema)
 
-_fold_pages.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs, out = None, [], []
+
+        def close() -> None:
+            out.extend(dict(zip(keys, now)) | line for line in _fold(runs))
+
+        for batch in batches:
+            for start in range(0, len(batch), BATCH):
+                rows = batch.slice(start, BATCH).to_pylist()
+                for r in rows:
+                    page = tuple(r[k] for k in keys)
+                    if page != now:
+                        if runs:
+                            close()
+                        now, runs = page, []
+                    runs.append(r)
+                if len(out) >= BATCH:
+                    yield made(out)
+                    out = []
+        if runs:
+            close()
+        yield made(out)
+
+    return run
 
 
 def group_lines(runs: DataFrame, *keys: str) -> DataFrame:
@@ -91,7 +118,9 @@ def group_lines(runs: DataFrame, *keys: str) -> DataFrame:
     its first run, not by their neighbours, so the fold is one loop for each page.
     """
     own = runs.where(~is_vertical())
-    order = F.struct((-F.round(F.col("y") / 0.7)).alias("row"), "x", F.struct("text", "x", "y", "size", usable_advance().alias("width")).alias("r"))
-    pages = own.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["r"]).alias("runs"))
-    folded = pages.select(*keys, F.explode(F.pandas_udf(_fold_pages, LINE)("runs")).alias("line"))
-    return folded.select(*keys, "line.*")
+    row = (-F.round(F.col("y") / 0.7)).alias("_row")
+    own = own.select(*keys, row, "x", "text", "y", "size", usable_advance().alias("width"))
+    # Rows and not arrays of a page's runs go to Python: of these a batch would hold as many pages as others hold rows.
+    ordered = own.repartition(*keys).sortWithinPartitions(*keys, "_row", "x", "text", "y", "size", "width").drop("_row")
+    schema = T.StructType([own.schema[k] for k in keys] + T.StructType.fromDDL(LINE).fields)
+    return ordered.mapInArrow(_folded(list(keys), to_arrow_schema(schema)), schema)
