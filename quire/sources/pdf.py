@@ -8,6 +8,7 @@ joined to their contents and fonts, and only the operators of one page's content
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -424,8 +425,43 @@ class Font:
     def width(self, code: int) -> float:
         return self.widths.get(code) or self.default
 
+    @cached_property
+    def _of_bytes(self) -> tuple[dict[int, str], bytes, list[float]]:
+        """Of a font of one byte a code: the text of each code, the codes that have any, their widths."""
+        texts = {c: self.unicode(c) for c in range(256)}
+        return texts, bytes(c for c, t in texts.items() if t), [self.width(c) for c in range(256)]
 
-_TOKEN = re.compile(r"%[^\r\n]*|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\](){}%]*|[\[\]{}]|[^\s/<>\[\](){}%]+", re.S)
+    @cached_property
+    def _of_code(self) -> dict[int, tuple[str, float]]:
+        return {}
+
+    def shown(self, data: bytes) -> tuple[str, int, int, float, int]:
+        """What a string shows: text, codes, how many of them have none, the sum of widths, spaces of one byte."""
+        if not self.wide:
+            texts, mapped, widths = self._of_bytes
+            return data.decode("latin-1").translate(texts), len(data), len(data.translate(None, mapped)), sum(map(widths.__getitem__, data)), data.count(32)
+        codes, known = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data), 2)], self._of_code
+        for code in codes:
+            if code not in known:
+                known[code] = self.unicode(code), self.width(code)
+        texts, widths = zip(*map(known.__getitem__, codes))
+        return "".join(texts), len(codes), texts.count(""), sum(widths), 0
+
+
+class _Fonts(dict):
+    """Fonts by the texts of their objects, read once for all pages of a task that name them; beyond ``most`` the table starts anew."""
+
+    def of(self, f, most: int = 200) -> Font:
+        key = f["font"], f["descendant"], f["encoding"], f["unicode"]
+        if key not in self:
+            if len(self) >= most:
+                self.clear()
+            self[key] = Font(f)
+        return self[key]
+
+
+# Loops in strings never go back: their branches begin with different characters.
+_TOKEN = re.compile(r"%[^\r\n]*|\((?:[^()\\]++|\\.|\((?:[^()\\]++|\\.)*+\))*+\)|<<|>>|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\](){}%]*|[\[\]{}]|[^\s/<>\[\](){}%]+", re.S)
 _ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|\r\n?|(.))", re.S)
 _PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
 
@@ -435,6 +471,8 @@ def string_bytes(token: str) -> bytes:
     if token[0] == "<":
         return codecs.ascii_hex(token[1:].encode("latin-1"))
     raw = token[1:-1].encode("latin-1")
+    if b"\\" not in raw:
+        return raw
     return _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1] else _PLAIN.get(m[2], m[2]) if m[2] else b"", raw)
 
 
@@ -455,9 +493,10 @@ def _times(a: tuple, b: tuple) -> tuple:
 _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def interpret(content: str, listed: list, begun: list[float] | None = None) -> dict:
+def interpret(content: str, listed: list, begun: list[float] | None = None, fonts: _Fonts | None = None) -> dict:
     """Text runs and calls of one stream of a page or form; text without a known font is passed over."""
     known = {f["name"]: f for f in listed}
+    fonts = _Fonts() if fonts is None else fonts
     loaded: dict[str, Font] = {}
     state = {"ctm": _ONE, "font": None, **(STATE if begun is None else dict(zip(STATE, begun)))}
     stack: list[dict] = []
@@ -475,25 +514,22 @@ def interpret(content: str, listed: list, begun: list[float] | None = None) -> d
         size = (state["fs"] * state["th"], 0.0, 0.0, state["fs"], 0.0, state["ts"])
         m = _times(tm, state["ctm"])
         begin = _times(size, m)
-        text, unmapped, step = [], 0, 2 if font.wide else 1
-        codes = [int.from_bytes(data[i : i + step], "big") for i in range(0, len(data), step)]
-        for code in codes:
-            c = font.unicode(code)
-            unmapped += not c
-            text.append(c)
-            move = font.width(code) / 1000 * state["fs"] + state["tc"] + (state["tw"] if step == 1 and code == 32 else 0)
-            tm = _times((1.0, 0.0, 0.0, 1.0, move * state["th"], 0.0), tm)
+        text, codes, unmapped, width, spaces = font.shown(data)
+        move = width / 1000 * state["fs"] + codes * state["tc"] + spaces * state["tw"]
+        tm = _times((1.0, 0.0, 0.0, 1.0, move * state["th"], 0.0), tm)
         end = _times(size, _times(tm, state["ctm"]))
         dx, dy = end[4] - begin[4], end[5] - begin[5]
-        if any(text):
+        if text:
             at = len(runs) + len(calls)
-            runs.append({"at": at, "text": "".join(text), "x": begin[4], "y": begin[5], "fs": state["fs"], "ux": m[2], "uy": m[3], "dx": dx, "dy": dy, "codes": len(codes), "unmapped": unmapped})
+            runs.append({"at": at, "text": text, "x": begin[4], "y": begin[5], "fs": state["fs"], "ux": m[2], "uy": m[3], "dx": dx, "dy": dy, "codes": codes, "unmapped": unmapped})
 
     def advance(x: float, y: float) -> None:
         nonlocal tm, line
         tm = line = _times((1.0, 0.0, 0.0, 1.0, x, y), line)
 
-    for token in _TOKEN.findall(re.sub(r"(?s)\bBI\s.*?\sID\s.*?\sEI(?=\s|$)", " ", content)):
+    if "BI" in content:
+        content = re.sub(r"(?s)\bBI\s.*?\sID\s.*?\sEI(?=\s|$)", " ", content)
+    for token in _TOKEN.findall(content):
         c = token[0]
         if c == "%":
             continue
@@ -523,7 +559,7 @@ def interpret(content: str, listed: list, begun: list[float] | None = None) -> d
             elif token == "Tf" and n:
                 name = next((a for a in reversed(args) if isinstance(a, str)), "")
                 if name in known and name not in loaded:
-                    loaded[name] = Font(known[name])
+                    loaded[name] = fonts.of(known[name])
                 state["font"], state["fs"] = loaded.get(name), nums[-1]
             elif token in ("Td", "TD") and n >= 2:
                 if token == "TD":
@@ -557,9 +593,10 @@ def interpret(content: str, listed: list, begun: list[float] | None = None) -> d
 
 
 def _interpret(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    fonts = _Fonts()
     for content, listed, *more in batches:
         begun = more[0] if more else [None] * len(content)
-        yield pd.DataFrame([interpret(c or "", list(f) if f is not None else [], b) for c, f, b in zip(content, listed, begun)], columns=["runs", "calls"])
+        yield pd.DataFrame([interpret(c or "", list(f) if f is not None else [], b, fonts) for c, f, b in zip(content, listed, begun)], columns=["runs", "calls"])
 
 
 def placed(run: Column) -> list[Column]:
